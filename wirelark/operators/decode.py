@@ -31,134 +31,163 @@ def protocol_name(number: Column) -> Column:
     return name
 
 
-def with_headers(frames: DataFrame) -> DataFrame:
-    """``frames`` with the structs ``ethernet``, ``ip``, ``tcp``, ``udp`` (null where absent), ``protocol``,
-    ``payload_length`` and ``reject``: why the frame is invalid, or null.
-
-    The payload is counted from the captured bytes, so link-layer padding counts. Frames of other
-    Ethernet types and IPv4 packets of other protocols are valid and have protocol UNKNOWN.
-    """
+def _judged(frames: DataFrame) -> DataFrame:
+    """``frames`` with the numbers that decide about validity, and ``reject``: why the frame is invalid, or null."""
     raw = F.col("frame")
     first = unsigned(raw, 14, 1)
-    captured = F.least(F.length("frame"), F.col("caplen"))
     placed = frames.select(
         "*",
-        captured.alias("_n"),
+        F.least(F.length("frame"), F.col("caplen")).alias("_n"),
         unsigned(raw, 12, 2).alias("_type"),
         F.shiftright(first, 4).alias("_version"),
         first.bitwiseAND(15).alias("_ihl"),
         unsigned(raw, 23, 1).alias("_proto"),
         (first.bitwiseAND(15) * 4 + ETHERNET_HEADER).alias("_at"),
     )
-    n, at, proto = F.col("_n"), F.col("_at"), F.col("_proto")
-    is_ip = F.col("_type") == ETHER_IPV4
-    left = n - at
+    n, proto = F.col("_n"), F.col("_proto")
+    left = n - F.col("_at")
     carried = proto.isin(list(PROTOCOLS))
-    control = unsigned(raw, at + 12, 2)
     reject = (
         F.when(n < ETHERNET_HEADER, "short ethernet header")
-        .when(~is_ip, None)
+        .when(F.col("_type") != ETHER_IPV4, None)
         .when(n < ETHERNET_HEADER + IP_HEADER, "short ip header")
         .when(F.col("_version") != 4, "ip version")
         .when(F.col("_ihl") * 4 < IP_HEADER, "ip header length")
         .when(~carried, None)
         .when(left < 0, "ip header beyond capture")
         .when((proto == 6) & (left < TCP_HEADER), "short tcp header")
-        .when((proto == 6) & (F.shiftright(control, 12) < 5), "tcp data offset")
+        .when((proto == 6) & (_tcp()["data_offset"] < 5), "tcp data offset")
         .when((proto == 17) & (left < UDP_HEADER), "short udp header")
     )
-    judged = placed.withColumn("reject", reject)
-    valid = F.col("reject").isNull()
-    ip_ok = valid & is_ip
-    tcp_ok = ip_ok & (proto == 6)
-    udp_ok = ip_ok & (proto == 17)
+    return placed.withColumn("reject", reject)
+
+
+# The header fields by name, at their byte positions. The fields of a transport header start at ``_at``.
+
+
+def _ethernet() -> dict[str, Column]:
+    raw = F.col("frame")
+    return {"dst_mac": mac_text(raw, 0), "src_mac": mac_text(raw, 6), "ether_type": F.col("_type")}
+
+
+def _ip() -> dict[str, Column]:
+    raw = F.col("frame")
     fragment = unsigned(raw, 20, 2)
-    ethernet = F.struct(
-        mac_text(raw, 0).alias("dst_mac"), mac_text(raw, 6).alias("src_mac"), F.col("_type").alias("ether_type")
-    )
-    ip = F.struct(
-        F.col("_version").alias("version"),
-        F.col("_ihl").alias("ihl"),
-        unsigned(raw, 15, 1).alias("tos"),
-        unsigned(raw, 16, 2).alias("total_length"),
-        unsigned(raw, 18, 2).alias("identification"),
-        F.shiftright(fragment, 13).alias("flags"),
-        fragment.bitwiseAND(0x1FFF).alias("fragment_offset"),
-        unsigned(raw, 22, 1).alias("ttl"),
-        proto.alias("protocol"),
-        unsigned(raw, 24, 2).alias("checksum"),
-        ip_text(raw, 26).alias("source_ip"),
-        ip_text(raw, 30).alias("destination_ip"),
-    )
-    tcp = F.struct(
-        unsigned(raw, at, 2).alias("source_port"),
-        unsigned(raw, at + 2, 2).alias("destination_port"),
-        unsigned(raw, at + 4, 4).alias("sequence_number"),
-        unsigned(raw, at + 8, 4).alias("acknowledgment_number"),
-        F.shiftright(control, 12).alias("data_offset"),
-        control.bitwiseAND(0x3FF).alias("flags"),
-        unsigned(raw, at + 14, 2).alias("window_size"),
-        unsigned(raw, at + 16, 2).alias("checksum"),
-        unsigned(raw, at + 18, 2).alias("urgent_pointer"),
-    )
-    udp = F.struct(
-        unsigned(raw, at, 2).alias("source_port"),
-        unsigned(raw, at + 2, 2).alias("destination_port"),
-        unsigned(raw, at + 4, 2).alias("length"),
-        unsigned(raw, at + 6, 2).alias("checksum"),
-    )
+    return {
+        "version": F.col("_version"),
+        "ihl": F.col("_ihl"),
+        "tos": unsigned(raw, 15, 1),
+        "total_length": unsigned(raw, 16, 2),
+        "identification": unsigned(raw, 18, 2),
+        "flags": F.shiftright(fragment, 13),
+        "fragment_offset": fragment.bitwiseAND(0x1FFF),
+        "ttl": unsigned(raw, 22, 1),
+        "protocol": F.col("_proto"),
+        "checksum": unsigned(raw, 24, 2),
+        "source_ip": ip_text(raw, 26),
+        "destination_ip": ip_text(raw, 30),
+    }
+
+
+def _tcp() -> dict[str, Column]:
+    raw, at = F.col("frame"), F.col("_at")
+    control = unsigned(raw, at + 12, 2)
+    return {
+        "source_port": unsigned(raw, at, 2),
+        "destination_port": unsigned(raw, at + 2, 2),
+        "sequence_number": unsigned(raw, at + 4, 4),
+        "acknowledgment_number": unsigned(raw, at + 8, 4),
+        "data_offset": F.shiftright(control, 12),
+        "flags": control.bitwiseAND(0x3FF),
+        "window_size": unsigned(raw, at + 14, 2),
+        "checksum": unsigned(raw, at + 16, 2),
+        "urgent_pointer": unsigned(raw, at + 18, 2),
+    }
+
+
+def _udp() -> dict[str, Column]:
+    raw, at = F.col("frame"), F.col("_at")
+    return {
+        "source_port": unsigned(raw, at, 2),
+        "destination_port": unsigned(raw, at + 2, 2),
+        "length": unsigned(raw, at + 4, 2),
+        "checksum": unsigned(raw, at + 6, 2),
+    }
+
+
+def _kinds() -> tuple[Column, Column, Column]:
+    """Of a valid frame: is it IPv4, TCP, UDP."""
+    is_ip = F.col("_type") == ETHER_IPV4
+    return is_ip, is_ip & (F.col("_proto") == 6), is_ip & (F.col("_proto") == 17)
+
+
+def _protocol_and_payload() -> dict[str, Column]:
+    is_ip, is_tcp, is_udp = _kinds()
+    left = F.col("_n") - F.col("_at")
     payload = (
-        F.when(tcp_ok, F.greatest(left - F.shiftright(control, 12) * 4, F.lit(0)))
-        .when(udp_ok, left - UDP_HEADER)
-        .when(ip_ok & (proto == 1), left)
-        .when(valid, 0)
+        F.when(is_tcp, F.greatest(left - _tcp()["data_offset"] * 4, F.lit(0)))
+        .when(is_udp, left - UDP_HEADER)
+        .when(is_ip & (F.col("_proto") == 1), left)
+        .otherwise(0)
     )
-    parsed = judged.select(
+    name = F.when(is_ip, protocol_name(F.col("_proto"))).otherwise(UNKNOWN_PROTOCOL)
+    return {"protocol": name, "payload_length": payload.cast("long")}
+
+
+def with_headers(frames: DataFrame) -> DataFrame:
+    """``frames`` with the structs ``ethernet``, ``ip``, ``tcp``, ``udp`` (null where absent), ``protocol``,
+    ``payload_length`` and ``reject``: why the frame is invalid, or null.
+
+    The payload is counted from the captured bytes, so link-layer padding counts. Frames of other
+    Ethernet types and IPv4 packets of other protocols are valid and have protocol UNKNOWN.
+    """
+    valid = F.col("reject").isNull()
+    is_ip, is_tcp, is_udp = _kinds()
+
+    def struct(fields: dict[str, Column]) -> Column:
+        return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+    return _judged(frames).select(
         *frames.columns,
         "reject",
-        F.when(valid, ethernet).alias("ethernet"),
-        F.when(ip_ok, ip).alias("ip"),
-        F.when(tcp_ok, tcp).alias("tcp"),
-        F.when(udp_ok, udp).alias("udp"),
-        F.when(ip_ok, protocol_name(proto)).when(valid, UNKNOWN_PROTOCOL).alias("protocol"),
-        payload.cast("long").alias("payload_length"),
+        F.when(valid, struct(_ethernet())).alias("ethernet"),
+        F.when(valid & is_ip, struct(_ip())).alias("ip"),
+        F.when(valid & is_tcp, struct(_tcp())).alias("tcp"),
+        F.when(valid & is_udp, struct(_udp())).alias("udp"),
+        *[F.when(valid, value).alias(name) for name, value in _protocol_and_payload().items()],
     )
-    return parsed
 
 
-def flatten(parsed: DataFrame) -> DataFrame:
-    """The flat packet columns of frames whose headers were read."""
-    ports = {
-        name: F.coalesce(F.col(f"tcp.{name}"), F.col(f"udp.{name}"), F.lit(0))
-        for name in ("source_port", "destination_port")
-    }
+def decode_frames(frames: DataFrame) -> DataFrame:
+    """Valid frames as flat packets; invalid ones are left out. Reads only the header fields packets have."""
+    is_ip, is_tcp, is_udp = _kinds()
+    ethernet, ip, tcp = _ethernet(), _ip(), _tcp()
+    # TCP and UDP ports are in the same place.
+    ported = is_tcp | is_udp
     values = {
         "captured_length": F.col("caplen"),
-        "src_mac": F.col("ethernet.src_mac"),
-        "dst_mac": F.col("ethernet.dst_mac"),
-        "ether_type": F.col("ethernet.ether_type"),
-        "source_ip": F.col("ip.source_ip"),
-        "destination_ip": F.col("ip.destination_ip"),
-        "ttl": F.col("ip.ttl"),
-        "ip_protocol": F.col("ip.protocol"),
-        "tcp_flags": F.col("tcp.flags"),
-        "tcp_window": F.col("tcp.window_size"),
-        **ports,
+        **ethernet,
+        "source_ip": F.when(is_ip, ip["source_ip"]),
+        "destination_ip": F.when(is_ip, ip["destination_ip"]),
+        "ttl": F.when(is_ip, ip["ttl"]),
+        "ip_protocol": F.when(is_ip, ip["protocol"]),
+        "source_port": F.when(ported, tcp["source_port"]).otherwise(0),
+        "destination_port": F.when(ported, tcp["destination_port"]).otherwise(0),
+        "tcp_flags": F.when(is_tcp, tcp["flags"]),
+        "tcp_window": F.when(is_tcp, tcp["window_size"]),
+        **_protocol_and_payload(),
     }
-    return parsed.select(
-        [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PACKETS]
+    return (
+        _judged(frames)
+        .where(F.col("reject").isNull())
+        .select([values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in PACKETS])
     )
 
 
-def decode_frames(frames: DataFrame) -> DataFrame:
-    """Valid frames as packets; invalid ones are left out."""
-    return flatten(with_headers(frames).where(F.col("reject").isNull()))
-
-
 def decode_failures(frames: DataFrame) -> DataFrame:
     """How many frames each interface delivered that cannot be decoded, by reason."""
     return (
-        with_headers(frames)
+        _judged(frames)
         .where(F.col("reject").isNotNull())
         .groupBy("interface_name", F.col("reject").alias("reason"))
         .agg(F.count("*").alias("frames"))

@@ -20,8 +20,8 @@ FEATURES = (
     "source_port", "destination_port", "tcp_flags", "tcp_window",
 )
 # Weights of the logistic example model, one per feature, and its bias.
-EXAMPLE_WEIGHTS = (90.0, 60.0, -40.0, 300.0, -12.0, 8.0, 500.0, 2.0)
-EXAMPLE_BIAS = -4.0
+EXAMPLE_WEIGHTS = (200.0, 150.0, -40.0, 300.0, -12.0, 8.0, 500.0, 2.0)
+EXAMPLE_BIAS = -8.0
 
 Model = Callable[[Column], Column]
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelark.config import DetectionConfig
-from wirelark.operators.decode import with_headers
+from wirelark.operators.decode import decode_frames
 from wirelark.operators.ordered import rolling_totals
 from wirelark.schema import SHOWN_FLAGS, TCP_FLAGS
 
@@ -78,8 +78,7 @@ def capture_statistics(frames: DataFrame, counters: DataFrame | None = None) ->
     ``counters(ts, interface_name, dropped, if_dropped)`` holds samples of cumulative counters, of which
     the newest counts; without it nothing was dropped. Both sides are one row per interface when joined.
     """
-    valid = with_headers(frames).where(F.col("reject").isNull())
-    captured = valid.groupBy("interface_name").agg(
+    captured = decode_frames(frames).groupBy("interface_name").agg(
         F.count("*").alias("packets_captured"),
         ((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / F.lit(1e6)).alias("span"),
     )
@@ -165,3 +164,14 @@ def with_moments(totals: DataFrame) -> DataFrame:
         .withColumnRenamed("n", "samples")
         .drop("s", "q")
     )
+
+
+def judge_rates(packets: DataFrame, thresholds: DataFrame, name: str = "syn_flood_threshold") -> DataFrame:
+    """SYN packets per source and second against the value ``name`` of a ``thresholds(name, value)`` table.
+
+    The value is one row (the largest, if the name is there twice), joined by broadcast. On a stream the
+    table is read again for every micro-batch, so a changed threshold takes effect without a restart.
+    """
+    limit = thresholds.where(F.col("name") == name).agg(F.max("value").alias("threshold"))
+    counted = _per_window(packets.where(is_syn()), 1, F.count("*"), "syn_packets")
+    return counted.join(F.broadcast(limit)).withColumn("over", F.col("syn_packets") >= F.col("threshold"))

@@ -104,8 +104,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames, most of them damaged in one of fifteen ways chosen by ``seq``, to exercise the checks."""
+    """All frames, most of them damaged in one of thirteen ways chosen by ``seq``, to exercise the checks."""
     kind = F.col("seq") % 16
+    tcp = F.hex(F.substring("frame", 24, 1)) == "06"
     byte = lambda at, value: F.concat(
         F.substring("frame", 1, at), F.unhex(F.lit(value)), F.expr(f"substring(frame, {at + 2})")
     )
@@ -120,14 +121,13 @@ def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, byte(23, "2F"))
         .when(kind == 8, cut_to(41))
         .when(kind == 9, cut_to(34))
-        .when(kind == 10, byte(46, "40"))
-        .when(kind == 11, byte(46, "F0"))
-        .when(kind == 12, byte(14, "46"))
+        .when((kind == 10) & tcp, byte(46, "40"))
+        .when((kind == 11) & tcp, byte(46, "F0"))
         .otherwise(F.col("frame"))
     )
     base = frames(spark, sf_dir)
     out = base.withColumn("frame", frame).withColumn("caplen", F.length("frame"))
-    length = F.when(kind == 13, F.col("caplen") - 1).when(kind == 14, F.lit(0)).otherwise(F.col("length"))
+    length = F.when(kind == 12, F.col("caplen") - 1).when(kind == 13, F.lit(0)).otherwise(F.col("length"))
     return out.withColumn("length", length.cast("int"))
 
 
