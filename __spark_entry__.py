@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.streaming import StreamingQuery  # noqa: E402
 
 import oracles  # noqa: E402
 from wirelark.config import AlertConfig, CaptureConfig, DetectionConfig  # noqa: E402
@@ -24,8 +25,10 @@ from wirelark.plans.detect import detect_all, detection_statistics  # noqa: E402
 from wirelark.plans.pipeline import Pipeline, end_to_end, packets_of  # noqa: E402
 from wirelark.session import shared_folder, store  # noqa: E402
 from wirelark.sources import derived  # noqa: E402
-from wirelark.sources.frames import capture_filter, read_frames, snap_truncate  # noqa: E402
+from wirelark.sources.frames import capture_filter, read_frames, snap_truncate, stream_frames  # noqa: E402
 from wirelark.sources.sinks import fan_out, write_alert_json  # noqa: E402
+from wirelark.streaming.detect import StreamDetector  # noqa: E402
+from wirelark.streaming.progress import throughput_statistics  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,6 +195,87 @@ def _end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(end_to_end(_frames(spark, sf_dir), DETECTION, ALERTING))
 
 
+# Streams: the table arrives in parts of 87 seconds each, and the query is run on what is new after each part.
+
+
+def _replay(rows: DataFrame, name: str, run: Callable[[str], StreamingQuery], heartbeat: bool = False) -> StreamingQuery:
+    """Write ``rows`` to a folder part by part, running ``run(folder)`` after each.
+
+    ``heartbeat`` adds two single SYN packets an hour later: the first moves the watermark past all windows,
+    the second, in a run of its own, makes the stream act on it. One packet is below every threshold.
+    """
+    spark = rows.sparkSession
+    inbox = _folder(spark, f"{name}-in")
+    part = F.least(F.expr(f"(unix_micros(ts) - {derived.EPOCH_US}) div 87000000"), F.lit(2))
+    for number in range(3):
+        rows.where(part == number).write.mode("append").parquet(inbox)
+        query = run(inbox)
+        query.awaitTermination()
+    for _ in range(2 if heartbeat else 0):
+        last = rows.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
+        beat = {"ts": F.col("ts"), "protocol": F.lit("TCP"), "tcp_flags": F.lit(2), "source_ip": F.lit("0.0.0.0")}
+        last.select([beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(inbox)
+        query = run(inbox)
+        query.awaitTermination()
+    return query
+
+
+def _stream(
+    spark: SparkSession, rows: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame], heartbeat: bool = False
+) -> DataFrame:
+    """The rows that the streaming ``transform`` of ``rows`` has written when all parts have arrived."""
+    out, checkpoint = _folder(spark, f"{name}-out"), _folder(spark, f"{name}-checkpoint")
+
+    def run(inbox: str) -> StreamingQuery:
+        result = transform(stream_frames(spark, inbox, rows.schema))
+        writer = result.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        return writer.outputMode("append").trigger(availableNow=True).start(out)
+
+    _replay(rows, name, run, heartbeat)
+    schema = transform(rows).schema
+    return _plain(spark.read.schema(schema).parquet(out))
+
+
+def _stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, _frames(spark, sf_dir), "frames", lambda df: df).drop("frame")
+
+
+def _stream_windows(operator: Callable[..., DataFrame], name: str) -> Query:
+    return lambda spark, sf_dir: _stream(
+        spark, _packets(spark, sf_dir), name, lambda df: operator(df, WINDOWED), heartbeat=True
+    )
+
+
+def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, _alerts(spark, sf_dir), "dedup", lambda df: al.dedupe(df, ALERTING)).select(*al.SIGNATURE)
+
+
+def _stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _frames(spark, sf_dir)
+    out, checkpoint = _folder(spark, "e2e-out"), _folder(spark, "e2e-checkpoint")
+    detector = StreamDetector(spark, _folder(spark, "e2e-state"), DETECTION, ALERTING)
+
+    def sink(alerts: DataFrame, batch_id: int) -> None:
+        al.alert_json(alerts).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def run(inbox: str) -> StreamingQuery:
+        return detector.run(stream_frames(spark, inbox), sink, checkpoint, packets_of)
+
+    _replay(frames, "e2e", run)
+    return _plain(spark.read.parquet(out).drop("batch"))
+
+
+def _throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets, checkpoint = _packets(spark, sf_dir), _folder(spark, "throughput-checkpoint")
+
+    def run(inbox: str) -> StreamingQuery:
+        mix = traffic.protocol_mix(stream_frames(spark, inbox, packets.schema))
+        writer = mix.writeStream.format("noop").option("checkpointLocation", checkpoint)
+        return writer.outputMode("complete").trigger(availableNow=True).start()
+
+    return throughput_statistics(spark, _replay(packets, "throughput", run))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Frames to alert documents on the smallest tables: decode, detect, limit, deduplicate, format."""
     return _end_to_end(spark, "/root/testdata/sf0.001")
@@ -251,6 +335,13 @@ def queries() -> dict[str, Query]:
         "stage_statistics": _over(_packets, _stage_statistics),
         "threshold_config": _thresholds,
         "end_to_end": _end_to_end,
+        # the same on streams
+        "stream_frames": _stream_frames,
+        "stream_syn_rate_windows": _stream_windows(traffic.syn_rate_windows, "syn"),
+        "stream_port_scan_windows": _stream_windows(traffic.port_scan_windows, "ports"),
+        "stream_alert_dedup": _stream_dedup,
+        "stream_end_to_end": _stream_end_to_end,
+        "throughput_statistics": _throughput,
     }
 
 

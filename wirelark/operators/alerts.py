@@ -30,9 +30,14 @@ RATE_SALTS = 64
 
 
 def alert(
-    subjects: DataFrame, kind: str, severity: int, description: Column, confidence: Column | None = None
+    subjects: DataFrame,
+    kind: str,
+    severity: int,
+    description: Column,
+    confidence: Column | None = None,
+    extra: list[str] = (),
 ) -> DataFrame:
-    """The alert rows about the packets ``subjects``."""
+    """The alert rows about the packets ``subjects``, and their columns ``extra``."""
     values = {
         "detector_ord": F.lit(DETECTOR_ORDER[kind]),
         "type": F.lit(kind),
@@ -40,14 +45,18 @@ def alert(
         "description": description,
         "confidence_score": F.lit(1.0) if confidence is None else confidence,
     }
-    return subjects.select([values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ALERTS])
+    columns = [values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ALERTS]
+    return subjects.select(*columns, *extra)
 
 
-def limit_rate(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
+def limit_rate(
+    alerts: DataFrame, config: AlertConfig = AlertConfig(), used: DataFrame | None = None
+) -> DataFrame:
     """The first ``max_alerts_per_second`` alerts of every second of event time.
 
     A flood puts most alerts into a few seconds, so each second is first limited in many salted parts;
     what a second can bring to the final count is bounded by the limit times the number of parts.
+    ``used(second, used)`` says how many alerts of a second were let through before these.
     """
     n = config.max_alerts_per_second
     second, salt = F.date_trunc("second", "ts"), F.pmod(F.hash(*ALERT_ORDER), F.lit(RATE_SALTS))
@@ -55,15 +64,16 @@ def limit_rate(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFr
     in_second = Window.partitionBy("_second").orderBy(*ALERT_ORDER)
     parts = alerts.withColumns({"_second": second, "_salt": salt})
     few = parts.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= n)
-    return (
-        few.withColumn("_n", F.row_number().over(in_second))
-        .where(F.col("_n") <= n)
-        .drop("_second", "_salt", "_n")
-    )
+    ranked = few.withColumn("_n", F.row_number().over(in_second)).where(F.col("_n") <= n)
+    if used is not None:
+        before = used.withColumnRenamed("second", "_second")
+        ranked = ranked.join(before, "_second", "left").where(F.col("_n") <= n - F.coalesce("used", F.lit(0)))
+    return ranked.select(*alerts.columns)
 
 
-def _dedup_bucket(window_seconds: int) -> Column:
-    return F.expr(f"unix_micros(ts) div {window_seconds * 1_000_000}")
+def dedup_bucket(config: AlertConfig) -> Column:
+    """The aligned stretch of time an alert falls into. As a window, it lets a stream forget old signatures."""
+    return F.window("ts", f"{config.dedup_window} seconds")
 
 
 def dedupe(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
@@ -74,9 +84,11 @@ def dedupe(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
     """
     if not config.enable_deduplication:
         return alerts
-    bucketed = alerts.withColumn("_bucket", _dedup_bucket(config.dedup_window))
+    bucketed = alerts.withColumn("_bucket", dedup_bucket(config))
     if alerts.isStreaming:
-        return bucketed.dropDuplicates([*SIGNATURE, "_bucket"]).drop("_bucket")
+        # One event time column at most: the window keeps the watermark, ts becomes a plain time.
+        plain = bucketed.withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
+        return plain.dropDuplicates([*SIGNATURE, "_bucket"]).drop("_bucket")
     rest = [c for c in alerts.columns if c not in SIGNATURE and c not in ALERT_ORDER]
     first = F.min(F.struct(*ALERT_ORDER, *rest)).alias("_first")
     kept = bucketed.groupBy(*SIGNATURE, "_bucket").agg(first)

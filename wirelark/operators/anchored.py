@@ -20,7 +20,15 @@ from wirelark.config import DetectionConfig
 from wirelark.operators.alerts import alert
 from wirelark.operators.ordered import running_totals
 from wirelark.operators.traffic import is_port_carrier, is_syn, is_tcp
-from wirelark.schema import ALERT_SUBJECT, HIGH, MEDIUM, PORT_SCAN, RATE_LIMIT_EXCEEDED, SYN_FLOOD
+from wirelark.schema import (
+    ALERT_SUBJECT,
+    DETECTOR_ORDER,
+    HIGH,
+    MEDIUM,
+    PORT_SCAN,
+    RATE_LIMIT_EXCEEDED,
+    SYN_FLOOD,
+)
 from wirelark.session import cut
 
 SECOND = 1_000_000  # microseconds; times in this module are microseconds since 1970
@@ -28,6 +36,10 @@ SECOND = 1_000_000  # microseconds; times in this module are microseconds since
 BROADCAST_ROWS = 200_000
 # Into how many parts the rows of one join key are split when the looked-up table is shuffled.
 JOIN_SALTS = 32
+# Sequence number of rows that stand for what came before the first packet.
+BEFORE_ALL = -(2**63)
+# More than there are ports.
+MANY_PORTS = 1 << 17
 
 
 def _slot(time: Column) -> Column:
@@ -150,13 +162,20 @@ def _timed(packets: DataFrame) -> DataFrame:
     return packets.where(F.col("source_ip").isNotNull()).withColumn("t", F.unix_micros("ts"))
 
 
-def connection_trackers(packets: DataFrame, config: DetectionConfig, sources: DataFrame | None = None) -> DataFrame:
+def connection_trackers(
+    packets: DataFrame, config: DetectionConfig, sources: DataFrame | None = None, carried: DataFrame | None = None
+) -> DataFrame:
     """Connection trackers as ``(source_ip, t, anchor)``: start, and first SYN or else the start.
 
-    ``packets`` are TCP packets with ``t`` in microseconds, ``sources`` those to look at (default all).
+    ``packets`` are TCP packets with ``t`` in microseconds, ``sources`` those to look at (default all),
+    ``carried`` the trackers that were active when the packets began (see ``carry_connections``).
     """
     hop = (config.statistics_window + 1) * SECOND
-    times = packets.groupBy("source_ip", "t").agg(F.max(is_syn()).alias("syn"))
+    times = packets.select("source_ip", "t", is_syn().alias("syn"))
+    if carried is not None:
+        first_syn = carried.where("syn_count > 0").select("source_ip", F.col("anchor").alias("t"), F.lit(True).alias("syn"))
+        times = times.unionByName(carried.select("source_ip", "t", F.lit(False).alias("syn"))).unionByName(first_syn)
+    times = times.groupBy("source_ip", "t").agg(F.max("syn").alias("syn"))
     if sources is not None:
         times = lookup_join(times, sources, ["source_ip"], "left_semi")
     times = cut(times)
@@ -170,10 +189,15 @@ def connection_trackers(packets: DataFrame, config: DetectionConfig, sources: Da
     return _chain(pointed, hop).select("source_ip", "t", "anchor")
 
 
-def port_trackers(packets: DataFrame, config: DetectionConfig, sources: DataFrame | None = None) -> DataFrame:
+def port_trackers(
+    packets: DataFrame, config: DetectionConfig, sources: DataFrame | None = None, carried: DataFrame | None = None
+) -> DataFrame:
     """Port trackers as ``(source_ip, t, anchor)``; the start is the anchor."""
     hop = (config.port_scan_window + 1) * SECOND
-    times = packets.select("source_ip", "t").distinct()
+    times = packets.select("source_ip", "t")
+    if carried is not None:
+        times = times.unionByName(carried.select("source_ip", "t"))
+    times = times.distinct()
     if sources is not None:
         times = lookup_join(times, sources, ["source_ip"], "left_semi")
     times = cut(times)
@@ -204,28 +228,47 @@ def _elapsed_within(since: Column, seconds: int) -> Column:
     return F.col("t") - since < (seconds + 1) * SECOND
 
 
-def flood_alerts(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """SYN flood and connection flood alerts, which share one tracker per source.
+def tcp_times(packets: DataFrame) -> DataFrame:
+    return _timed(packets.select(*ALERT_SUBJECT, "protocol", "tcp_flags")).where(is_tcp())
 
-    From the threshold-th SYN (TCP packet) of a tracker on, every one within the window of the anchor
-    raises an alert. Packets later than the window after the anchor cannot, and are left out before the
-    rows are sorted and counted.
-    """
-    tcp = _timed(packets.select(*ALERT_SUBJECT, "protocol", "tcp_flags")).where(is_tcp())
-    widest = max(config.syn_flood_window, config.connection_window) + 1
-    reach = config.statistics_window + 1 + widest + 1
+
+def port_times(packets: DataFrame) -> DataFrame:
+    return _timed(packets.where(is_port_carrier()).select(*ALERT_SUBJECT))
+
+
+def flood_alerts(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
+    """SYN flood and connection flood alerts, which share one tracker per source."""
+    tcp = tcp_times(packets)
+    reach = config.statistics_window + max(config.syn_flood_window, config.connection_window) + 3
     flooding = _busy_sources(tcp, is_syn(), config.syn_flood_threshold, config.syn_flood_window + 2)
     connecting = _busy_sources(tcp, is_tcp(), config.connection_rate_threshold, reach)
     sources = cut(flooding.union(connecting).distinct())
+    return flood_alerts_in(tcp, connection_trackers(tcp, config, sources), config)
 
-    trackers = connection_trackers(tcp, config, sources)
-    rows = tcp.select(*ALERT_SUBJECT, "t", is_syn().cast("long").alias("syns"), F.lit(1).cast("long").alias("packets"))
-    rows = _in_trackers(
-        rows.withColumn("is_syn", F.col("syns") == 1),
-        trackers,
-        F.least(F.col("anchor") + widest * SECOND, F.col("anchor") + (config.statistics_window + 1) * SECOND),
-        (config.statistics_window + 1) * SECOND,
+
+def flood_alerts_in(
+    tcp: DataFrame, trackers: DataFrame, config: DetectionConfig, carried: DataFrame | None = None
+) -> DataFrame:
+    """Flood alerts of TCP packets whose trackers are known.
+
+    From the threshold-th SYN (TCP packet) of a tracker on, every one within the window of the anchor
+    raises an alert. Packets later than the window after the anchor cannot, and are left out before the
+    rows are sorted and counted. A carried tracker brings its counts as one row ahead of the packets.
+    """
+    keep = (config.statistics_window + 1) * SECOND
+    widest = (max(config.syn_flood_window, config.connection_window) + 1) * SECOND
+    rows = tcp.select(
+        *ALERT_SUBJECT, "t", is_syn().alias("is_syn"), is_syn().cast("long").alias("syns"),
+        F.lit(1).cast("long").alias("packets"), F.lit(True).alias("is_packet"),
     )
+    if carried is not None:
+        ahead = carried.select(
+            "source_ip", "t", F.timestamp_micros("t").alias("ts"), F.lit(BEFORE_ALL).alias("seq"),
+            F.lit(False).alias("is_syn"), F.col("syn_count").alias("syns"), F.col("connection_count").alias("packets"),
+            F.lit(False).alias("is_packet"),
+        )
+        rows = rows.unionByName(ahead, allowMissingColumns=True)
+    rows = _in_trackers(rows, trackers, F.col("anchor") + min(widest, keep), keep)
     counted = running_totals(rows, ["source_ip", "start"], ["ts", "seq"], ["syns", "packets"])
     # The anchor moves to the first SYN when that SYN is counted.
     since = F.when(F.col("syns") > 0, F.col("anchor")).otherwise(F.col("start"))
@@ -237,14 +280,15 @@ def flood_alerts(packets: DataFrame, config: DetectionConfig = DetectionConfig()
     connection_hit = (F.col("packets") >= config.connection_rate_threshold) & _elapsed_within(
         since, config.connection_window
     )
-    hits = counted.where(syn_hit | connection_hit).select(
-        "*", F.explode(F.array_compact(F.array(F.when(syn_hit, SYN_FLOOD), F.when(connection_hit, RATE_LIMIT_EXCEEDED)))).alias("hit")
-    )
-    syn_text = F.format_string("SYN flood detected from %s", "source_ip")
-    connection_text = F.format_string("Connection flood detected from %s", "source_ip")
-    return alert(hits.where(F.col("hit") == SYN_FLOOD), SYN_FLOOD, HIGH, syn_text).unionByName(
-        alert(hits.where(F.col("hit") == RATE_LIMIT_EXCEEDED), RATE_LIMIT_EXCEEDED, HIGH, connection_text)
+    kinds = F.array_compact(F.array(F.when(syn_hit, SYN_FLOOD), F.when(connection_hit, RATE_LIMIT_EXCEEDED)))
+    hits = counted.where("is_packet").select("*", F.explode(kinds).alias("hit"))
+    is_flood = F.col("hit") == SYN_FLOOD
+    text = F.format_string(
+        "%s flood detected from %s", F.when(is_flood, "SYN").otherwise("Connection"), F.col("source_ip")
     )
+    alerts = alert(hits.withColumn("_text", text), SYN_FLOOD, HIGH, F.col("_text"), extra=["hit"])
+    order = F.when(is_flood, DETECTOR_ORDER[SYN_FLOOD]).otherwise(DETECTOR_ORDER[RATE_LIMIT_EXCEEDED])
+    return alerts.withColumns({"type": F.col("hit"), "detector_ord": order}).drop("hit")
 
 
 def detect_syn_flood(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
@@ -256,36 +300,84 @@ def detect_connection_flood(packets: DataFrame, config: DetectionConfig = Detect
 
 
 def detect_port_scan(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    """Port scan alerts: every packet of a tracker that has seen the threshold of destination ports.
+    """Port scan alerts: every packet of a tracker that has seen the threshold of destination ports."""
+    carrying = port_times(packets)
+    sources = cut(_busy_sources(carrying, F.lit(True), config.port_scan_threshold, config.port_scan_window + 2))
+    return scan_alerts_in(carrying, port_trackers(carrying, config, sources), config)
+
+
+def scan_alerts_in(
+    carrying: DataFrame, trackers: DataFrame, config: DetectionConfig, carried: DataFrame | None = None
+) -> DataFrame:
+    """Port scan alerts of packets whose trackers are known.
 
     Each port's first packet is found by a grouping that combines on the map side; a tracker has at most
     65,536 of them. Only trackers that reach the threshold have their later packets sorted and counted.
     """
-    carrying = _timed(packets.where(is_port_carrier()).select(*ALERT_SUBJECT))
     threshold, hop = config.port_scan_threshold, (config.port_scan_window + 1) * SECOND
-    sources = cut(_busy_sources(carrying, F.lit(True), threshold, config.port_scan_window + 2))
-    trackers = cut(port_trackers(carrying, config, sources))
-    rows = _in_trackers(carrying, trackers, F.col("t") + hop, hop)
+    seen = carrying.select("source_ip", "t", "seq", "destination_port")
+    if carried is not None:
+        seen = seen.unionByName(carried.withColumn("seq", F.lit(BEFORE_ALL)))
+    rows = _in_trackers(seen, trackers, F.col("t") + hop, hop)
     firsts = rows.groupBy("source_ip", "start", "destination_port").agg(F.min(F.struct("t", "seq")).alias("first"))
-    in_tracker = Window.partitionBy("source_ip", "start").orderBy("first")
+    in_tracker = Window.partitionBy("source_ip", "start").orderBy("first", "destination_port")
     steps = cut(firsts.withColumn("k", F.row_number().over(in_tracker)).where(F.col("k") >= threshold))
-    reached = steps.where(F.col("k") == threshold).select(
-        "source_ip", F.col("start").alias("t"), F.col("start").alias("anchor"), "first"
-    )
+    reached = steps.where(F.col("k") == threshold).select("source_ip", F.col("start").alias("t"), "first")
     scanning = _in_trackers(carrying, reached, F.col("t") + hop, hop).where(F.struct("t", "seq") >= F.col("first"))
     # New ports add to the count just before the packet that brought them.
-    events = scanning.drop("first", "anchor").withColumns({"ports": F.lit(0).cast("long"), "is_packet": F.lit(1)})
+    events = scanning.drop("first").withColumns({"ports": F.lit(0).cast("long"), "position": F.lit(threshold + MANY_PORTS)})
     news = steps.select(
         "source_ip", "start", F.col("first.t").alias("t"), F.col("first.seq").alias("seq"),
         F.when(F.col("k") == threshold, threshold).otherwise(1).cast("long").alias("ports"),
-        F.lit(0).alias("is_packet"),
+        F.col("k").alias("position"),
     )
     counted = running_totals(
         events.unionByName(news, allowMissingColumns=True),
-        ["source_ip", "start"], ["t", "seq", "is_packet"], ["ports"],
+        ["source_ip", "start"], ["t", "seq", "position"], ["ports"],
     )
     text = F.format_string("Port scan detected from %s (%d ports)", "source_ip", "ports")
-    return alert(counted.where("is_packet = 1"), PORT_SCAN, MEDIUM, text)
+    return alert(counted.where(F.col("position") == threshold + MANY_PORTS), PORT_SCAN, MEDIUM, text)
+
+
+def _last(trackers: DataFrame, now: DataFrame, keep: int) -> DataFrame:
+    """The last tracker of each source, if not expired at ``now`` (one row): one row per source at most."""
+    newest = trackers.groupBy("source_ip").agg(F.max(F.struct("t", "anchor")).alias("m"))
+    alive = newest.select("source_ip", F.col("m.t").alias("start"), F.col("m.anchor").alias("anchor"))
+    return cut(alive.join(F.broadcast(now), F.col("now") - F.col("anchor") < (keep + 1) * SECOND).drop("now"))
+
+
+def carry_connections(
+    tcp: DataFrame, trackers: DataFrame, now: DataFrame, config: DetectionConfig, carried: DataFrame | None = None
+) -> DataFrame:
+    """Active connection trackers as ``(source_ip, t, anchor, syn_count, connection_count)``."""
+    last = _last(trackers, now, config.statistics_window)
+    rows = tcp.select("source_ip", "t", is_syn().cast("long").alias("syns"), F.lit(1).cast("long").alias("packets"))
+    if carried is not None:
+        rows = rows.unionByName(
+            carried.select("source_ip", "t", F.col("syn_count").alias("syns"), F.col("connection_count").alias("packets"))
+        )
+    return (
+        lookup_join(rows, last, ["source_ip"])
+        .where("t >= start")
+        .groupBy("source_ip", F.col("start").alias("t"), "anchor")
+        .agg(F.sum("syns").alias("syn_count"), F.sum("packets").alias("connection_count"))
+    )
+
+
+def carry_ports(
+    carrying: DataFrame, trackers: DataFrame, now: DataFrame, config: DetectionConfig, carried: DataFrame | None = None
+) -> DataFrame:
+    """The ports of active port trackers as ``(source_ip, t, destination_port)``."""
+    last = _last(trackers, now, config.port_scan_window)
+    rows = carrying.select("source_ip", "t", "destination_port")
+    if carried is not None:
+        rows = rows.unionByName(carried)
+    return (
+        lookup_join(rows, last, ["source_ip"])
+        .where("t >= start")
+        .select("source_ip", F.col("start").alias("t"), "destination_port")
+        .distinct()
+    )
 
 
 def active_trackers(
@@ -296,31 +388,18 @@ def active_trackers(
     The last tracker of each source is the only one that can be active, so one row per source is joined
     back to the packets, and those are counted with map-side combining.
     """
-    timed = _timed(packets.select("source_ip", "ts", "protocol", "tcp_flags", "destination_port"))
-    tcp, carrying = timed.where(is_tcp()), timed.where(is_port_carrier())
-    now = timed.agg(F.max("t").alias("now")) if as_of is None else timed.sparkSession.range(1).select(F.unix_micros(as_of).alias("now"))
-
-    def last(trackers: DataFrame, keep: int) -> DataFrame:
-        newest = trackers.groupBy("source_ip").agg(F.max(F.struct("t", "anchor")).alias("m"))
-        alive = newest.select("source_ip", F.col("m.t").alias("start"), F.col("m.anchor").alias("anchor"))
-        return cut(alive.join(F.broadcast(now), F.col("now") - F.col("anchor") < (keep + 1) * SECOND).drop("now"))
-
-    connections = lookup_join(tcp, last(connection_trackers(tcp, config), config.statistics_window), ["source_ip"])
-    ports = lookup_join(carrying, last(port_trackers(carrying, config), config.port_scan_window), ["source_ip"])
-    per_port = ports.where("t >= start").groupBy("source_ip", "anchor", "destination_port").agg(F.count("*").alias("c"))
+    tcp, carrying = tcp_times(packets), port_times(packets)
+    newest = F.max("ts") if as_of is None else F.any_value(as_of)
+    now = packets.agg(F.unix_micros(newest).alias("now"))
+    connections = carry_connections(tcp, connection_trackers(tcp, config), now, config)
+    ports = carry_ports(carrying, port_trackers(carrying, config), now, config)
     nothing = F.lit(None).cast("long")
-    return (
-        connections.where("t >= start")
-        .groupBy("source_ip", "anchor")
-        .agg(F.count_if(is_syn()).alias("syn_count"), F.count("*").alias("connection_count"))
-        .select(
-            F.lit("connection").alias("tracker"), "source_ip", F.timestamp_micros("anchor").alias("first_seen"),
-            "syn_count", "connection_count", nothing.alias("ports"),
-        )
-        .unionByName(
-            per_port.groupBy("source_ip", "anchor").agg(F.count("*").alias("ports")).select(
-                F.lit("port scan").alias("tracker"), "source_ip", F.timestamp_micros("anchor").alias("first_seen"),
-                nothing.alias("syn_count"), nothing.alias("connection_count"), "ports",
-            )
+    return connections.select(
+        F.lit("connection").alias("tracker"), "source_ip", F.timestamp_micros("anchor").alias("first_seen"),
+        "syn_count", "connection_count", nothing.alias("ports"),
+    ).unionByName(
+        ports.groupBy("source_ip", "t").agg(F.count("*").alias("ports")).select(
+            F.lit("port scan").alias("tracker"), "source_ip", F.timestamp_micros("t").alias("first_seen"),
+            nothing.alias("syn_count"), nothing.alias("connection_count"), "ports",
         )
     )

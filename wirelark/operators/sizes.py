@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelark.config import DetectionConfig
@@ -12,21 +12,43 @@ from wirelark.operators.traffic import with_moments
 from wirelark.schema import ALERT_SUBJECT, ANOMALOUS_TRAFFIC, MEDIUM
 
 
-def rolling_size_stats(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
+def size_rows(packets: DataFrame) -> DataFrame:
+    return packets.where(F.col("source_ip").isNotNull()).select(*ALERT_SUBJECT, "length")
+
+
+def carry_sizes(lengths: DataFrame, config: DetectionConfig) -> DataFrame:
+    """The last rows per source that later packets' statistics still need. The ranking keeps at most as
+    many rows per source and task as it lets through, before it shuffles."""
+    newest = Window.partitionBy("source_ip").orderBy(F.col("ts").desc(), F.col("seq").desc())
+    last = lengths.withColumn("_n", F.row_number().over(newest))
+    return last.where(F.col("_n") <= config.moving_average_window - 1).drop("_n")
+
+
+def rolling_size_stats(
+    packets: DataFrame, config: DetectionConfig = DetectionConfig(), carried: DataFrame | None = None
+) -> DataFrame:
     """Per packet: mean, population variance and standard deviation of the last packet lengths of its source,
-    its own included, and its z-score (0 where the deviation is 0)."""
-    lengths = packets.where(F.col("source_ip").isNotNull()).select(*ALERT_SUBJECT, "length")
+    its own included, and its z-score (0 where the deviation is 0).
+
+    ``carried`` are rows from before the packets (see ``carry_sizes``); they count but are not returned.
+    """
+    lengths = size_rows(packets)
+    if carried is not None:
+        lengths = lengths.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False)))
     stats = with_moments(
         rolling_totals(lengths, ["source_ip"], ["ts", "seq"], "length", config.moving_average_window)
     )
     z = F.when(F.col("stddev") == 0, F.lit(0.0)).otherwise(
         (F.col("length").cast("double") - F.col("mean")) / F.col("stddev")
     )
-    return stats.withColumn("z_score", z)
+    scored = stats.withColumn("z_score", z)
+    return scored if carried is None else scored.where("_new").drop("_new")
 
 
-def size_zscore_alerts(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
-    stats = rolling_size_stats(packets, config)
+def size_zscore_alerts(
+    packets: DataFrame, config: DetectionConfig = DetectionConfig(), carried: DataFrame | None = None
+) -> DataFrame:
+    stats = rolling_size_stats(packets, config, carried)
     unusual = stats.where(
         (F.col("samples") > config.z_score_min_samples) & (F.abs("z_score") > config.z_score_threshold)
     )

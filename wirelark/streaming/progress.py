@@ -1,0 +1,22 @@
+"""How fast a stream runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+
+def throughput_statistics(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """One row per recent micro-batch: packets, packets per second, milliseconds per packet.
+
+    Spark keeps a fixed number of progress reports (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    rows = []
+    for report in query.recentProgress:
+        count, spent = report["numInputRows"], report["durationMs"].get("triggerExecution", 0)
+        rate = 1000.0 * count / spent if spent else 0.0
+        rows.append((report["batchId"], count, rate, spent / max(1, count)))
+    schema = (
+        "batch_id long, packets_processed long, processing_rate_pps double, average_processing_time_ms double"
+    )
+    return spark.createDataFrame(rows, schema)

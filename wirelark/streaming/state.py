@@ -1,0 +1,32 @@
+"""State tables of a streaming job, one version per micro-batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+class StateTable:
+    """A table in the shared folder that micro-batch ``n`` reads as version ``n - 1`` and writes as ``n``.
+
+    A micro-batch that is repeated after a failure reads the same version again and overwrites its own, so
+    the outcome is the same. Being an ordinary table, the state of one source may be spread over many
+    tasks, which per-key state operators cannot do.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str | T.StructType) -> None:
+        self._spark, self._folder = spark, folder
+        self._schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def _path(self, version: int) -> str:
+        return f"{self._folder}/version={version}"
+
+    def before(self, batch_id: int) -> DataFrame:
+        """What the micro-batches before ``batch_id`` left."""
+        if batch_id == 0:
+            return self._spark.createDataFrame([], self._schema)
+        return self._spark.read.schema(self._schema).parquet(self._path(batch_id - 1))
+
+    def write(self, batch_id: int, rows: DataFrame) -> None:
+        columns = [rows[f.name].cast(f.dataType).alias(f.name) for f in self._schema]
+        rows.select(columns).write.mode("overwrite").parquet(self._path(batch_id))
