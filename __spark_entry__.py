@@ -1,7 +1,8 @@
 """Every operator as a query over the given tables, with SQL to check it against.
 
-Packets are derived from ``events`` (see ``wirelark.sources.derived``). Frames and alerts, the inputs of
-the decoder and of the alert chain, are derived from them by Spark and stored once per session.
+Packets, and from them frames and alerts, are derived by Spark from ``events`` (see
+``wirelark.sources.derived``), whole, and stored as tables on first use in a session, as a capture would
+leave them. The queries read those tables.
 """
 
 from __future__ import annotations
@@ -51,18 +52,25 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Query) -> DataFrame
     return _stored[key]
 
 
+def _spread(make: Query) -> Query:
+    """The test table is one file that one task reads; its offspring are written by all tasks, as files
+    that can be read in parallel."""
+    return lambda spark, sf_dir: make(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+
+
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.packets(spark, sf_dir)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _once(spark, sf_dir, "packets", _spread(derived.packets))
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _once(spark, sf_dir, "frames", derived.frames)
+    return _once(spark, sf_dir, "frames", _spread(derived.frames))
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _once(spark, sf_dir, "damaged", derived.damaged_frames)
+    return _once(spark, sf_dir, "damaged", _spread(derived.damaged_frames))
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,48 +75,38 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     assert detected(spark, packets, config) == tracker_alerts(packets, config)
 
 
-def hits(spark, packets, **changes):
-    config = DetectionConfig(**changes)
-    got = detected(spark, packets, config)
-    assert got == tracker_alerts(packets, config)
-    return [(seq, kind) for seq, kind, _ in got]
-
-
-def test_syn_flood_edges(spark):
+def test_edges(spark):
+    """Cases at the borders of the rules with the default settings, each with a source of its own."""
     many = [packet(i, i * 0.0101) for i in range(99)]
-    assert hits(spark, many) == []
-    assert hits(spark, many + [packet(99, 1.999999)]) == [(99, "SYN_FLOOD")]
-    assert hits(spark, many + [packet(99, 2.0)]) == []
-    assert hits(spark, many + [packet(99, 1.5, flags=18)]) == [(99, "SYN_FLOOD")]
-
-
-def test_equal_times_follow_seq(spark):
-    same = [packet(i, 5) for i in range(101)]
-    assert hits(spark, list(reversed(same))) == [(99, "SYN_FLOOD"), (100, "SYN_FLOOD")]
-
-
-def test_port_scan_edges(spark):
     ports = [packet(i, i * 0.1, port=i + 1, protocol="UDP") for i in range(49)]
-    assert hits(spark, ports) == []
-    assert hits(spark, ports + [packet(49, 60.999999, port=50)]) == [(49, "PORT_SCAN")]
-    assert hits(spark, ports + [packet(49, 61, port=50)]) == []
-    assert hits(spark, ports + [packet(49, 50, port=1)]) == []
-
-
-def test_first_syn_moves_the_anchor(spark):
     slow = [packet(i, i * 0.2, flags=16) for i in range(999)]
-    assert hits(spark, slow + [packet(999, 200)]) == [(999, "RATE_LIMIT_EXCEEDED")]
-    assert hits(spark, slow + [packet(999, 200, flags=16)]) == []
-
-
-def test_idle_source_starts_anew(spark):
-    burst = [packet(i + 1, 301 + i * 0.01) for i in range(100)]
-    assert hits(spark, [packet(0, 0)] + burst) == [(100, "SYN_FLOOD")]
-    early = [packet(i + 1, 300.9 + i * 0.0001) for i in range(100)]
-    assert hits(spark, [packet(0, 0)] + early) == []
+    cases = {
+        "99 SYN": (many, []),
+        "100th SYN in time": (many + [packet(99, 1.999999)], [(99, "SYN_FLOOD")]),
+        "100th SYN too late": (many + [packet(99, 2.0)], []),
+        "SYN-ACK counts": (many + [packet(99, 1.5, flags=18)], [(99, "SYN_FLOOD")]),
+        "equal times follow seq": ([packet(i, 5) for i in reversed(range(101))], [(99, "SYN_FLOOD"), (100, "SYN_FLOOD")]),
+        "49 ports": (ports, []),
+        "50th port in time": (ports + [packet(49, 60.999999, port=50)], [(49, "PORT_SCAN")]),
+        "50th port too late": (ports + [packet(49, 61, port=50)], []),
+        "known port": (ports + [packet(49, 50, port=1)], []),
+        "first SYN moves the anchor": (slow + [packet(999, 200)], [(999, "RATE_LIMIT_EXCEEDED")]),
+        "no SYN, no move": (slow + [packet(999, 200, flags=16)], []),
+        "idle source starts anew": (
+            [packet(0, 0)] + [packet(i + 1, 301 + i * 0.01) for i in range(100)], [(100, "SYN_FLOOD")]),
+        "not idle for long enough": ([packet(0, 0)] + [packet(i + 1, 300.9 + i * 0.0001) for i in range(100)], []),
+    }
+    packets = []
+    for number, (case, _) in enumerate(cases.values()):
+        packets += [dict(p, source_ip=f"10.0.1.{number}", seq=p["seq"] + 10_000 * number) for p in case]
+    config = DetectionConfig()
+    got = detected(spark, packets, config)
+    assert got == tracker_alerts(packets, config)
+    for number, (name, (_, want)) in enumerate(cases.items()):
+        assert [(seq % 10_000, kind) for seq, kind, _ in got if seq // 10_000 == number] == want, name
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 8])
+@pytest.mark.parametrize("partitions", [1, 8])
 def test_running_totals_of_a_hot_key(spark, partitions):
     rng = random.Random(partitions)
     rows = [("hot" if i % 3 else f"k{i % 7}", i // 4, i, rng.randint(0, 9)) for i in range(4000)]
@@ -134,7 +124,7 @@ def test_running_totals_of_a_hot_key(spark, partitions):
     assert {r.seq: r.v for r in got} == want
 
 
-@pytest.mark.parametrize("window,block", [(1, 1), (5, 5), (10, 64), (1000, 1000), (7, 100000)])
+@pytest.mark.parametrize("window,block", [(1, 1), (10, 64), (1000, 1000)])
 def test_rolling_totals_across_blocks(spark, window, block):
     rng = random.Random(window)
     rows = [("hot" if i % 4 else f"k{i % 5}", i, rng.randint(40, 1500)) for i in range(3000)]

@@ -79,24 +79,23 @@ def _busy_sources(packets: DataFrame, counted: Column, threshold: int, span: int
     )
 
 
-def _next_point(asked: DataFrame, points: DataFrame, at: str, point: str) -> DataFrame:
-    """``asked`` with ``_next``: the first time ``point`` of ``points`` of the same source not before ``at``.
+def _next_point(rows: DataFrame, at: str, point: Column, points: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``_next``: the first time ``point`` of the same source not before ``at``.
 
-    Rows meet in one-second slots. Times are distinct microseconds, so a slot holds a bounded number of
-    them whatever the traffic; if the slot holds none after ``at``, the next non-empty slot's first one is
+    The points are those of ``points``, or else those that ``rows`` themselves have where ``point`` is not
+    null. Rows meet in one-second slots. Times are distinct microseconds, so a slot holds a bounded number
+    of them whatever the traffic; if the slot holds none after ``at``, the next non-empty slot's first one is
     taken from a table with one row per source and slot.
     """
-    names = asked.columns
-    both = (
-        asked.withColumns({"_at": F.col(at), "_point": F.lit(None).cast("long"), "_ask": F.lit(True)})
-        .unionByName(
-            points.select(
-                "source_ip", F.col(point).alias("_at"), F.col(point).alias("_point"), F.lit(False).alias("_ask")
-            ),
-            allowMissingColumns=True,
-        )
-        .withColumn("_slot", _slot(F.col("_at")))
-    )
+    names = rows.columns
+    if points is None:
+        both = rows.withColumns({"_at": F.col(at), "_point": point, "_asked": F.lit(True)})
+    else:
+        offered = points.select("source_ip", point.alias("_at"), point.alias("_point"), F.lit(False).alias("_asked"))
+        both = rows.withColumns(
+            {"_at": F.col(at), "_point": F.lit(None).cast("long"), "_asked": F.lit(True)}
+        ).unionByName(offered, allowMissingColumns=True)
+    both = both.withColumn("_slot", _slot(F.col("_at")))
     in_slot = Window.partitionBy("source_ip", "_slot").orderBy(F.col("_at").desc())
     later = Window.partitionBy("source_ip").orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
     slots = (
@@ -106,7 +105,7 @@ def _next_point(asked: DataFrame, points: DataFrame, at: str, point: str) -> Dat
     )
     here = both.withColumn("_here", F.min("_point").over(in_slot.rangeBetween(Window.unboundedPreceding, 0)))
     return (
-        here.where("_ask")
+        here.where("_asked")
         .join(slots, ["source_ip", "_slot"])
         .select(*names, F.coalesce("_here", "_later").alias("_next"))
     )
@@ -124,20 +123,19 @@ def _chain(starts: DataFrame, hop: int) -> DataFrame:
         return starts.drop("cell")
     origin, levels = cells[0], (cells[1] - cells[0]).bit_length()
 
-    # The chain enters a block of cells in the block's first cell, or, after a gap, at a cell's first time.
-    heads = cut(starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t"))
     table = starts.select(
         "source_ip", "t", "nxt", (F.col("cell") - origin).alias("cell"), (F.floor(F.col("nxt") / hop) - origin).alias("to")
     )
-    flagged = lookup_join(table, heads.withColumn("head", F.lit(True)), ["source_ip", "t"], "left")
-    table = flagged.withColumn("head", F.coalesce("head", F.lit(False)))
+    if levels > 1:
+        # The chain enters a block of cells in the block's first cell, or, after a gap, at a cell's first time.
+        heads = cut(
+            starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t", F.lit(True).alias("head"))
+        )
+        table = lookup_join(table, heads, ["source_ip", "t"], "left").withColumn("head", F.col("head").isNotNull())
 
-    composed = []
-    for level in range(levels):
-        table = cut(table)
-        composed.append(table)
-        if level == levels - 1:
-            break
+    composed = [table]
+    for level in range(levels - 1):
+        table = composed[-1] = cut(table)
         odd = F.shiftright("cell", level) % 2 == 1
         sibling = F.shiftright("cell", level + 1) == F.shiftright("to", level + 1)
         onward = table.where(odd).select(
@@ -147,6 +145,7 @@ def _chain(starts: DataFrame, hop: int) -> DataFrame:
         within = kept.where(sibling).join(onward, ["source_ip", "nxt"])
         within = within.select("source_ip", "t", F.col("_nxt").alias("nxt"), "cell", F.col("_to").alias("to"), "head")
         table = within.unionByName(kept.where(sibling.isNull() | ~sibling))
+        composed.append(table)
 
     reached = first
     for level in reversed(range(levels)):
@@ -179,14 +178,15 @@ def connection_trackers(
     if sources is not None:
         times = lookup_join(times, sources, ["source_ip"], "left_semi")
     times = cut(times)
-    syns = times.where("syn").select("source_ip", "t")
     near = F.col("_next") < F.col("t") + hop
-    anchored = _next_point(times.select("source_ip", "t"), syns, "t", "t").select(
-        "source_ip", "t", F.when(near, F.col("_next")).otherwise(F.col("t")).alias("anchor")
+    anchor = F.when(near, F.col("_next")).otherwise(F.col("t"))
+    asked = cut(
+        _next_point(times, "t", F.when(F.col("syn"), F.col("t"))).select(
+            "source_ip", "t", anchor.alias("anchor"), (anchor + hop).alias("_expiry")
+        )
     )
-    asked = anchored.withColumn("_expiry", F.col("anchor") + hop)
-    pointed = _next_point(asked, times, "_expiry", "t").select("source_ip", "t", "anchor", F.col("_next").alias("nxt"))
-    return _chain(pointed, hop).select("source_ip", "t", "anchor")
+    pointed = _next_point(asked, "_expiry", F.col("t"), times)
+    return _chain(pointed.withColumnRenamed("_next", "nxt"), hop).select("source_ip", "t", "anchor")
 
 
 def port_trackers(
@@ -202,8 +202,8 @@ def port_trackers(
         times = lookup_join(times, sources, ["source_ip"], "left_semi")
     times = cut(times)
     asked = times.withColumn("_expiry", F.col("t") + hop)
-    pointed = _next_point(asked, times, "_expiry", "t").select("source_ip", "t", F.col("_next").alias("nxt"))
-    return _chain(pointed, hop).select("source_ip", "t", F.col("t").alias("anchor"))
+    pointed = _next_point(asked, "_expiry", F.col("t"), times)
+    return _chain(pointed.withColumnRenamed("_next", "nxt"), hop).select("source_ip", "t", F.col("t").alias("anchor"))
 
 
 def _in_trackers(packets: DataFrame, trackers: DataFrame, until: Column, width: int) -> DataFrame:
@@ -340,10 +340,12 @@ def scan_alerts_in(
 
 
 def _last(trackers: DataFrame, now: DataFrame, keep: int) -> DataFrame:
-    """The last tracker of each source, if not expired at ``now`` (one row): one row per source at most."""
+    """The last tracker of each source, if not expired at ``now`` (one row, null if there were no packets): one
+    row per source at most."""
     newest = trackers.groupBy("source_ip").agg(F.max(F.struct("t", "anchor")).alias("m"))
     alive = newest.select("source_ip", F.col("m.t").alias("start"), F.col("m.anchor").alias("anchor"))
-    return cut(alive.join(F.broadcast(now), F.col("now") - F.col("anchor") < (keep + 1) * SECOND).drop("now"))
+    young = F.coalesce(F.col("now") - F.col("anchor") < (keep + 1) * SECOND, F.lit(True))
+    return cut(alive.join(F.broadcast(now), young).drop("now"))
 
 
 def carry_connections(

@@ -116,7 +116,7 @@ class StreamDetector:
                 F.col("bucket") >= F.col("_newest") - F.expr(f"interval {self._alerting.dedup_window} seconds")
             ),
         )
-        return with_severity(fresh.drop("bucket"))
+        return with_severity(fresh.select(*alerts.columns))
 
     def run(
         self,
