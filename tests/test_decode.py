@@ -105,7 +105,7 @@ def test_summary(frames):
 def test_validation(spark, frames):
     row = frames.where(f"seq = {NAMES.index('syn')}")
     for length, valid in ((54, True), (53, False), (0, False), (1500, True)):
-        checked = decode.checks(decode.with_headers(row.withColumn("length", row.caplen * 0 + length)))
+        checked = decode.checks(row.withColumn("length", row.caplen * 0 + length))
         assert checked.first().valid is valid
 
 

@@ -67,6 +67,41 @@ def test_random_packets(spark, seed):
     assert want and detected(spark, packets, config) == want
 
 
+@pytest.mark.parametrize("window", [1, 7, 300])
+def test_tracker_starts(spark, window):
+    """Where trackers start, for many sources with different beginnings, rates and gaps."""
+    rng = random.Random(window)
+    packets, seq = [], 0
+    for number in range(150):
+        now = rng.uniform(0, 50) * window
+        pace, syns = rng.choice([0.02, 0.2, 0.7, 1.5]) * window, rng.choice([0.02, 0.3, 0.9])
+        for _ in range(rng.randint(1, 120)):
+            now += rng.choice([rng.expovariate(1 / pace), 0, 1, window + 1]) if rng.random() < 0.9 else 9 * window
+            packets.append(packet(seq, now, f"10.1.0.{number}", 2 if rng.random() < syns else 16))
+            seq += 1
+    config = DetectionConfig(statistics_window=window, port_scan_window=window)
+    anchors, scans = {}, set()
+    for source in {p["source_ip"] for p in packets}:
+        mine = sorted((p["t"], p["tcp_flags"] == 2) for p in packets if p["source_ip"] == source)
+        hop, end, scan_end = (window + 1) * SECOND, None, None
+        start, syn = None, False
+        for t, is_syn in mine:
+            if end is None or t >= end:
+                start, syn, end = t, False, t + hop
+            if is_syn and not syn:
+                syn, end = True, t + hop
+            anchors[source, start] = end - hop
+            if scan_end is None or t >= scan_end:
+                scans.add((source, t))
+                scan_end = t + hop
+    connections = {(source, start, anchor) for (source, start), anchor in anchors.items()}
+    df = frame(spark, packets)
+    got = anchored.connection_trackers(anchored.tcp_times(df), config).collect()
+    assert {(r.source_ip, r.t, r.anchor) for r in got} == connections and len(got) == len(connections)
+    got = anchored.port_trackers(anchored.port_times(df), config).collect()
+    assert {(r.source_ip, r.t) for r in got} == scans and len(got) == len(scans)
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     """With lookup tables counted as too large to broadcast."""
     config = DetectionConfig(syn_flood_threshold=3, connection_rate_threshold=6, port_scan_threshold=4)

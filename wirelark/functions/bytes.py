@@ -1,4 +1,4 @@
-"""Column expressions that read numbers, addresses and checksums out of a binary column."""
+"""Column expressions that read numbers, hardware addresses and checksums out of a binary column."""
 
 from __future__ import annotations
 
@@ -11,19 +11,15 @@ def _offset(at: int | Column) -> Column:
 
 
 def unsigned(data: Column, at: int | Column, size: int) -> Column:
-    """The big-endian unsigned number of ``size`` (at most 7) bytes that starts at byte ``at``."""
+    """The big-endian unsigned number of ``size`` (at most 7) bytes that starts at byte ``at``, as a long."""
     piece = F.substring(data, _offset(at) + 1, F.lit(size))
-    number = F.conv(F.hex(piece), 16, 10).cast("long")
-    return number if size > 3 else number.cast("int")
+    return F.conv(F.hex(piece), 16, 10).cast("long")
 
 
-def ip_text(data: Column, at: int | Column) -> Column:
-    return F.concat_ws(".", *[unsigned(data, _offset(at) + i, 1).cast("string") for i in range(4)])
-
-
-def mac_text(data: Column, at: int) -> Column:
-    digits = F.lower(F.hex(F.substring(data, at + 1, 6)))
-    return F.concat_ws(":", *[F.substring(digits, 2 * i + 1, 2) for i in range(6)])
+def colon_hex(data: Column, at: int, size: int) -> Column:
+    """``size`` bytes as two lower-case digits each with colons between, the notation of hardware addresses."""
+    digits = F.lower(F.hex(F.substring(data, at + 1, size)))
+    return F.concat_ws(":", *[F.substring(digits, 2 * i + 1, 2) for i in range(size)])
 
 
 def word_sum(data: Column, at: int | Column, size: int | Column) -> Column:

@@ -111,10 +111,11 @@ def _next_point(rows: DataFrame, at: str, point: Column, points: DataFrame | Non
     )
 
 
-def _chain(starts: DataFrame, hop: int) -> DataFrame:
+def _chain(starts: DataFrame, hop: int, stretch: int) -> DataFrame:
     """The rows of ``starts(source_ip, t, nxt, ...)`` that are reached from the first ``t`` of each source.
 
-    ``nxt`` is where the chain goes on if it comes to ``t``; it is at least ``hop`` microseconds later.
+    ``nxt`` is where the chain goes on if it comes to ``t``: the first time of the source that is not before
+    some instant ``hop`` to ``stretch * hop`` microseconds after ``t`` (``stretch`` is 1 or 2).
     """
     starts = cut(starts.withColumn("cell", F.floor(F.col("t") / hop)))
     first = starts.groupBy("source_ip").agg(F.min("t").alias("t"))
@@ -127,7 +128,9 @@ def _chain(starts: DataFrame, hop: int) -> DataFrame:
         "source_ip", "t", "nxt", (F.col("cell") - origin).alias("cell"), (F.floor(F.col("nxt") / hop) - origin).alias("to")
     )
     if levels > 1:
-        # The chain enters a block of cells in the block's first cell, or, after a gap, at a cell's first time.
+        # The chain enters a block of cells in one of the block's first ``stretch`` cells, or, after a gap, at
+        # some cell's first time (its head). The other times of a block's second half can be left out, once
+        # the first half is at least ``stretch`` cells long.
         heads = cut(
             starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t", F.lit(True).alias("head"))
         )
@@ -141,7 +144,7 @@ def _chain(starts: DataFrame, hop: int) -> DataFrame:
         onward = table.where(odd).select(
             "source_ip", F.col("t").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("to").alias("_to")
         )
-        kept = table.where(~odd | F.col("head"))
+        kept = table.where(~odd | F.col("head")) if 1 << level >= stretch else table
         within = kept.where(sibling).join(onward, ["source_ip", "nxt"])
         within = within.select("source_ip", "t", F.col("_nxt").alias("nxt"), "cell", F.col("_to").alias("to"), "head")
         table = within.unionByName(kept.where(sibling.isNull() | ~sibling))
@@ -186,7 +189,7 @@ def connection_trackers(
         )
     )
     pointed = _next_point(asked, "_expiry", F.col("t"), times)
-    return _chain(pointed.withColumnRenamed("_next", "nxt"), hop).select("source_ip", "t", "anchor")
+    return _chain(pointed.withColumnRenamed("_next", "nxt"), hop, 2).select("source_ip", "t", "anchor")
 
 
 def port_trackers(
@@ -203,7 +206,8 @@ def port_trackers(
     times = cut(times)
     asked = times.withColumn("_expiry", F.col("t") + hop)
     pointed = _next_point(asked, "_expiry", F.col("t"), times)
-    return _chain(pointed.withColumnRenamed("_next", "nxt"), hop).select("source_ip", "t", F.col("t").alias("anchor"))
+    starts = _chain(pointed.withColumnRenamed("_next", "nxt"), hop, 1)
+    return starts.select("source_ip", "t", F.col("t").alias("anchor"))
 
 
 def _in_trackers(packets: DataFrame, trackers: DataFrame, until: Column, width: int) -> DataFrame:

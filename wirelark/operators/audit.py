@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelark.functions.bytes import ones_complement, unsigned, word_sum
-from wirelark.operators.decode import with_headers
+from wirelark.operators.decode import header_fields
 from wirelark.schema import ETHERNET_HEADER
 
 
-def _at() -> Column:
-    return F.col("ip.ihl") * 4 + ETHERNET_HEADER
-
-
 def ip_checksums(frames: DataFrame) -> DataFrame:
     """IPv4 frames with the stored checksum and the one computed over the whole header with options."""
-    raw = F.col("frame")
-    parsed = with_headers(frames).where(F.col("ip").isNotNull() & (F.length("frame") >= _at()))
-    words = word_sum(raw, ETHERNET_HEADER, F.col("ip.ihl") * 4) - F.col("ip.checksum")
+    size = F.col("ip_ihl") * 4
+    whole = F.length("frame") >= size + ETHERNET_HEADER
+    parsed = header_fields(frames, "ip", ["ip.ihl", "ip.checksum"]).where(whole)
+    words = word_sum(F.col("frame"), ETHERNET_HEADER, size) - F.col("ip_checksum")
     return parsed.select(
-        "seq", "ts", F.col("ip.source_ip").alias("source_ip"),
-        F.col("ip.checksum").alias("stored"), ones_complement(words).alias("computed"),
+        "seq", "ts", "source_ip", F.col("ip_checksum").alias("stored"), ones_complement(words).alias("computed")
     )
 
 
@@ -31,16 +27,14 @@ def tcp_checksums(frames: DataFrame) -> DataFrame:
     The payload is what was captured; a frame cut short by the snap length cannot match, so only frames
     that hold the whole datagram are audited.
     """
-    raw = F.col("frame")
-    parsed = with_headers(frames).where(
-        F.col("tcp").isNotNull() & (F.length("frame") >= F.col("ip.total_length") + ETHERNET_HEADER)
-    )
-    size = F.col("ip.total_length") - F.col("ip.ihl") * 4
-    addresses = unsigned(raw, 26, 2) + unsigned(raw, 28, 2) + unsigned(raw, 30, 2) + unsigned(raw, 32, 2)
-    words = word_sum(raw, _at(), size) + addresses + 6 + size - F.col("tcp.checksum")
-    return parsed.where(size >= 20).select(
-        "seq", "ts", F.col("ip.source_ip").alias("source_ip"),
-        F.col("tcp.checksum").alias("stored"), ones_complement(words).alias("computed"),
+    raw, header = F.col("frame"), F.col("ip_ihl") * 4
+    size = F.col("ip_total_length") - header
+    whole = (F.length("frame") >= F.col("ip_total_length") + ETHERNET_HEADER) & (size >= 20)
+    parsed = header_fields(frames, "tcp", ["ip.ihl", "ip.total_length", "tcp.checksum"]).where(whole)
+    addresses = unsigned(raw, 26, 4) + unsigned(raw, 30, 4)
+    words = word_sum(raw, header + ETHERNET_HEADER, size) + addresses + 6 + size - F.col("tcp_checksum")
+    return parsed.select(
+        "seq", "ts", "source_ip", F.col("tcp_checksum").alias("stored"), ones_complement(words).alias("computed")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelark.functions.bytes import ip_text, mac_text, unsigned
+from wirelark.functions.bytes import colon_hex, unsigned
 from wirelark.schema import (
     ETHER_IPV4,
     ETHERNET_HEADER,
@@ -31,19 +31,44 @@ def protocol_name(number: Column) -> Column:
     return name
 
 
+def _once(frames: DataFrame, words: dict[str, Column]) -> DataFrame:
+    """``frames`` with the columns ``words``, computed once per frame.
+
+    Plain columns would be worked out again in each place that uses them when a filter on them is moved
+    below the projection, and reading bytes is what decoding spends its time on. A generated row stays.
+    """
+    row = F.struct(*[value.alias(name) for name, value in words.items()])
+    return frames.select("*", F.inline(F.array(row)))
+
+
 def _judged(frames: DataFrame) -> DataFrame:
-    """``frames`` with the numbers that decide about validity, and ``reject``: why the frame is invalid, or null."""
+    """``frames`` with the numbers that decide about validity, and ``reject``: why the frame is invalid, or null.
+
+    The fixed part of the headers is read in four pieces, of which the fields are then taken by shifting.
+    """
     raw = F.col("frame")
-    first = unsigned(raw, 14, 1)
-    placed = frames.select(
+    start = F.rpad(F.hex(F.substring(raw, 13, 6)), 12, "0")
+    pieces = _once(
+        frames,
+        {
+            "_h12": F.conv(start, 16, 10).cast("long"),
+            "_h18": unsigned(raw, 18, 6),
+            "_h24": unsigned(raw, 24, 6),
+            "_h30": unsigned(raw, 30, 4),
+        },
+    )
+    placed = pieces.select(
         "*",
         F.least(F.length("frame"), F.col("caplen")).alias("_n"),
-        unsigned(raw, 12, 2).alias("_type"),
-        F.shiftright(first, 4).alias("_version"),
-        first.bitwiseAND(15).alias("_ihl"),
-        unsigned(raw, 23, 1).alias("_proto"),
-        (first.bitwiseAND(15) * 4 + ETHERNET_HEADER).alias("_at"),
+        _bits("_h12", 32, 16).alias("_type"),
+        _bits("_h12", 28, 4).alias("_version"),
+        _bits("_h12", 24, 4).alias("_ihl"),
+        _bits("_h18", 0, 8).alias("_proto"),
+        (F.shiftright("_h12", 22).bitwiseAND(60) + ETHERNET_HEADER).cast("int").alias("_at"),
     )
+    # Of the transport header: the ports; TCP sequence number or UDP length and checksum; TCP control bits
+    # and window; TCP checksum and urgent pointer.
+    placed = placed.withColumns({f"_t{i}": unsigned(raw, F.col("_at") + i, 4) for i in (0, 4, 12, 16)})
     n, proto = F.col("_n"), F.col("_proto")
     left = n - F.col("_at")
     carried = proto.isin(list(PROTOCOLS))
@@ -52,7 +77,7 @@ def _judged(frames: DataFrame) -> DataFrame:
         .when(F.col("_type") != ETHER_IPV4, None)
         .when(n < ETHERNET_HEADER + IP_HEADER, "short ip header")
         .when(F.col("_version") != 4, "ip version")
-        .when(F.col("_ihl") * 4 < IP_HEADER, "ip header length")
+        .when(F.col("_at") < ETHERNET_HEADER + IP_HEADER, "ip header length")
         .when(~carried, None)
         .when(left < 0, "ip header beyond capture")
         .when((proto == 6) & (left < TCP_HEADER), "short tcp header")
@@ -62,56 +87,62 @@ def _judged(frames: DataFrame) -> DataFrame:
     return placed.withColumn("reject", reject)
 
 
-# The header fields by name, at their byte positions. The fields of a transport header start at ``_at``.
+def _bits(piece: str, from_right: int, size: int) -> Column:
+    """Some bits of a piece, as a long: a checked cast for each would take more code than the decoding."""
+    shifted = F.shiftright(piece, from_right) if from_right else F.col(piece)
+    return shifted.bitwiseAND((1 << size) - 1)
+
+
+def _address(piece: str) -> Column:
+    """The text of the IPv4 address in the last four bytes of a piece."""
+    return F.concat_ws(".", *[_bits(piece, 8 * i, 8).cast("string") for i in (3, 2, 1, 0)])
+
+
+# The header fields by name. The fields of a transport header start at byte ``_at`` of the frame.
 
 
 def _ethernet() -> dict[str, Column]:
     raw = F.col("frame")
-    return {"dst_mac": mac_text(raw, 0), "src_mac": mac_text(raw, 6), "ether_type": F.col("_type")}
+    return {"dst_mac": colon_hex(raw, 0, 6), "src_mac": colon_hex(raw, 6, 6), "ether_type": F.col("_type")}
 
 
 def _ip() -> dict[str, Column]:
-    raw = F.col("frame")
-    fragment = unsigned(raw, 20, 2)
     return {
         "version": F.col("_version"),
         "ihl": F.col("_ihl"),
-        "tos": unsigned(raw, 15, 1),
-        "total_length": unsigned(raw, 16, 2),
-        "identification": unsigned(raw, 18, 2),
-        "flags": F.shiftright(fragment, 13),
-        "fragment_offset": fragment.bitwiseAND(0x1FFF),
-        "ttl": unsigned(raw, 22, 1),
+        "tos": _bits("_h12", 16, 8),
+        "total_length": _bits("_h12", 0, 16),
+        "identification": _bits("_h18", 32, 16),
+        "flags": _bits("_h18", 29, 3),
+        "fragment_offset": _bits("_h18", 16, 13),
+        "ttl": _bits("_h18", 8, 8),
         "protocol": F.col("_proto"),
-        "checksum": unsigned(raw, 24, 2),
-        "source_ip": ip_text(raw, 26),
-        "destination_ip": ip_text(raw, 30),
+        "checksum": _bits("_h24", 32, 16),
+        "source_ip": _address("_h24"),
+        "destination_ip": _address("_h30"),
     }
 
 
 def _tcp() -> dict[str, Column]:
-    raw, at = F.col("frame"), F.col("_at")
-    control = unsigned(raw, at + 12, 2)
     return {
-        "source_port": unsigned(raw, at, 2),
-        "destination_port": unsigned(raw, at + 2, 2),
-        "sequence_number": unsigned(raw, at + 4, 4),
-        "acknowledgment_number": unsigned(raw, at + 8, 4),
-        "data_offset": F.shiftright(control, 12),
-        "flags": control.bitwiseAND(0x3FF),
-        "window_size": unsigned(raw, at + 14, 2),
-        "checksum": unsigned(raw, at + 16, 2),
-        "urgent_pointer": unsigned(raw, at + 18, 2),
+        "source_port": _bits("_t0", 16, 16),
+        "destination_port": _bits("_t0", 0, 16),
+        "sequence_number": F.col("_t4"),
+        "acknowledgment_number": unsigned(F.col("frame"), F.col("_at") + 8, 4),
+        "data_offset": _bits("_t12", 28, 4),
+        "flags": _bits("_t12", 16, 10),
+        "window_size": _bits("_t12", 0, 16),
+        "checksum": _bits("_t16", 16, 16),
+        "urgent_pointer": _bits("_t16", 0, 16),
     }
 
 
 def _udp() -> dict[str, Column]:
-    raw, at = F.col("frame"), F.col("_at")
     return {
-        "source_port": unsigned(raw, at, 2),
-        "destination_port": unsigned(raw, at + 2, 2),
-        "length": unsigned(raw, at + 4, 2),
-        "checksum": unsigned(raw, at + 6, 2),
+        "source_port": _bits("_t0", 16, 16),
+        "destination_port": _bits("_t0", 0, 16),
+        "length": _bits("_t4", 16, 16),
+        "checksum": _bits("_t4", 0, 16),
     }
 
 
@@ -134,6 +165,17 @@ def _protocol_and_payload() -> dict[str, Column]:
     return {"protocol": name, "payload_length": payload.cast("long")}
 
 
+def header_fields(frames: DataFrame, protocol: str, names: list[str]) -> DataFrame:
+    """Valid frames that have a header of ``protocol`` (ip, tcp, udp), with the source address and the numbers
+    ``protocol.name`` of their headers as flat columns ``protocol_name``. Nothing else is read."""
+    is_ip, is_tcp, is_udp = _kinds()
+    present = {"ip": is_ip, "tcp": is_tcp, "udp": is_udp}[protocol]
+    fields = {"ip": _ip(), "tcp": _tcp(), "udp": _udp()}
+    picked = [fields[kind][name].cast("int").alias(f"{kind}_{name}") for kind, name in (n.split(".") for n in names)]
+    valid = _judged(frames).where(F.col("reject").isNull() & present)
+    return valid.select(*frames.columns, fields["ip"]["source_ip"].alias("source_ip"), *picked)
+
+
 def with_headers(frames: DataFrame) -> DataFrame:
     """``frames`` with the structs ``ethernet``, ``ip``, ``tcp``, ``udp`` (null where absent), ``protocol``,
     ``payload_length`` and ``reject``: why the frame is invalid, or null.
@@ -145,7 +187,10 @@ def with_headers(frames: DataFrame) -> DataFrame:
     is_ip, is_tcp, is_udp = _kinds()
 
     def struct(fields: dict[str, Column]) -> Column:
-        return F.struct(*[value.alias(name) for name, value in fields.items()])
+        texts, longs = ("dst_mac", "src_mac", "source_ip", "destination_ip"), ("sequence_number", "acknowledgment_number")
+        return F.struct(
+            *[(value if name in texts + longs else value.cast("int")).alias(name) for name, value in fields.items()]
+        )
 
     return _judged(frames).select(
         *frames.columns,
@@ -194,28 +239,35 @@ def decode_failures(frames: DataFrame) -> DataFrame:
     )
 
 
-def checks(parsed: DataFrame) -> DataFrame:
-    """Decoded frames with one boolean per validation rule and ``valid``, true if all hold."""
+def checks(frames: DataFrame) -> DataFrame:
+    """Frames that can be decoded, with ``protocol``, one boolean per validation rule, and ``valid``: all hold."""
+    is_ip, is_tcp, _ = _kinds()
     rules = {
         "has_length": F.col("length") > 0,
         "has_capture": F.col("caplen") > 0,
         "capture_within_length": F.col("caplen") <= F.col("length"),
-        "ip_version_ok": F.col("ip").isNull() | (F.col("ip.version") == 4),
-        "ip_header_ok": F.col("ip").isNull() | (F.col("ip.ihl") * 4 >= IP_HEADER),
-        "tcp_offset_ok": F.col("tcp").isNull() | (F.col("tcp.data_offset") >= 5),
+        "ip_version_ok": ~is_ip | (F.col("_version") == 4),
+        "ip_header_ok": ~is_ip | (F.col("_ihl") * 4 >= IP_HEADER),
+        "tcp_offset_ok": ~is_tcp | (_tcp()["data_offset"] >= 5),
     }
     every = F.lit(True)
-    for rule in rules.values():
-        every = every & rule
-    return parsed.where(F.col("reject").isNull()).select(
-        "*", *[rule.alias(name) for name, rule in rules.items()], every.alias("valid")
+    for name in rules:
+        every = every & F.col(name)
+    return (
+        _judged(frames)
+        .where(F.col("reject").isNull())
+        .select(
+            *frames.columns,
+            _protocol_and_payload()["protocol"].alias("protocol"),
+            *[rule.alias(name) for name, rule in rules.items()],
+        )
+        .withColumn("valid", every)
     )
 
 
 def validate_packets(frames: DataFrame) -> DataFrame:
     """Per interface and protocol: decoded frames, valid frames, and the frames that break each rule."""
-    checked = checks(with_headers(frames))
-    return checked.groupBy("interface_name", "protocol").agg(
+    return checks(frames).groupBy("interface_name", "protocol").agg(
         F.count("*").alias("packets"),
         F.count_if("valid").alias("valid_packets"),
         F.count_if(~F.col("has_length")).alias("no_length"),

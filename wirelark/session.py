@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Above this size of a generated method the JVM would not compile it; Spark then splits it up instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
