@@ -40,6 +40,7 @@ DETECTION = DetectionConfig(
 )
 WINDOWED = DetectionConfig(syn_flood_threshold=5, connection_rate_threshold=6)
 ALERTING = AlertConfig(max_alerts_per_second=50)
+MODEL = scoring.logistic()
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -75,7 +76,7 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    made = _once(spark, sf_dir, "alerts", lambda s, d: detect_all(_packets(s, d), DETECTION))
+    made = _once(spark, sf_dir, "alerts", lambda s, d: detect_all(_packets(s, d), DETECTION, MODEL))
     return made.withColumn("confidence_score", F.round("confidence_score", 9))
 
 
@@ -142,21 +143,21 @@ def _features(packets: DataFrame) -> DataFrame:
 
 
 def _score(packets: DataFrame) -> DataFrame:
-    return scoring.ml_score(packets).select("seq", "ts", F.round("score", 9).alias("score"))
+    return scoring.ml_score(packets, MODEL).select("seq", "ts", F.round("score", 9).alias("score"))
 
 
 def _ml_alerts(packets: DataFrame) -> DataFrame:
-    found = scoring.ml_anomaly_alerts(packets, DETECTION)
+    found = scoring.ml_anomaly_alerts(packets, MODEL, DETECTION)
     return found.withColumn("confidence_score", F.round("confidence_score", 9))
 
 
 def _all(packets: DataFrame) -> DataFrame:
-    return detect_all(packets, DETECTION).withColumn("confidence_score", F.round("confidence_score", 9))
+    return detect_all(packets, DETECTION, MODEL).withColumn("confidence_score", F.round("confidence_score", 9))
 
 
 def _detection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = _packets(spark, sf_dir)
-    return detection_statistics(packets, detect_all(packets, DETECTION))
+    return detection_statistics(packets, detect_all(packets, DETECTION, MODEL))
 
 
 def _severity(alerts: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def _capture_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(end_to_end(_frames(spark, sf_dir), DETECTION, ALERTING))
+    return _plain(end_to_end(_frames(spark, sf_dir), DETECTION, ALERTING, model=MODEL))
 
 
 # Streams: the table arrives in parts of 87 seconds each, and the query is run on what is new after each part.
@@ -261,7 +262,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _frames(spark, sf_dir)
     out, checkpoint = _folder(spark, "e2e-out"), _folder(spark, "e2e-checkpoint")
-    detector = StreamDetector(spark, _folder(spark, "e2e-state"), DETECTION, ALERTING)
+    detector = StreamDetector(spark, _folder(spark, "e2e-state"), DETECTION, ALERTING, MODEL)
 
     def sink(alerts: DataFrame, batch_id: int) -> None:
         al.alert_json(alerts).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

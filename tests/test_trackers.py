@@ -106,7 +106,7 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     """With lookup tables counted as too large to broadcast."""
     config = DetectionConfig(syn_flood_threshold=3, connection_rate_threshold=6, port_scan_threshold=4)
     packets = random_packets(9)
-    monkeypatch.setattr(anchored.lookup_join, "__defaults__", ("inner", 0))
+    monkeypatch.setattr(anchored, "BROADCAST_ROWS", 0)
     assert detected(spark, packets, config) == tracker_alerts(packets, config)
 
 

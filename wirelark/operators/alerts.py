@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelark.config import AlertConfig
+from wirelark.operators.ordered import first_rows
 from wirelark.schema import (
     ALERT_ORDER,
     ALERTS,
@@ -25,8 +26,6 @@ from wirelark.schema import (
 
 # What makes two alerts duplicates of each other.
 SIGNATURE = ["type", "source_ip", "destination_ip", "source_port", "destination_port"]
-# Over how many tasks the alerts of one second are spread before they are limited.
-RATE_SALTS = 64
 
 
 def alert(
@@ -54,17 +53,12 @@ def limit_rate(
 ) -> DataFrame:
     """The first ``max_alerts_per_second`` alerts of every second of event time.
 
-    A flood puts most alerts into a few seconds, so each second is first limited in many salted parts;
-    what a second can bring to the final count is bounded by the limit times the number of parts.
+    A flood puts most alerts into a few seconds, so each second is first limited in many salted parts.
     ``used(second, used)`` says how many alerts of a second were let through before these.
     """
     n = config.max_alerts_per_second
-    second, salt = F.date_trunc("second", "ts"), F.pmod(F.hash(*ALERT_ORDER), F.lit(RATE_SALTS))
-    in_part = Window.partitionBy("_second", "_salt").orderBy(*ALERT_ORDER)
-    in_second = Window.partitionBy("_second").orderBy(*ALERT_ORDER)
-    parts = alerts.withColumns({"_second": second, "_salt": salt})
-    few = parts.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= n)
-    ranked = few.withColumn("_n", F.row_number().over(in_second)).where(F.col("_n") <= n)
+    order = [F.col(c) for c in ALERT_ORDER]
+    ranked = first_rows(alerts, {"_second": F.date_trunc("second", "ts")}, order, n)
     if used is not None:
         before = used.withColumnRenamed("second", "_second")
         ranked = ranked.join(before, "_second", "left").where(F.col("_n") <= n - F.coalesce("used", F.lit(0)))
@@ -136,13 +130,13 @@ def recent_alerts(alerts: DataFrame, count: int = 100, config: AlertConfig = Ale
 def retain(alerts: DataFrame, config: AlertConfig = AlertConfig(), as_of: Column | None = None) -> DataFrame:
     """Alerts no older than ``alert_retention`` seconds before ``as_of`` (default: the newest alert).
 
-    The newest time is one row, so joining it to every alert broadcasts a single value.
+    The default is a scalar subquery; the filter then prunes the scan of a table by its statistics.
     """
     keep = F.make_dt_interval(secs=F.lit(config.alert_retention))
     if as_of is not None:
         return alerts.where(F.col("ts") >= as_of - keep)
-    newest = alerts.agg((F.max("ts") - keep).alias("_cutoff"))
-    return alerts.join(F.broadcast(newest), F.col("ts") >= F.col("_cutoff")).drop("_cutoff")
+    cutoff = alerts.agg((F.max("ts") - keep).alias("cutoff"))
+    return alerts.where(F.col("ts") >= cutoff.scalar())
 
 
 def json_text() -> Column:
@@ -236,7 +230,7 @@ def alert_severity_counts(alerts: DataFrame) -> DataFrame:
 
 
 def alert_statistics_json(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """The statistics of the alert chain as one JSON document. Both inputs are a handful of rows."""
+    """The statistics of the alert chain as one JSON document."""
     processed = process(alerts, config)
     one_per_level = [F.count_if(F.col("severity") == level).cast("string") for level in (LOW, MEDIUM, HIGH, CRITICAL)]
     levels = processed.agg(F.concat_ws(",", *one_per_level).alias("levels"))
@@ -245,4 +239,4 @@ def alert_statistics_json(alerts: DataFrame, config: AlertConfig = AlertConfig()
         "{" + "".join(f'"{n}":%d,' for n in names) + '"processing_rate_aps":%.2f,"severity_counts":[%s]}',
         *names, "processing_rate_aps", "levels",
     )
-    return alert_statistics(alerts, config).join(F.broadcast(levels)).select(text.alias("json"))
+    return alert_statistics(alerts, config).withColumn("levels", levels.scalar()).select(text.alias("json"))

@@ -47,17 +47,19 @@ def _slot(time: Column) -> Column:
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", salts: int = JOIN_SALTS
 ) -> DataFrame:
     """Join many ``rows`` with a smaller ``table`` whose size is checked (it must be cheap to count: cut).
 
     Small tables are broadcast. Larger ones are copied once per salt and joined on key and salt, so that
-    the rows of a hot key go to ``JOIN_SALTS`` tasks.
+    the rows of a hot key go to ``salts`` tasks. Distinct keys need one salt, that is, a plain join.
     """
-    if table.count() <= broadcast_rows:
+    if table.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), on, how)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(JOIN_SALTS)).cast("int"))
+    if salts == 1:
+        return rows.join(table, on, how)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
@@ -134,7 +136,7 @@ def _chain(starts: DataFrame, hop: int, stretch: int) -> DataFrame:
         heads = cut(
             starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t", F.lit(True).alias("head"))
         )
-        table = lookup_join(table, heads, ["source_ip", "t"], "left").withColumn("head", F.col("head").isNotNull())
+        table = lookup_join(table, heads, ["source_ip", "t"], "left", salts=1).withColumn("head", F.col("head").isNotNull())
 
     composed = [table]
     for level in range(levels - 1):
@@ -348,8 +350,7 @@ def _last(trackers: DataFrame, now: DataFrame, keep: int) -> DataFrame:
     row per source at most."""
     newest = trackers.groupBy("source_ip").agg(F.max(F.struct("t", "anchor")).alias("m"))
     alive = newest.select("source_ip", F.col("m.t").alias("start"), F.col("m.anchor").alias("anchor"))
-    young = F.coalesce(F.col("now") - F.col("anchor") < (keep + 1) * SECOND, F.lit(True))
-    return cut(alive.join(F.broadcast(now), young).drop("now"))
+    return cut(alive.where(F.coalesce(now.scalar() - F.col("anchor") < (keep + 1) * SECOND, F.lit(True))))
 
 
 def carry_connections(

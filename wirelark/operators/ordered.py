@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelark.session import cut
 
 # Rows of one key that are summed in one task by ``rolling_totals``.
 BLOCK_ROWS = 1 << 17
+# Into how many parts ``first_rows`` splits a key.
+SALTS = 64
 
 
 def _local_totals(keys: list[str], totals: list[str]):
@@ -77,6 +79,19 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: lis
     )
 
 
+def first_rows(df: DataFrame, keys: dict[str, Column], order: list[Column], rows: int) -> DataFrame:
+    """The first ``rows`` rows of each key in ``order``, numbered from 1 in ``_n``. ``keys`` are named ``_...``.
+
+    Each key is first ranked in ``SALTS`` parts, so that a hot key is not ranked in one task; at most
+    ``rows`` rows per part are left for the final ranking.
+    """
+    salted = df.withColumns({**keys, "_salt": F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))})
+    in_part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    few = salted.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= rows)
+    in_key = Window.partitionBy(*keys).orderBy(*order)
+    return few.withColumn("_n", F.row_number().over(in_key)).where(F.col("_n") <= rows).drop("_salt")
+
+
 def rolling_totals(
     df: DataFrame, keys: list[str], order: list[str], value: str, rows: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ EXAMPLE_BIAS = -8.0
 
 Model = Callable[[Column], Column]
 
+log = logging.getLogger(__name__)
+
 
 def features() -> Column:
     """The eight features as an array of floats between 0 and 1, null fields as 0."""
@@ -81,14 +84,24 @@ def onnx(model_path: str) -> Model:
     return run
 
 
-def ml_score(packets: DataFrame, model: Model | None = None) -> DataFrame:
+def load_model(model_path: str) -> Model | None:
+    """The ONNX model at ``model_path``, or None, with a message in the log, if it cannot be loaded."""
+    try:
+        import onnxruntime
+
+        onnxruntime.InferenceSession(model_path)
+    except Exception as error:  # noqa: BLE001 - a missing model must not stop detection
+        log.error("cannot load model %s: %s", model_path, error)
+        return None
+    return onnx(model_path)
+
+
+def ml_score(packets: DataFrame, model: Model) -> DataFrame:
     """``packets`` with ``score``, the model's output for the packet's features."""
-    return packets.withColumn("score", (model or logistic())(features()))
+    return packets.withColumn("score", model(features()))
 
 
-def ml_anomaly_alerts(
-    packets: DataFrame, config: DetectionConfig = DetectionConfig(), model: Model | None = None
-) -> DataFrame:
+def ml_anomaly_alerts(packets: DataFrame, model: Model, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     scored = ml_score(packets.where(F.col("source_ip").isNotNull()), model)
     unusual = scored.where(F.col("score") > config.anomaly_confidence_threshold)
     text = F.format_string("ML anomaly detected from %s (confidence: %.6f)", "source_ip", "score")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelark.config import DetectionConfig
 from wirelark.operators.alerts import alert
-from wirelark.operators.ordered import rolling_totals
+from wirelark.operators.ordered import first_rows, rolling_totals
 from wirelark.operators.traffic import with_moments
 from wirelark.schema import ALERT_SUBJECT, ANOMALOUS_TRAFFIC, MEDIUM
 
@@ -17,11 +17,10 @@ def size_rows(packets: DataFrame) -> DataFrame:
 
 
 def carry_sizes(lengths: DataFrame, config: DetectionConfig) -> DataFrame:
-    """The last rows per source that later packets' statistics still need. The ranking keeps at most as
-    many rows per source and task as it lets through, before it shuffles."""
-    newest = Window.partitionBy("source_ip").orderBy(F.col("ts").desc(), F.col("seq").desc())
-    last = lengths.withColumn("_n", F.row_number().over(newest))
-    return last.where(F.col("_n") <= config.moving_average_window - 1).drop("_n")
+    """The last rows per source that later packets' statistics still need."""
+    newest = [F.col("ts").desc(), F.col("seq").desc()]
+    last = first_rows(lengths, {"_source": F.col("source_ip")}, newest, config.moving_average_window - 1)
+    return last.drop("_source", "_n")
 
 
 def rolling_size_stats(

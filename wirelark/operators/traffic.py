@@ -169,9 +169,8 @@ def with_moments(totals: DataFrame) -> DataFrame:
 def judge_rates(packets: DataFrame, thresholds: DataFrame, name: str = "syn_flood_threshold") -> DataFrame:
     """SYN packets per source and second against the value ``name`` of a ``thresholds(name, value)`` table.
 
-    The value is one row (the largest, if the name is there twice), joined by broadcast. On a stream the
-    table is read again for every micro-batch, so a changed threshold takes effect without a restart.
+    The value is a scalar subquery (the largest, if the name is there twice).
     """
     limit = thresholds.where(F.col("name") == name).agg(F.max("value").alias("threshold"))
     counted = _per_window(packets.where(is_syn()), 1, F.count("*"), "syn_packets")
-    return counted.join(F.broadcast(limit)).withColumn("over", F.col("syn_packets") >= F.col("threshold"))
+    return counted.withColumn("threshold", limit.scalar()).withColumn("over", F.col("syn_packets") >= F.col("threshold"))

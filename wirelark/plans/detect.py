@@ -18,22 +18,24 @@ from wirelark.schema import ANOMALOUS_TRAFFIC, ML_ANOMALY
 def detect_all(
     packets: DataFrame, config: DetectionConfig = DetectionConfig(), model: Model | None = None
 ) -> DataFrame:
-    """Alerts of every detector family that is switched on. ``packets`` should be a table: each detector
-    scans the few columns it needs."""
+    """Alerts of every detector family that is switched on; without a model the ML family finds nothing.
+
+    ``packets`` should be a table: each detector scans the few columns it needs.
+    """
     found = []
     if config.rule_based_enabled:
         found += [flood_alerts(packets, config), detect_port_scan(packets, config), suspicious_payload(packets, config)]
     if config.statistical_enabled:
         found.append(size_zscore_alerts(packets, config))
-    if config.enable_ml_inference:
-        found.append(ml_anomaly_alerts(packets, config, model))
+    if config.enable_ml_inference and model is not None:
+        found.append(ml_anomaly_alerts(packets, model, config))
     if not found:
         found = [suspicious_payload(packets, config).where(F.lit(False))]
     return reduce(DataFrame.unionByName, found)
 
 
 def detection_statistics(packets: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: packets, alerts by family, alerts per packet. Two one-row tables are joined."""
+    """One row: packets, alerts by family, alerts per packet."""
     statistical, learned = F.col("type") == ANOMALOUS_TRAFFIC, F.col("type") == ML_ANOMALY
     seen = packets.agg(F.count("*").alias("total_packets_analyzed"))
     raised = alerts.agg(
@@ -44,4 +46,4 @@ def detection_statistics(packets: DataFrame, alerts: DataFrame) -> DataFrame:
     )
     total, found = F.col("total_packets_analyzed"), F.col("anomalies_detected")
     rate = F.when(total > 0, found / total).otherwise(F.lit(0.0))
-    return seen.crossJoin(raised).withColumn("detection_rate", rate)
+    return raised.select(seen.scalar().alias("total_packets_analyzed"), "*").withColumn("detection_rate", rate)

@@ -85,8 +85,8 @@ class StreamDetector:
             found.append(sizes.size_zscore_alerts(packets, config, before))
             both = sizes.size_rows(packets).unionByName(before)
             self._sizes.write(batch_id, sizes.carry_sizes(both, config))
-        if config.enable_ml_inference:
-            found.append(ml_anomaly_alerts(packets, config, self._model))
+        if config.enable_ml_inference and self._model is not None:
+            found.append(ml_anomaly_alerts(packets, self._model, config))
         alerts = found[0] if found else suspicious_payload(packets, config).where(F.lit(False))
         for more in found[1:]:
             alerts = alerts.unionByName(more)
@@ -98,24 +98,16 @@ class StreamDetector:
         kept = store(limit_rate(alerts, self._alerting, used), "kept")
         per_second = kept.groupBy(F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("used"))
         total = used.unionByName(per_second).groupBy("second").agg(F.sum("used").alias("used"))
-        newest = total.agg(F.max("second").alias("_newest"))
-        recent = total.join(F.broadcast(newest)).where(
-            F.col("second") >= F.col("_newest") - F.expr(f"interval {LIMIT_MEMORY} seconds")
-        )
-        self._used.write(batch_id, recent)
+        oldest = total.agg(F.max("second") - F.expr(f"interval {LIMIT_MEMORY} seconds"))
+        self._used.write(batch_id, total.where(F.col("second") >= oldest.scalar()))
         if not self._alerting.enable_deduplication:
             return with_severity(kept)
         bucket = dedup_bucket(self._alerting).start
         first = dedupe(kept, self._alerting).withColumn("bucket", bucket)
         fresh = store(first.join(seen, [*SIGNATURE, "bucket"], "left_anti"), "fresh")
         signatures = seen.unionByName(fresh.select(*SIGNATURE, "bucket"))
-        newest = signatures.agg(F.max("bucket").alias("_newest"))
-        self._seen.write(
-            batch_id,
-            signatures.join(F.broadcast(newest)).where(
-                F.col("bucket") >= F.col("_newest") - F.expr(f"interval {self._alerting.dedup_window} seconds")
-            ),
-        )
+        oldest = signatures.agg(F.max("bucket") - F.expr(f"interval {self._alerting.dedup_window} seconds"))
+        self._seen.write(batch_id, signatures.where(F.col("bucket") >= oldest.scalar()))
         return with_severity(fresh.select(*alerts.columns))
 
     def run(
