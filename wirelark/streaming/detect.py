@@ -22,8 +22,7 @@ from wirelark.operators import anchored, sizes
 from wirelark.operators.alerts import SIGNATURE, dedup_bucket, dedupe, limit_rate, with_severity
 from wirelark.operators.rules import suspicious_payload
 from wirelark.operators.scoring import Model, ml_anomaly_alerts
-from wirelark.session import store
-from wirelark.streaming.state import StateTable
+from wirelark.streaming.state import StateTable, keep_for_batch
 
 # Seconds of event time for which the rate limiter remembers what it let through.
 LIMIT_MEMORY = 600
@@ -43,7 +42,7 @@ class StreamDetector:
         """``detection`` may be a function; it is asked anew for every micro-batch, so thresholds can change
         while the stream runs (see ``config_from_table``)."""
         self._detection = detection if callable(detection) else lambda: detection
-        self._alerting, self._model = alerting, model
+        self._alerting, self._model, self._folder = alerting, model, folder
 
         def table(name: str, schema: str) -> StateTable:
             return StateTable(spark, f"{folder}/{name}", schema)
@@ -64,6 +63,9 @@ class StreamDetector:
             "bucket timestamp",
         )
 
+    def _keep(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        return keep_for_batch(df, f"{self._folder}/{name}", batch_id)
+
     def detect(self, packets: DataFrame, batch_id: int) -> DataFrame:
         """Alerts of one micro-batch. ``packets`` must be a stored table: it is scanned several times."""
         config = self._detection()
@@ -71,12 +73,12 @@ class StreamDetector:
         found = []
         if config.rule_based_enabled:
             tcp, carried = anchored.tcp_times(packets), self._connections.before(batch_id)
-            trackers = store(anchored.connection_trackers(tcp, config, carried=carried), "trackers")
+            trackers = self._keep(anchored.connection_trackers(tcp, config, carried=carried), "tcp_trackers", batch_id)
             found.append(anchored.flood_alerts_in(tcp, trackers, config, carried))
             self._connections.write(batch_id, anchored.carry_connections(tcp, trackers, now, config, carried))
 
             carrying, ports = anchored.port_times(packets), self._ports.before(batch_id)
-            trackers = store(anchored.port_trackers(carrying, config, carried=ports), "trackers")
+            trackers = self._keep(anchored.port_trackers(carrying, config, carried=ports), "port_trackers", batch_id)
             found.append(anchored.scan_alerts_in(carrying, trackers, config, ports))
             self._ports.write(batch_id, anchored.carry_ports(carrying, trackers, now, config, ports))
             found.append(suspicious_payload(packets, config))
@@ -95,7 +97,7 @@ class StreamDetector:
     def process(self, alerts: DataFrame, batch_id: int) -> DataFrame:
         """The alert chain over one micro-batch, with limits and duplicates counted across micro-batches."""
         used, seen = self._used.before(batch_id), self._seen.before(batch_id)
-        kept = store(limit_rate(alerts, self._alerting, used), "kept")
+        kept = self._keep(limit_rate(alerts, self._alerting, used), "kept", batch_id)
         per_second = kept.groupBy(F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("used"))
         total = used.unionByName(per_second).groupBy("second").agg(F.sum("used").alias("used"))
         oldest = total.agg(F.max("second") - F.expr(f"interval {LIMIT_MEMORY} seconds"))
@@ -104,7 +106,7 @@ class StreamDetector:
             return with_severity(kept)
         bucket = dedup_bucket(self._alerting).start
         first = dedupe(kept, self._alerting).withColumn("bucket", bucket)
-        fresh = store(first.join(seen, [*SIGNATURE, "bucket"], "left_anti"), "fresh")
+        fresh = self._keep(first.join(seen, [*SIGNATURE, "bucket"], "left_anti"), "fresh", batch_id)
         signatures = seen.unionByName(fresh.select(*SIGNATURE, "bucket"))
         oldest = signatures.agg(F.max("bucket") - F.expr(f"interval {self._alerting.dedup_window} seconds"))
         self._seen.write(batch_id, signatures.where(F.col("bucket") >= oldest.scalar()))
@@ -122,7 +124,7 @@ class StreamDetector:
         ``sink`` gets the processed alerts and the batch number."""
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            packets = store(to_packets(batch), "packets")
+            packets = self._keep(to_packets(batch), "packets", batch_id)
             sink(self.process(self.detect(packets, batch_id), batch_id), batch_id)
 
         writer = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -1,4 +1,4 @@
-"""State tables of a streaming job, one version per micro-batch."""
+"""Tables that a streaming job keeps from one micro-batch to the next."""
 
 from __future__ import annotations
 
@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def keep_for_batch(df: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """``df`` written and read back, for use within one micro-batch. There are two places that take turns,
+    so a stream that runs for long does not fill the folder."""
+    path = f"{folder}/slot={batch_id % 2}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class StateTable:
-    """A table in the shared folder that micro-batch ``n`` reads as version ``n - 1`` and writes as ``n``.
+    """A table in the shared folder that micro-batch ``n`` reads as ``n - 1`` left it and writes anew.
 
-    A micro-batch that is repeated after a failure reads the same version again and overwrites its own, so
-    the outcome is the same. Being an ordinary table, the state of one source may be spread over many
+    Two versions take turns. A micro-batch that is repeated after a failure reads the same version again and
+    overwrites its own, so the outcome is the same. Being an ordinary table, the state of one source may be spread over many
     tasks, which per-key state operators cannot do.
     """
 
@@ -18,8 +26,8 @@ class StateTable:
         self._spark, self._folder = spark, folder
         self._schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def _path(self, version: int) -> str:
-        return f"{self._folder}/version={version}"
+    def _path(self, batch_id: int) -> str:
+        return f"{self._folder}/slot={batch_id % 2}"
 
     def before(self, batch_id: int) -> DataFrame:
         """What the micro-batches before ``batch_id`` left."""
