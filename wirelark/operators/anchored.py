@@ -63,22 +63,22 @@ def lookup_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _busy_sources(packets: DataFrame, counted: Column, threshold: int, span: int) -> DataFrame:
-    """Sources with at least ``threshold`` counted packets in some stretch of ``span`` whole seconds.
+def _busy_sources(packets: DataFrame, rules: list[tuple[Column, int, int]]) -> DataFrame:
+    """Sources that can raise an alert; the rest need no chain.
 
-    Only these can raise an alert; the rest need no chain. One row per source and second is sorted, so the
-    work per source is bounded by the time covered, not by its packets.
+    A rule ``(counted, threshold, span)`` can fire only where a source has ``threshold`` counted packets in
+    some stretch of ``span`` whole seconds. One row per source and second is sorted, so the work per source
+    is bounded by the time covered, not by its packets.
     """
-    per_second = (
-        packets.where(counted).groupBy("source_ip", _slot(F.col("t")).alias("slot")).agg(F.count("*").alias("c"))
-    )
-    stretch = Window.partitionBy("source_ip").orderBy("slot").rangeBetween(-(span - 1), 0)
-    return (
-        per_second.withColumn("c", F.sum("c").over(stretch))
-        .where(F.col("c") >= threshold)
-        .select("source_ip")
-        .distinct()
-    )
+    counts = [F.count_if(counted).alias(f"c{i}") for i, (counted, _, _) in enumerate(rules)]
+    per_second = packets.groupBy("source_ip", _slot(F.col("t")).alias("slot")).agg(*counts)
+    by_time = Window.partitionBy("source_ip").orderBy("slot")
+    reached = F.lit(False)
+    for i, (_, threshold, span) in enumerate(rules):
+        in_stretch = F.sum(f"c{i}").over(by_time.rangeBetween(-(span - 1), 0))
+        per_second = per_second.withColumn(f"s{i}", in_stretch)
+        reached = reached | (F.col(f"s{i}") >= threshold)
+    return cut(per_second.where(reached).select("source_ip").distinct())
 
 
 def _next_point(rows: DataFrame, at: str, point: Column, points: DataFrame | None = None) -> DataFrame:
@@ -246,9 +246,9 @@ def flood_alerts(packets: DataFrame, config: DetectionConfig = DetectionConfig()
     """SYN flood and connection flood alerts, which share one tracker per source."""
     tcp = tcp_times(packets)
     reach = config.statistics_window + max(config.syn_flood_window, config.connection_window) + 3
-    flooding = _busy_sources(tcp, is_syn(), config.syn_flood_threshold, config.syn_flood_window + 2)
-    connecting = _busy_sources(tcp, is_tcp(), config.connection_rate_threshold, reach)
-    sources = cut(flooding.union(connecting).distinct())
+    flooding = (is_syn(), config.syn_flood_threshold, config.syn_flood_window + 2)
+    connecting = (is_tcp(), config.connection_rate_threshold, reach)
+    sources = _busy_sources(tcp, [flooding, connecting])
     return flood_alerts_in(tcp, connection_trackers(tcp, config, sources), config)
 
 
@@ -308,7 +308,7 @@ def detect_connection_flood(packets: DataFrame, config: DetectionConfig = Detect
 def detect_port_scan(packets: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     """Port scan alerts: every packet of a tracker that has seen the threshold of destination ports."""
     carrying = port_times(packets)
-    sources = cut(_busy_sources(carrying, F.lit(True), config.port_scan_threshold, config.port_scan_window + 2))
+    sources = _busy_sources(carrying, [(F.lit(True), config.port_scan_threshold, config.port_scan_window + 2)])
     return scan_alerts_in(carrying, port_trackers(carrying, config, sources), config)
 
 

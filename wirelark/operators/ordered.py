@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,31 +25,33 @@ SALTS = 64
 
 def _local_totals(keys: list[str], totals: list[str]):
     """A function that replaces ``totals`` by their running sums within each run of equal keys of a sorted
-    partition. It holds one Arrow batch at a time and remembers only the last row's key and sums."""
+    partition. It holds one Arrow batch at a time and remembers only the last row's key and sums; all other
+    columns pass through as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_sums = None, None
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            starts = np.zeros(len(batch), dtype=bool)
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            starts = np.zeros(batch.num_rows, dtype=bool)
             for key in keys:
-                values = batch[key].to_numpy()
-                starts[1:] |= values[1:] != values[:-1]
-            starts[0] = last_key != tuple(batch[key].iloc[0] for key in keys)
-            run_start = np.maximum.accumulate(np.where(starts, np.arange(len(batch)), 0))
+                values = columns[key]
+                starts[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            starts[0] = last_key != tuple(columns[key][0].as_py() for key in keys)
+            run_start = np.maximum.accumulate(np.where(starts, np.arange(batch.num_rows), 0))
             continued = ~np.logical_or.accumulate(starts)
             sums = []
             for i, name in enumerate(totals):
-                values = batch[name].to_numpy(dtype=np.int64)
+                values = columns[name].to_numpy().astype(np.int64)
                 running = np.cumsum(values)
                 running = running - np.where(continued, 0, (running - values)[run_start])
                 if last_sums is not None:
                     running = running + np.where(continued, last_sums[i], 0)
-                batch[name] = running
+                columns[name] = pa.array(running)
                 sums.append(running[-1])
-            last_key, last_sums = tuple(batch[key].iloc[-1] for key in keys), sums
-            yield batch
+            last_key, last_sums = tuple(columns[key][-1].as_py() for key in keys), sums
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
 
     return run
 
@@ -69,7 +72,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: lis
     carried = parts.select(
         "_part", *keys, *[F.sum(f"_sum_{t}").over(before).alias(f"_carry_{t}") for t in totals]
     ).where(F.col(f"_carry_{totals[0]}").isNotNull())
-    local = sorted_rows.mapInPandas(_local_totals(keys, totals), sorted_rows.schema)
+    local = sorted_rows.mapInArrow(_local_totals(keys, totals), sorted_rows.schema)
     joined = local.join(F.broadcast(carried), ["_part", *keys], "left")
     return joined.select(
         [
