@@ -31,6 +31,13 @@ from wirelark.sources.sinks import fan_out, write_alert_json  # noqa: E402
 from wirelark.streaming.detect import StreamDetector  # noqa: E402
 from wirelark.streaming.progress import throughput_statistics  # noqa: E402
 
+try:  # the training-data operators are a part that can be taken away
+    from wirelark.llm import entries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("wirelark.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The defaults suit denser traffic than the test tables hold, at which most rules would find nothing.
@@ -351,9 +358,10 @@ def queries() -> dict[str, Query]:
         "stream_alert_dedup": _stream_dedup,
         "stream_end_to_end": _stream_end_to_end,
         "throughput_statistics": _throughput,
-    }
+    } | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     known = queries()
-    return {name: sql for name, sql in oracles.oracle_sql().items() if name in known}
+    written = oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
+    return {name: sql for name, sql in written.items() if name in known}
