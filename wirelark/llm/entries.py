@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import mixing, quality_rules, simhash, substrings, topk
+from wirelark.llm import bpe, chat, id_files, mixing, quality_model, quality_rules, simhash, substrings, topk, toxicity
 from wirelark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat.with_probe(read_table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(conversations))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -35,10 +48,31 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2(left, 256).alias("kept_sha256"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.id_file_digests(read_table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    made = [op1_mixing, op4_top_k, op5_quality_rules, op6_simhash, op7_substring_dedup]
+    made = [
+        op1_mixing, op2_bpe, op3_chat_format, op4_top_k, op5_quality_rules, op6_simhash, op7_substring_dedup,
+        op8_quality_model, op9_id_files, op10_toxicity,
+    ]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_top_k": topk.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_substring_dedup": substrings.ORACLE}
+    return {
+        "op1_mixing": mixing.ORACLE,
+        "op3_chat_format": chat.ORACLE,
+        "op4_top_k": topk.ORACLE,
+        "op5_quality_rules": quality_rules.ORACLE,
+        "op7_substring_dedup": substrings.ORACLE,
+    }
