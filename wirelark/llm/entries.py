@@ -44,8 +44,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = F.coalesce("kept", "words_text")
-    return substrings.removed_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2(left, 256).alias("kept_sha256"))
+    digest = F.coalesce(F.sha2("kept", 256), "words_sha256").alias("kept_sha256")
+    return substrings.removed_passages(docs).select("doc_id", "n_words", "n_removed", digest)
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Removal of repeated passages: a count-min prefilter, then exact grouping of what it lets through.
 
-A window is ``size`` consecutive words. The texts, each distinct one once with its number of copies, are dealt to
+A window is ``size`` consecutive words. The texts, each distinct one once and marked if it has copies, are dealt to
 units of bounded size. Each unit counts its windows in a sketch whose width grows with the corpus and which is
 kept sparse: the sorted cells that it has hit, cut into slices. Slices of all units are merged (counts add, so they
 never fall below the truth) and every unit gets back which of its own cells were hit twice or more. Only windows in
-such cells are then grouped by 96 bits of hash, again in slices, and every unit gets back which of its
-own windows repeat. No sketch, index or list of all windows is ever in one place.
+such cells are then grouped by 96 bits of hash, again in slices, and every unit gets back a bit for each one
+that it sent. No sketch, index or list of all windows is ever in one place, and texts are shuffled once.
 
 Nulls and edge cases: a null, empty or blank text has no words; a text shorter than a window keeps all words.
 Repeated rows are copies: all their windows repeat. An empty table gives an empty result.
@@ -13,23 +13,25 @@ Repeated rows are copies: all their windows repeat. An empty table gives an empt
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wirelark.llm.common import CACHE_WORDS, byte_column, joined_count, joined_words, small_batches
-from wirelark.session import store
+from wirelark.llm.common import CACHE_WORDS, byte_column, small_batches
 
-UNIT_BYTES = 12 << 20
-CELLS_PER_WINDOW = 12
+UNIT_BYTES = 8 << 20
+CELLS_PER_BYTE = 2
 SLICE_BITS = 24
-LEAST_SLICES, CANDIDATES_PER_SLICE = 64, 1 << 20
+LEAST_SLICES, BYTES_PER_SLICE = 64, 6 << 20
+FLUSH_BYTES = 64 << 20
+PART_TEXTS = 500
 
 # Odd multipliers of the two rolling hashes and their inverses modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -57,21 +59,22 @@ _hashes = _WordHashes()
 
 
 class Windows:
-    """The windows of some texts: two hashes for each start, and which starts a window fits at."""
+    """The windows of some texts: where they start in the run of all words, and two hashes of each."""
 
     def __init__(self, texts: list[bytes], size: int):
         split = [t.split() for t in texts]
+        self.texts = texts
         self.counts = np.array([len(w) for w in split], dtype=np.int64)
         self.ends = np.cumsum(self.counts)
-        self.words = split
         total = int(self.ends[-1]) if len(split) else 0
         look = _hashes.__getitem__
         words = np.fromiter((look(w) for part in split for w in part), dtype=np.uint64, count=total)
         n = max(0, total - size + 1)
         left = np.repeat(self.ends, self.counts)[:n] - np.arange(n)
         self.starts = np.flatnonzero(left >= size)
+        self.owners = np.repeat(np.arange(len(split)), self.counts)[self.starts]
         self.first = self._rolled(words, 0, size, n)[self.starts]
-        self.second = self._rolled(_mixed(words), 1, size, n)[self.starts]
+        self.second = self._rolled(_mixed(words), 1, size, n)[self.starts].astype(np.uint32)
 
     @staticmethod
     def _rolled(words: np.ndarray, which: int, size: int, n: int) -> np.ndarray:
@@ -85,30 +88,26 @@ class Windows:
         return _mixed((sums[size:] - sums[:n]) * np.cumprod(back))
 
 
-def _by_unit(batches: Iterator[pa.RecordBatch]) -> dict[int, list[pa.RecordBatch]]:
-    units: dict[int, list] = {}
-    for batch in batches:
-        for unit in set(batch.column("unit").to_pylist()):
-            units.setdefault(unit, []).append(batch.filter(pc.equal(batch.column("unit"), unit)))
-    return units
-
-
-def _cut(slices: np.ndarray, unit: int, *arrays: np.ndarray) -> list[tuple]:
-    """Rows ``(slice, unit, bytes...)`` from arrays in the order of ``slices``, which is sorted."""
+def _cut(slices: np.ndarray, *arrays: np.ndarray) -> list[tuple]:
+    """``(slice, part of each array...)`` from arrays in the order of ``slices``, which is sorted."""
     if not len(slices):
         return []
     edges = np.flatnonzero(np.diff(slices)) + 1
     bounds = zip([0, *edges.tolist()], [*edges.tolist(), len(slices)], strict=True)
-    return [(int(slices[a]), unit, *(x[a:b].tobytes() for x in arrays)) for a, b in bounds]
+    return [(int(slices[a]), *(x[a:b] for x in arrays)) for a, b in bounds]
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _columns(table: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(table[n].to_pylist() for n in names), strict=True)
+
+
 def _packed(cells: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted cells of a slice as their low 16 bits and the number of cells for each value of the higher ones."""
+    """Sorted cells of a slice as the number of cells for each value of their higher bits, and their low 16 bits."""
     high = np.bincount(cells >> 16, minlength=1 << (SLICE_BITS - 16)).astype(np.uint32)
     return high.tobytes(), (cells & 0xFFFF).astype(np.uint16).tobytes()
 
@@ -118,198 +117,215 @@ def _unpacked(high: bytes, low: bytes) -> np.ndarray:
     return (np.repeat(np.arange(len(counts), dtype=np.uint32), counts) << 16) | np.frombuffer(low, np.uint16)
 
 
-_CELLS = pa.schema([("slice", pa.int64()), ("unit", pa.int64()), ("high", pa.binary()), ("low", pa.binary())])
-_CELLS_SQL = "slice long, unit long, high binary, low binary"
-_FOUND = pa.schema([("slice", pa.int64()), ("unit", pa.int64()), ("first", pa.binary()), ("second", pa.binary())])
-_FOUND_SQL = "slice long, unit long, first binary, second binary"
+def _two_at_most(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """Which elements to keep so that of a kind two stay: a third says no more."""
+    keep = np.ones(len(sorted_arrays[0]), bool)
+    keep[2:] = np.any([a[2:] != a[:-2] for a in sorted_arrays], axis=0)
+    return keep
+
+
+_PAIR = pa.schema([("unit", pa.int64()), ("slice", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
+_PAIR_SQL = "unit long, slice long, one binary, two binary"
 _KEPT = pa.schema([("key", pa.string()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
+def words_key(words: list[bytes]) -> str:
+    """128 bits that stand for a sequence of words."""
+    return xxhash.xxh3_128_hexdigest(b" ".join(words))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``words_text`` (its words joined by one space), ``n_words`` and ``words_key`` (their digest)."""
-    joined = docs.withColumn("words_text", joined_words(F.col("text")))
-    return joined.withColumns({"n_words": joined_count(F.col("words_text")), "words_key": F.md5("words_text")})
+    """``docs`` with ``n_words``, ``words_key`` and ``words_sha256`` (of the words joined by one space)."""
+    small_batches(docs.sparkSession)
+    names = ["n_words", "words_key", "words_sha256"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [(t or b"").split() for t in byte_column(batch, "text")]
+            made = [
+                pa.array([len(w) for w in split], pa.int64()), pa.array([words_key(w) for w in split], pa.string()),
+                pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+
+    fields = [StructField("n_words", LongType()), StructField("words_key", StringType()), StructField("words_sha256", StringType())]
+    return docs.mapInArrow(of, StructType([*docs.schema, *fields]))
 
 
-def distinct_texts(texts: DataFrame, units: int) -> DataFrame:
-    """Each distinct ``key`` once, with its ``text``, whether it has ``copies``, and its ``unit``.
+def dealt_texts(docs: DataFrame, size: int, units: int) -> DataFrame:
+    """``unit`` and ``packed``: the distinct texts of at least ``size`` words, as each task has found them.
 
-    Every task passes on a text once, so a text with very many copies costs one row for each task.
+    A line of a packed text holds the key, whether the task has seen copies, and the words. Every task sends a text
+    once, so one with very many copies costs a line for each task.
     """
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, bool] = {}
-        for batch in batches:
-            keys, new = batch.column("key").to_pylist(), []
-            for key in keys:
-                new.append(key not in seen)
-                seen[key] = key in seen
-            kept = batch.filter(pa.array(new, pa.bool_()))
-            flags = pa.array([False] * len(kept), pa.bool_())
-            yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("text"), flags], names=["key", "text", "copies"])
-        more = [k for k, twice in seen.items() if twice]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(more, pa.string()), pa.nulls(len(more), pa.string()), pa.array([True] * len(more), pa.bool_())],
-            names=["key", "text", "copies"],
-        )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held, copies = TaskContext.get().partitionId(), {}, set()
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, held, volume = set(), {}, 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            lines: dict[int, list[bytes]] = {}
+            for key, (text, copies) in held.items():
+                line = b"%s%d %s" % (key.encode(), copies, text)
+                lines.setdefault(int(key[:15], 16) % units, []).append(line)
+            press = zstandard.ZstdCompressor(level=3)
+            for unit, some in lines.items():
+                packed = press.compress(b"\n".join(some))
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([packed], pa.binary())], names=["unit", "packed"])
+
         for batch in batches:
-            for key, text, more in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "copies")), strict=True):
-                if more or (text is not None and key in held):
+            for text in byte_column(batch, "text"):
+                words = (text or b"").split()
+                if len(words) < size:
+                    continue
+                key = words_key(words)
+                if key in held:
+                    held[key] = (held[key][0], True)
+                elif key in sent:
+                    held[key] = (b"", True)
+                else:
+                    held[key] = (b" ".join(words), False)
+                    volume += len(text)
+            if volume > FLUSH_BYTES:
+                yield from flushed()
+                sent.update(held)
+                held, volume = {}, 0
+        yield from flushed()
+
+    return docs.select("text").mapInArrow(of, "unit long, packed binary")
+
+
+class Unit:
+    """The distinct texts of a unit, ordered by key, with their windows."""
+
+    def __init__(self, table: pa.Table, size: int):
+        texts: dict[bytes, bytes] = {}
+        copies: set[bytes] = set()
+        for packed in table["packed"].to_pylist():
+            for line in zstandard.ZstdDecompressor().decompress(packed).split(b"\n"):
+                key, more, text = line[:32], line[32:33] == b"1", line[34:]
+                if more or (text and key in texts):
                     copies.add(key)
-                if text is not None:
-                    held[key] = text
-        keys = list(held)
-        for a in range(0, len(keys), 500):
-            part = keys[a : a + 500]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([unit] * len(part), pa.int64()), pa.array(part, pa.string()),
-                    pa.array([held[k] for k in part], pa.string()), pa.array([k in copies for k in part], pa.bool_()),
-                ],
-                names=["unit", "key", "text", "copies"],
-            )
-
-    sent = texts.mapInArrow(once, "key string, text string, copies boolean")
-    return sent.repartition(units, "key").mapInArrow(merge, "unit long, key string, text string, copies boolean")
+                if text:
+                    texts[key] = text
+        self.keys = sorted(texts)
+        self.parts = [Windows([texts[k] for k in self.keys[a : a + PART_TEXTS]], size) for a in range(0, len(self.keys), PART_TEXTS)]
+        self.twice = []
+        for a, part in zip(range(0, len(self.keys), PART_TEXTS), self.parts, strict=True):
+            flags = np.array([k in copies for k in self.keys[a : a + PART_TEXTS]], bool)
+            self.twice.append(flags[part.owners])
+
+    def cells(self, width: np.uint64) -> np.ndarray:
+        """The sorted cells of the windows, those of texts with copies twice."""
+        parts = [w.first % width for w in self.parts]
+        cells = np.sort(np.concatenate([*parts, *(c[t] for c, t in zip(parts, self.twice, strict=True))]))
+        return cells[_two_at_most(cells)]
+
+    def candidates(self, cells: pa.Table, width: np.uint64, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slice and hashes, in order, of the windows in the given crowded cells; those of texts with copies twice."""
+        crowd = np.sort(np.concatenate([
+            _unpacked(h, b).astype(np.uint64) | (np.uint64(s) << np.uint64(SLICE_BITS)) for s, h, b in _columns(cells, "slice", "one", "two")
+        ]))
+        first, second = [], []
+        for w, twice in zip(self.parts, self.twice, strict=True):
+            at = w.first % width
+            near = crowd[np.minimum(np.searchsorted(crowd, at), len(crowd) - 1)] == at
+            first += [w.first[near], w.first[near & twice]]
+            second += [w.second[near], w.second[near & twice]]
+        first, second = np.concatenate(first), np.concatenate(second)
+        of = (first >> np.uint64(20)) % np.uint64(slices)
+        order = np.lexsort((second, first, of))
+        first, second, of = first[order], second[order], of[order]
+        keep = _two_at_most(first, second)
+        return of[keep], first[keep], second[keep]
 
 
 def removed_passages(docs: DataFrame, size: int = 35) -> DataFrame:
-    """``docs`` with ``words_key``, ``n_words``, ``n_removed`` and ``kept`` (the words left, joined by one space).
+    """``docs`` with ``n_words``, ``words_key``, ``words_sha256``, ``n_removed`` and ``kept``.
 
-    ``kept`` is null where all of ``words_text`` stays. A word goes if a window that covers it also starts anywhere
-    else, in the same text or another.
+    A word goes if a window that covers it also starts anywhere else, in the same text or another. ``kept`` has the
+    words left, joined by one space, and is null where nothing goes.
     """
-    small_batches(docs.sparkSession)
-    known = keyed(docs)
-    found = repeated(known.where(F.col("n_words") >= size).select(F.col("words_key").alias("key"), "words_text", "n_words"), size)
-    return known.join(found.withColumnRenamed("key", "words_key"), "words_key", "left").withColumn(
-        "n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))
-    )
+    found = repeated(docs, size).withColumnRenamed("key", "words_key")
+    known = keyed(docs).join(found, "words_key", "left")
+    return known.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
 
 
-def repeated(texts: DataFrame, size: int) -> DataFrame:
-    """``key``, ``n_removed`` and ``kept`` for each distinct text that loses words.
-
-    ``texts`` has ``key``, ``words_text`` and ``n_words`` (``size`` at least).
-    """
-    total = texts.agg(F.sum("n_words").alias("w"), F.sum(F.octet_length("words_text")).alias("b")).first()
-    windows, volume = total["w"] or 0, total["b"] or 0
-    units = max(1, -(-volume // UNIT_BYTES))
-    rows = texts.select("key", F.col("words_text").alias("text"))
-    held = store(distinct_texts(rows, units), "passages")
-
-    width = max(1 << SLICE_BITS, CELLS_PER_WINDOW * windows)
-    width = np.uint64(-(-width >> SLICE_BITS) << SLICE_BITS)
+def repeated(docs: DataFrame, size: int) -> DataFrame:
+    """``key``, ``n_removed`` and ``kept`` for each distinct text of ``docs`` that loses words."""
+    small_batches(docs.sparkSession)
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = dealt_texts(docs, size, max(1, -(-volume // UNIT_BYTES)))
+    width = np.uint64(max(1, -(-CELLS_PER_BYTE * volume >> SLICE_BITS)) << SLICE_BITS)
+    slices = max(LEAST_SLICES, volume // BYTES_PER_SLICE)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for unit, (own,) in _by_unit([batch]).items():
-                cells = Windows(byte_column(own, "text"), size).first % width
-                twice = np.repeat(own.column("copies").to_numpy(zero_copy_only=False), _fits(own, size))
-                parts.setdefault(unit, []).append(np.concatenate([cells, cells[twice]]))
-        for unit, lists in parts.items():
-            cells = np.sort(np.concatenate(lists))
-            # Two of a kind say all: a third adds nothing.
-            cells = cells[np.concatenate([np.ones(min(2, len(cells)), bool), cells[2:] != cells[:-2]])]
-            rows = [
-                (s, u, *_packed(np.frombuffer(c, np.uint64).astype(np.int64) & ((1 << SLICE_BITS) - 1)))
-                for s, u, c in _cut(cells >> np.uint64(SLICE_BITS), unit, cells)
-            ]
-            yield from _batch(rows, _CELLS).to_batches(max_chunksize=64)
+    def sketch(key: tuple, table: pa.Table) -> pa.Table:
+        cells = Unit(table, size).cells(width)
+        low = cells.astype(np.int64) & ((1 << SLICE_BITS) - 1)
+        return _table([(key[0].as_py(), s, *_packed(c)) for s, c in _cut(cells >> np.uint64(SLICE_BITS), low)], _PAIR)
 
     def crowded(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(h, b) for h, b in zip(table["high"].to_pylist(), table["low"].to_pylist(), strict=True)]
+        parts = [_unpacked(h, b) for h, b in _columns(table, "one", "two")]
         _, back, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         hot, rows, at = counts[back] >= 2, [], 0
-        for part, s, u in zip(parts, table["slice"].to_pylist(), table["unit"].to_pylist(), strict=True):
-            mine = part[hot[at : at + len(part)]]
-            at += len(part)
+        for part, (u, s) in zip(parts, _columns(table, "unit", "slice"), strict=True):
+            mine, at = part[hot[at : at + len(part)]], at + len(part)
             if len(mine):
-                rows.append((s, u, *_packed(np.unique(mine))))
-        return _batch(rows, _CELLS)
-
-    hot_cells = held.mapInArrow(sketch, _CELLS_SQL).groupBy("slice").applyInArrow(crowded, _CELLS_SQL)
-    slices = max(LEAST_SLICES, windows // CANDIDATES_PER_SLICE)
+                rows.append((u, s, *_packed(np.unique(mine))))
+        return _table(rows, _PAIR)
 
     def candidates(texts: pa.Table, cells: pa.Table) -> pa.Table:
         if not len(texts) or not len(cells):
-            return _batch([], _FOUND)
-        crowd = np.sort(np.concatenate([
-            _unpacked(h, b).astype(np.uint64) | (np.uint64(s) << np.uint64(SLICE_BITS))
-            for s, h, b in zip(*(cells[n].to_pylist() for n in ("slice", "high", "low")), strict=True)
-        ]))
-        parts = []
-        for own in texts.combine_chunks().to_batches(max_chunksize=500):
-            w = Windows(byte_column(own, "text"), size)
-            near = _among(w.first % width, crowd)
-            twice = np.repeat(own.column("copies").to_numpy(zero_copy_only=False), _fits(own, size))
-            first, second = w.first[near], w.second[near].astype(np.uint32)
-            parts.append((np.concatenate([first, first[twice[near]]]), np.concatenate([second, second[twice[near]]])))
-        first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
-        of = (first >> np.uint64(20)) % np.uint64(slices)
-        order = np.lexsort((second, first, of))
-        first, second, of = first[order], second[order], of[order]
-        same = (first[2:] == first[:-2]) & (second[2:] == second[:-2])
-        keep = np.concatenate([np.ones(min(2, len(first)), bool), ~same])
-        return _batch(_cut(of[keep], texts["unit"][0].as_py(), first[keep], second[keep]), _FOUND)
+            return _table([], _PAIR)
+        found = _cut(*Unit(texts, size).candidates(cells, width, slices))
+        return _table([(texts["unit"][0].as_py(), s, a.tobytes(), b.tobytes()) for s, a, b in found], _PAIR)
 
     def repeats(table: pa.Table) -> pa.Table:
-        first = [np.frombuffer(x, np.uint64) for x in table["first"].to_pylist()]
-        second = [np.frombuffer(x, np.uint32) for x in table["second"].to_pylist()]
-        sizes = [len(x) for x in first]
-        one, two = np.concatenate(first), np.concatenate(second)
-        order = np.lexsort((two, one))
-        like = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-        again = np.zeros(len(one), bool)
+        parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for a, b in _columns(table, "one", "two")]
+        first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((second, first))
+        like = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+        again = np.zeros(len(first), bool)
         again[order[1:][like]] = True
         again[order[:-1][like]] = True
         rows, at = [], 0
-        for s, u, a, b, n in zip(table["slice"].to_pylist(), table["unit"].to_pylist(), first, second, sizes, strict=True):
-            mine, at = again[at : at + n], at + n
-            if mine.any():
-                rows.append((s, u, a[mine].tobytes(), b[mine].tobytes()))
-        return _batch(rows, _FOUND)
-
-    met = held.groupBy("unit").cogroup(hot_cells.groupBy("unit")).applyInArrow(candidates, _FOUND_SQL)
-    twice_found = met.groupBy("slice").applyInArrow(repeats, _FOUND_SQL)
-
-    def remove(texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(texts) or not len(found):
-            return _batch([], _KEPT)
-        first = np.concatenate([np.frombuffer(x, np.uint64) for x in found["first"].to_pylist()])
-        second = np.concatenate([np.frombuffer(x, np.uint32) for x in found["second"].to_pylist()])
+        for (mine, _), (u, s) in zip(parts, _columns(table, "unit", "slice"), strict=True):
+            bits, at = again[at : at + len(mine)], at + len(mine)
+            rows.append((u, s, np.packbits(bits).tobytes(), None))
+        return _table(rows, _PAIR)
+
+    def remove(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        bits = {s: np.frombuffer(one, np.uint8) for s, one, two in _columns(replies, "slice", "one", "two") if two is None}
+        cells = replies.filter(replies["two"].is_valid())
+        if not len(texts) or not len(cells):
+            return _table([], _KEPT)
+        unit = Unit(texts, size)
+        parts = _cut(*unit.candidates(cells, width, slices))
+        again = [np.unpackbits(bits[s], count=len(a)).astype(bool) for s, a, _ in parts]
+        first = np.concatenate([a[m] for (_, a, _), m in zip(parts, again, strict=True)])
+        second = np.concatenate([b[m] for (_, _, b), m in zip(parts, again, strict=True)])
+        if not len(first):
+            return _table([], _KEPT)
         order = np.lexsort((second, first))
         first, second = first[order], second[order]
         rows = []
-        for own in texts.combine_chunks().to_batches(max_chunksize=500):
-            w = Windows(byte_column(own, "text"), size)
-            hit = w.starts[_pairs_among(w.first, w.second.astype(np.uint32), first, second)]
+        for number, w in enumerate(unit.parts):
+            hit = w.starts[_pairs_among(w.first, w.second, first, second)]
             marks = np.zeros(int(w.counts.sum()) + size + 1, dtype=np.int64)
-            np.add.at(marks, hit, 1)
-            np.add.at(marks, hit + size, -1)
+            marks[hit] += 1
+            marks[hit + size] -= 1
             gone = np.cumsum(marks) > 0
-            for key, words, end, n in zip(own.column("key").to_pylist(), w.words, w.ends.tolist(), w.counts.tolist(), strict=True):
+            for i, (end, n) in enumerate(zip(w.ends.tolist(), w.counts.tolist(), strict=True)):
                 mine = gone[end - n : end]
                 if removed := int(mine.sum()):
-                    left = b" ".join(words[i] for i in np.flatnonzero(~mine).tolist())
-                    rows.append((key, removed, left.decode()))
-        return _batch(rows, _KEPT)
-
-    return held.groupBy("unit").cogroup(twice_found.groupBy("unit")).applyInArrow(remove, "key string, n_removed long, kept string")
-
-
-def _fits(texts: pa.RecordBatch, size: int) -> np.ndarray:
-    """Number of windows in each text, whose words are joined by one space."""
-    return np.array([max(0, t.count(b" ") + 2 - size) if t else 0 for t in byte_column(texts, "text")], dtype=np.int64)
-
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which ``values`` are in ``known``, sorted and not empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+                    words = w.texts[i].split()
+                    left = b" ".join(words[j] for j in np.flatnonzero(~mine).tolist())
+                    rows.append((unit.keys[number * PART_TEXTS + i].decode(), removed, left.decode()))
+        return _table(rows, _KEPT)
+
+    hot_cells = texts.groupBy("unit").applyInArrow(sketch, _PAIR_SQL).groupBy("slice").applyInArrow(crowded, _PAIR_SQL)
+    met = texts.groupBy("unit").cogroup(hot_cells.groupBy("unit")).applyInArrow(candidates, _PAIR_SQL)
+    replies = hot_cells.unionByName(met.groupBy("slice").applyInArrow(repeats, _PAIR_SQL))
+    return texts.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(remove, "key string, n_removed long, kept string")
 
 
 def _pairs_among(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
