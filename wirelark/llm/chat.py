@@ -69,23 +69,23 @@ def _shared(a: str, b: str) -> int:
 
 
 def render(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int, int, int] | None], list[int]]:
-    """The whole output; for each turn its span and the span of its text, or None; the turns that rewrite history."""
+    """The whole output; for each turn its span and the span of its text, or None; the turns that rewrite history.
+
+    A turn that rewrites history has the span of its text only.
+    """
     output, spans, rewritten = template([]), [], []
     for i, (role, _) in enumerate(turns):
         before, output = output, template(turns[: i + 1])
-        if not output.startswith(before):
+        one, two = (template([*turns[:i], (role, letter)]) for letter in "AB")
+        inner = (_shared(one, two), len(output) - _shared(one[::-1], two[::-1]))
+        if output.startswith(before):
+            spans.append((len(before), len(output), *inner) if len(before) <= inner[0] <= inner[1] else None)
+        else:
             rewritten.append(i)
             kept = _shared(before, output)
             spans = [s if s and s[1] <= kept else None for s in spans]
-            begin = max([kept * (not any(spans)), *(s[1] for s in spans if s)]) if spans else 0
-            begin = max(begin, 0)
-        else:
-            begin = len(before)
-        one, two = (template([*turns[:i], (role, letter)]) for letter in "AB")
-        head = _shared(one, two)
-        tail = _shared(one[::-1], two[::-1])
-        inner = (head, len(output) - tail)
-        spans.append((begin, len(output), *inner) if begin <= inner[0] <= inner[1] else None)
+            # What lies before the text may be history: only the text's own place is certain.
+            spans.append((*inner, *inner) if inner[0] <= inner[1] else None)
     return output, spans, rewritten
 
 

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelark.llm import bpe, chat, id_files, mixing, quality_model, quality_rules, simhash, substrings, topk, toxicity
 from wirelark.llm.common import read_table
+from wirelark.llm.vocabulary import BYTE_TOKENIZER, WORD_TOKENIZER
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(read_table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import broadcast_if_small, joined_count, joined_words
+from wirelark.llm.common import broadcast_if_small, word_array
 from wirelark.session import store
 
 WEIGHTS = (5, 2, 1)
@@ -35,7 +35,7 @@ _GOLDEN_STEP = (_STEP * GOLDEN) % 1
 
 def sizes(docs: DataFrame) -> DataFrame:
     """``docs`` with ``size``, its number of words."""
-    return docs.withColumn("size", joined_count(joined_words(F.col("text"))))
+    return docs.withColumn("size", F.size(word_array(F.col("text"))).cast("long"))
 
 
 def targets(sources: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -183,7 +183,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = numbered(sizes(docs))
     _, mixed = mix(rows.select("row", "doc_id", "source", "size"))
     passes = mixed.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
-    part = F.array_join(F.slice(F.split(joined_words(F.col("text")), " "), 1, F.col("words").cast("int")), " ")
+    part = F.array_join(F.slice(word_array(F.col("text")), 1, F.col("words").cast("int")), " ")
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(part)
     made = rows.join(passes, "row").withColumn("text", text)
     return made.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

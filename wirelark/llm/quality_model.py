@@ -6,7 +6,7 @@ chunk's pooled responses and its length into a logit, and the mean and the least
 make one probability. A filter over bytes is a table lookup, and two neighbouring bytes are looked up at once.
 
 Training takes a bounded sample: about ``SAMPLE`` labelled documents of each class that are not held out, and of each
-up to ``CROPS`` crops of a chunk at places spread by a hash, some of them short. It runs on the driver with a fixed seed.
+up to ``CROPS`` crops of a chunk from its begin, middle and end, some of them short. It runs on the driver with a fixed seed.
 
 Nulls and edge cases: a null or empty text is scored as a document of no bytes; documents of any length are
 scored in blocks of chunks; a null ``doc_id`` is scored but never learned from; without labels of both kinds every score
@@ -28,13 +28,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from wirelark.llm.common import byte_column, small_batches
 from wirelark.llm.labelled import held_out, training_sample
 
-CHUNK, STEP, WIDTH, STRIDE = 512, 384, 8, 2
-FILTERS, HIDDEN = 16, 12
-SAMPLE, CROPS = 3000, 3
-EPOCHS, BATCH, RATE, SEED = 6, 64, 3e-3, 11
+CHUNK, STEP, WIDTH, STRIDE = 256, 192, 8, 2
+FILTERS, HIDDEN = 32, 24
+SAMPLE, CROPS, PIECE = 3000, 3, 512
+STEPS, BATCH, RATE, SEED = 2500, 64, 3e-3, 11
 ACCEPT = 0.3
 # Chunks that are scored at a time.
-BLOCK_CHUNKS = 2048
+BLOCK_CHUNKS = 1024
 
 
 @dataclass
@@ -123,8 +123,7 @@ def train(texts: list[bytes], labels: list[int]) -> Network | None:
     rng = np.random.default_rng(SEED)
     rows, lengths, owners = _crops(texts, rng)
     target = np.array(labels, dtype=np.float64)[owners]
-    # Both labels weigh alike.
-    weight = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean()))
+    by_label = [np.flatnonzero(target == value) for value in (0, 1)]
     n_in = FILTERS + 2
     values = {
         "filters": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)), "offset": np.full(FILTERS, -0.5),
@@ -132,38 +131,34 @@ def train(texts: list[bytes], labels: list[int]) -> Network | None:
     }
     first, second = ({k: np.zeros_like(v) for k, v in values.items()} for _ in range(2))
     starts = np.arange(0, CHUNK, STRIDE)
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), BATCH):
-            some = order[a : a + BATCH]
-            x, n = rows[some], lengths[some]
-            responses = np.zeros((len(some), len(starts), FILTERS))
-            for k in range(WIDTH):
-                responses += values["filters"][k][x[:, starts + k]]
-            responses[starts[None, :] >= np.maximum(n, 1)[:, None]] = -1e9
-            best = responses.argmax(axis=1)
-            pooled = np.take_along_axis(responses, best[:, None, :], axis=1)[:, 0]
-            active = np.tanh(pooled + values["offset"])
-            inputs = np.column_stack([active, _length_inputs(n)])
-            raw = inputs @ values["hidden"] + values["hidden_offset"]
-            hidden = np.maximum(raw, 0)
-            logit = hidden @ values["out"][:-1] + values["out"][-1]
-            error = (1 / (1 + np.exp(-logit)) - target[some]) * weight[some] / len(some)
-            back = error[:, None] * values["out"][:-1] * (raw > 0)
-            to_pooled = (back @ values["hidden"].T)[:, :FILTERS] * (1 - active**2)
-            gradient = {
-                "filters": np.zeros_like(values["filters"]), "offset": to_pooled.sum(axis=0),
-                "hidden": inputs.T @ back, "hidden_offset": back.sum(axis=0), "out": np.append(hidden.T @ error, error.sum()),
-            }
-            at = starts[best]
-            for k in range(WIDTH):
-                np.add.at(gradient["filters"][k], (np.take_along_axis(x, at + k, axis=1), np.arange(FILTERS)[None, :]), to_pooled)
-            step += 1
-            for name, value in values.items():
-                first[name] += 0.1 * (gradient[name] - first[name])
-                second[name] += 0.001 * (gradient[name] ** 2 - second[name])
-                value -= RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, STEPS + 1):
+        some = np.concatenate([rng.choice(which, BATCH // 2) for which in by_label])  # both labels alike
+        x, n = rows[some], lengths[some]
+        responses = np.zeros((len(some), len(starts), FILTERS))
+        for k in range(WIDTH):
+            responses += values["filters"][k][x[:, starts + k]]
+        responses[starts[None, :] >= np.maximum(n, 1)[:, None]] = -1e9
+        best = responses.argmax(axis=1)
+        pooled = np.take_along_axis(responses, best[:, None, :], axis=1)[:, 0]
+        active = np.tanh(pooled + values["offset"])
+        inputs = np.column_stack([active, _length_inputs(n)])
+        raw = inputs @ values["hidden"] + values["hidden_offset"]
+        hidden = np.maximum(raw, 0)
+        logit = hidden @ values["out"][:-1] + values["out"][-1]
+        error = (1 / (1 + np.exp(-logit)) - target[some]) / len(some)
+        back = error[:, None] * values["out"][:-1] * (raw > 0)
+        to_pooled = (back @ values["hidden"].T)[:, :FILTERS] * (1 - active**2)
+        gradient = {
+            "filters": np.zeros_like(values["filters"]), "offset": to_pooled.sum(axis=0),
+            "hidden": inputs.T @ back, "hidden_offset": back.sum(axis=0), "out": np.append(hidden.T @ error, error.sum()),
+        }
+        at = starts[best]
+        for k in range(WIDTH):
+            np.add.at(gradient["filters"][k], (np.take_along_axis(x, at + k, axis=1), np.arange(FILTERS)[None, :]), to_pooled)
+        for name, value in values.items():
+            first[name] += 0.1 * (gradient[name] - first[name])
+            second[name] += 0.001 * (gradient[name] ** 2 - second[name])
+            value -= RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
     network = Network(
         *(values[k].astype(np.float32) for k in ("filters", "offset", "hidden", "hidden_offset", "out")), joint=np.array([1.0, 0.0, 0.0])
     )
@@ -187,11 +182,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network | None:
     """The network for the ``quality`` labels of a bounded sample."""
     sample = training_sample(docs, labels, "quality", {0: SAMPLE, 1: SAMPLE})
     # Of a long text three pieces go to the driver, from its begin, its middle and its end.
-    size, long = F.length("text"), 3 * CHUNK
-    pieces = F.concat(
-        F.substring("text", 1, CHUNK), F.substr("text", (size / 2).cast("int"), F.lit(CHUNK)), F.substr("text", size - CHUNK + 1, F.lit(CHUNK))
-    )
-    rows = sample.select("doc_id", F.coalesce(F.when(size > long, pieces).otherwise(F.col("text")), F.lit("")).alias("text"), "label")
+    size, piece = F.length("text"), F.lit(PIECE)
+    middle, last = F.substr("text", (size / 2).cast("int"), piece), F.substr("text", size - PIECE + 1, piece)
+    pieces = F.concat(F.substring("text", 1, PIECE), middle, last)
+    rows = sample.select("doc_id", F.coalesce(F.when(size > 3 * PIECE, pieces).otherwise(F.col("text")), F.lit("")).alias("text"), "label")
     rows = sorted(rows.collect(), key=lambda r: (r[0], r[1], r[2]))
     return train([r[1].encode() for r in rows], [r[2] for r in rows])
 
@@ -208,8 +202,9 @@ def _pairs_once(network: Network) -> np.ndarray:
 
 
 def scored(docs: DataFrame, network: Network | None) -> DataFrame:
-    """``docs`` with ``score``, the probability that a document is clean."""
+    """``docs`` with ``score``, the probability that a document is clean, in place of a column of that name."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("score")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs_once(network) if network else None

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelark.llm.common import broadcast_if_small, evaluated_once, trimmed, word_array
+from wirelark.llm.common import SPACES, broadcast_if_small, evaluated_once, word_array
 from wirelark.session import store
 
 SYMBOLS = "#*$%&|<>"
@@ -37,14 +37,14 @@ SPREAD = {"word_length": 100, "symbols": 40, "dup_lines": 10, "repeats": 60}
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    solid = F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: trimmed(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    symbols = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS]
     split = evaluated_once(docs, words_=word_array(F.col("text")), lines_=lines)
     counted = split.withColumns(
         {
             "n_words": F.size("words_").cast("long"),
-            "word_chars": solid.cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("words_", "")).cast("long"),
+            "n_symbols": sum(symbols[1:], symbols[0]).cast("long"),
             "n_dup_lines": (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long"),
         }
     )

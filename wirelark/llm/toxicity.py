@@ -247,8 +247,9 @@ def _grammar_once(units: dict[str, float], marks: list[float] | None, bias: floa
 
 
 def scored(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
-    """``docs`` with ``score``, the probability that a text is toxic."""
+    """``docs`` with ``score``, the probability that a text is toxic, in place of a column of that name."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("score")
     known = grammar and (grammar.units, grammar.marks.tolist(), grammar.bias)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,14 @@ import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+# The default files of the queries; every operator takes the path as a parameter.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 # A vocabulary file has a few megabytes; more than this is not one, and is not broadcast.
 MOST_BYTES = 64 << 20
 
