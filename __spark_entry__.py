@@ -32,11 +32,12 @@ from wirelark.streaming.detect import StreamDetector  # noqa: E402
 from wirelark.streaming.progress import throughput_statistics  # noqa: E402
 
 try:  # the training-data operators are a part that can be taken away
+    import corpus_pipeline
     from wirelark.llm import entries as llm
 except ModuleNotFoundError as missing:
     if missing.name not in ("wirelark.llm", "corpus_pipeline"):
         raise
-    llm = None
+    corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -358,10 +359,12 @@ def queries() -> dict[str, Query]:
         "stream_alert_dedup": _stream_dedup,
         "stream_end_to_end": _stream_end_to_end,
         "throughput_statistics": _throughput,
-    } | (llm.queries() if llm else {})
+    } | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     known = queries()
     written = oracles.oracle_sql() | (llm.oracle_sql() if llm else {})
+    if llm and corpus_pipeline.ORACLE_SQL:
+        written["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {name: sql for name, sql in written.items() if name in known}
