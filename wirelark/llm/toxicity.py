@@ -3,13 +3,14 @@
 Small transducers are composed into one machine. The lexicon maps a word to a symbol (insult, threat, target, negation,
 reporting word, other) and, for insults, to a weight; the negation transducer marks an insult within a few words after
 a negation; the reported-speech transducer marks what follows a reporting word or stands in quotation marks; the target
-transducer marks a clause that speaks of a person; the threat transducer joins a threat and a target. A clause
-runs from one sentence mark to the next, and the weights of the marks on its best insult or threat add up to its score.
-Only clauses with an insult or a threat in them are read, found by an automaton over the whole text.
+transducer marks a clause that speaks of a person. A clause runs from one sentence mark to the next. Only clauses with an
+insult or a threat in them are read, found by an automaton over the whole text; what their marks add up to, over all
+clauses, gives the score of the text.
 
-What is learned, from labelled rows that are not held out: the insults, as words and word beginnings that
-are much more frequent in toxic texts, with their log odds as weights; and the weight of each mark, by logistic regression
-(so a mark that says nothing in the labels gets no weight). The sample is bounded by ``SAMPLE``, the lexicon by ``MOST_UNITS``.
+What is learned, from labelled rows that are not held out: the insults, as words and word beginnings that are more
+frequent in toxic texts, with a cautious estimate of their log odds as weights; and, from other rows than these, the
+weight of each sum of marks, by logistic regression (so a mark that says nothing in the labels gets no
+weight). The sample is bounded by ``SAMPLE``, the lexicon by ``MOST_UNITS``.
 
 Nulls and edge cases: a null or empty text has no clause and the least score; long texts are read clause by clause; a
 null ``doc_id`` is scored but never learned from; without labels of both kinds every score is 0; repeated rows are scored alike;
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,7 @@ from wirelark.session import store
 
 SAMPLE = {1: 3000, 0: 6000}
 LEAST_BEGIN, LONGEST_BEGIN, MOST_UNITS = 4, 8, 500
-LEAST_TOXIC, LEAST_ODDS = 5, 3.0
+LEAST_TOXIC, LEAST_ODDS, CAUTION = 4, 1.0, 2.0
 ACCEPT = 0.5
 SCOPE = 3
 
@@ -50,6 +52,8 @@ THREATS = frozenset("kill hurt destroy beat shoot burn töten schlagen tuer frap
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = "insult", "threat", "target", "negation", "report", "quote", "other"
 SYMBOLS = (INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER)
 MARKS = ("insult", "threat", "targeted", "negated", "reported")
+# What a text is judged by: its heaviest insult, the weight of all, the marks' counts (logarithms), and insults by length.
+SUMS = ("heaviest", "weight", "insults", "threats", "targeted", "negated", "reported", "density")
 
 
 @dataclass(frozen=True)
@@ -115,9 +119,9 @@ class Grammar:
     A unit of the lexicon is the begin of a word, or a whole word with a blank behind it.
     """
 
-    def __init__(self, units: dict[str, float], marks: list[float] | None = None, bias: float = 0.0):
+    def __init__(self, units: dict[str, float], weights: list[float] | None = None, bias: float = 0.0):
         self.units, self.bias = units, bias
-        self.marks = np.array(marks if marks is not None else [1.0] + [0.0] * len(MARKS))
+        self.weights = np.array(weights if weights is not None else [0.0] * len(SUMS))
         self.finder = ahocorasick.Automaton()
         for unit in {u.rstrip() for u in units} | THREATS:
             self.finder.add_word(unit, len(unit))
@@ -136,14 +140,14 @@ class Grammar:
         return OTHER, 0.0
 
     def clause_marks(self, clause: str) -> list[np.ndarray]:
-        """The marks of each insult or threat of a clause as numbers, an insult's own as its weight; a last 1 for all."""
+        """The marks of each insult or threat of a clause as numbers, an insult's own as its weight."""
         state, found, target = 0, [], False
         for word in _WORD.findall(clause):
             symbol, weight = self.symbol(word)
             target |= symbol == TARGET
             state, marks = _MACHINE.arcs[state][symbol]
             if marks & {"insult", "threat"}:
-                found.append(np.array([*(weight if m == "insult" else float(m in marks) for m in MARKS), 1.0]))
+                found.append(np.array([weight if m == "insult" else float(m in marks) for m in MARKS]))
         for marks in found:  # a target that comes later in the clause counts too
             marks[MARKS.index("targeted")] = float(target)
         return found
@@ -160,19 +164,24 @@ class Grammar:
             done = right.end() if right else len(low)
             yield low[left:done]
 
-    def best(self, text: str) -> np.ndarray:
-        """The marks that weigh most of all clauses; zeros if there are none."""
+    def sums(self, text: str) -> np.ndarray:
+        """What the marks of all clauses of ``text`` add up to, see ``SUMS``; zeros if it has none."""
         rows = [m for clause in self.clauses(text) for m in self.clause_marks(clause)]
-        return max(rows, key=lambda r: (float(r @ self.marks), tuple(r)), default=np.zeros(len(MARKS) + 1))
+        if not rows:
+            return np.zeros(len(SUMS))
+        marks = np.array(rows)
+        insults, counts = marks[:, 0], np.log1p((marks > 0).sum(axis=0))
+        return np.array([insults.max(), insults.sum() / 10, *counts, (insults > 0).sum() / (1 + len(text) / 1000)])
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.best(text) @ self.marks + self.bias, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.sums(text) @ self.weights + self.bias, -30, 30))))
 
 
 def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Words and word begins of ``sample`` (``text``, ``label``) that are far more frequent where the label is 1.
 
-    The weight is the logarithm of how many times. A unit that only repeats a shorter one is left out.
+    The weight is the logarithm of how many times, less ``CAUTION`` times its standard error. A unit that only repeats
+    a shorter one is left out.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     begins = F.expr(
@@ -181,7 +190,8 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     )
     units = sample.select("label", words.alias("words")).select("label", F.explode(F.array_distinct(begins)).alias("unit"))
     counts = units.groupBy("unit").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    odds = F.round(F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))), 6)
+    t, c = F.col("t") + 0.5, F.col("c") + 0.5
+    odds = F.round(F.log((t / (toxic + 1)) / (c / (clean + 1))) - CAUTION * F.sqrt(1 / t + 1 / c), 6)
     kept = counts.where(F.col("t") >= max(LEAST_TOXIC, toxic // 200)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     chosen: dict[str, float] = {}
     rows = kept.orderBy(F.col("odds").desc(), F.length("unit"), "unit").limit(MOST_UNITS).collect()
@@ -216,33 +226,38 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Grammar | None:
     """The grammar for the ``toxic`` labels of a bounded sample; None without both labels."""
-    sample = store(without_copies(training_sample(docs, labels, "toxic", SAMPLE)), "toxic-sample")
-    counts = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if not counts.get(0) or not counts.get(1):
+    rows = without_copies(training_sample(docs, labels, "toxic", SAMPLE))
+    # Two thirds teach the lexicon and the others the weights: judged by the rows it comes from, every chance find looks sure.
+    sample = store(rows.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3))), "toxic-sample")
+    counts = Counter()
+    for r in sample.groupBy("label", "part").count().collect():
+        counts[(r[0], r[1] > 0)] += r[2]
+    if len(counts) < 4:
         return None
-    units = lexicon(sample, counts[1], counts[0])
+    units = lexicon(sample.where("part > 0"), counts[(1, True)], counts[(0, True)])
     small_batches(docs.sparkSession)
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = _grammar_once(units, None, 0.0)
         for batch in batches:
-            best = [plain.best(t.decode()).tolist() for t in byte_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.list_(pa.float64())), batch.column(1)], names=["marks", "label"])
+            made = [plain.sums(t.decode()).tolist() for t in byte_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["sums", "label"])
 
-    rows = sorted((r["marks"], r["label"]) for r in sample.mapInArrow(marks, "marks array<double>, label int").collect())
-    inputs = np.array([[*m, 1.0] for m, _ in rows])
-    weights = _logistic(inputs, np.array([label for _, label in rows], dtype=np.float64))
+    others = sample.where("part = 0").select("text", "label").mapInArrow(sums, "sums array<double>, label int")
+    taught = sorted((r["sums"], r["label"]) for r in others.collect())
+    inputs = np.array([[*m, 1.0] for m, _ in taught])
+    weights = _logistic(inputs, np.array([label for _, label in taught], dtype=np.float64))
     return Grammar(units, weights[:-1].tolist(), float(weights[-1]))
 
 
 _made: dict[str, Grammar] = {}
 
 
-def _grammar_once(units: dict[str, float], marks: list[float] | None, bias: float) -> Grammar:
-    key = hashlib.md5(json.dumps([units, marks, bias], sort_keys=True).encode()).hexdigest()
+def _grammar_once(units: dict[str, float], weights: list[float] | None, bias: float) -> Grammar:
+    key = hashlib.md5(json.dumps([units, weights, bias], sort_keys=True).encode()).hexdigest()
     if key not in _made:
         _made.clear()
-        _made[key] = Grammar(units, marks, bias)
+        _made[key] = Grammar(units, weights, bias)
     return _made[key]
 
 
@@ -250,7 +265,7 @@ def scored(docs: DataFrame, grammar: Grammar | None) -> DataFrame:
     """``docs`` with ``score``, the probability that a text is toxic, in place of a column of that name."""
     small_batches(docs.sparkSession)
     docs = docs.drop("score")
-    known = grammar and (grammar.units, grammar.marks.tolist(), grammar.bias)
+    known = grammar and (grammar.units, grammar.weights.tolist(), grammar.bias)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _grammar_once(*known) if known else None
