@@ -135,9 +135,13 @@ def words_key(words: list[bytes]) -> str:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_words``, ``words_key`` and ``words_sha256`` (of the words joined by one space)."""
+    """``docs`` with ``n_words``, ``words_key`` and ``words_sha256`` (of the words joined by one space).
+
+    They take the place of columns of these names.
+    """
     small_batches(docs.sparkSession)
     names = ["n_words", "words_key", "words_sha256"]
+    docs = docs.drop(*names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +247,10 @@ def removed_passages(docs: DataFrame, size: int = 35) -> DataFrame:
     """``docs`` with ``n_words``, ``words_key``, ``words_sha256``, ``n_removed`` and ``kept``.
 
     A word goes if a window that covers it also starts anywhere else, in the same text or another. ``kept`` has the
-    words left, joined by one space, and is null where nothing goes.
+    words left, joined by one space, and is null where nothing goes. The new columns take the place of any of these names.
     """
     found = repeated(docs, size).withColumnRenamed("key", "words_key")
-    known = keyed(docs).join(found, "words_key", "left")
+    known = keyed(docs.drop("n_removed", "kept")).join(found, "words_key", "left")
     return known.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
 
 
