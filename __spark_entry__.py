@@ -29,7 +29,6 @@ from wirelark.sources import derived  # noqa: E402
 from wirelark.sources.frames import capture_filter, read_frames, snap_truncate, stream_frames  # noqa: E402
 from wirelark.sources.sinks import fan_out, write_alert_json  # noqa: E402
 from wirelark.streaming.detect import StreamDetector  # noqa: E402
-from wirelark.streaming.progress import throughput_statistics  # noqa: E402
 
 try:  # the training-data operators are a part that can be taken away
     import corpus_pipeline
@@ -282,17 +281,6 @@ def _stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(spark.read.parquet(out).drop("batch"))
 
 
-def _throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets, checkpoint = _packets(spark, sf_dir), _folder(spark, "throughput-checkpoint")
-
-    def run(inbox: str) -> StreamingQuery:
-        mix = traffic.protocol_mix(stream_frames(spark, inbox, packets.schema))
-        writer = mix.writeStream.format("noop").option("checkpointLocation", checkpoint)
-        return writer.outputMode("complete").trigger(availableNow=True).start()
-
-    return throughput_statistics(spark, _replay(packets, "throughput", run))
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Frames to alert documents on the smallest tables: decode, detect, limit, deduplicate, format."""
     return _end_to_end(spark, "/root/testdata/sf0.001")
@@ -343,7 +331,7 @@ def queries() -> dict[str, Query]:
         "recent_alerts": _over(_alerts, al.recent_alerts),
         "alert_retention": _over(_alerts, al.retain, AlertConfig(alert_retention=60)),
         "alert_json": _over(_alerts, al.alert_json),
-        "alert_json_array": _over(_alerts, al.alert_json_array, ALERTING),
+        "alert_json_array": _over(_alerts, al.alert_json_array, 40),
         "alert_statistics": _over(_alerts, al.alert_statistics, ALERTING),
         "alert_severity_counts": _over(_alerts, al.alert_severity_counts),
         "alert_statistics_json": _over(_alerts, al.alert_statistics_json, ALERTING),
@@ -355,10 +343,10 @@ def queries() -> dict[str, Query]:
         # the same on streams
         "stream_frames": _stream_frames,
         "stream_syn_rate_windows": _stream_windows(traffic.syn_rate_windows, "syn"),
+        "stream_connection_rate_windows": _stream_windows(traffic.connection_rate_windows, "connections"),
         "stream_port_scan_windows": _stream_windows(traffic.port_scan_windows, "ports"),
         "stream_alert_dedup": _stream_dedup,
         "stream_end_to_end": _stream_end_to_end,
-        "throughput_statistics": _throughput,
     } | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 
 

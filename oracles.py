@@ -214,8 +214,9 @@ moments AS (
   FROM totals)"""
 
 END_TO_END = f"WITH RECURSIVE {DECODED}, {SIZES}, {TRACKERS}, {ALERTS}, {CHAIN}"
-LIMITED_JSON = f"""SELECT date_trunc('second', ts) AS second, count(*) AS alerts,
-  '[' || string_agg({JSON}, ',' ORDER BY ts, seq, detector_ord) || ']' AS json FROM kept GROUP BY 1"""
+JSON_PARTS = f"""SELECT second, part, count(*) AS alerts, '[' || string_agg({JSON}, ',' ORDER BY ts, seq, detector_ord) || ']' AS json
+  FROM (SELECT *, date_trunc('second', ts) AS second, (row_number() OVER (
+        PARTITION BY date_trunc('second', ts) ORDER BY ts, seq, detector_ord) - 1) // 40 AS part FROM alerts) GROUP BY 1, 2"""
 SYN_WINDOWS = f"SELECT {_window(1)} AS window_start, source_ip, count(*) AS syn_packets FROM packets WHERE tcp_flags & 2 <> 0 GROUP BY ALL"
 EXTERNAL = "external AS (SELECT * REPLACE (CAST(5 + seq % 6 AS DOUBLE) / 10 AS confidence_score, CAST(1 AS INT) AS severity) FROM alerts)"
 RATED = """CAST(CASE WHEN type IN ('SYN_FLOOD', 'ML_ANOMALY') THEN 3 WHEN type IN ('PORT_SCAN', 'RATE_LIMIT_EXCEEDED') THEN 2
@@ -318,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "recent_alerts": _detected(f"SELECT {ALERT_COLUMNS} FROM alerts ORDER BY ts DESC, seq DESC, detector_ord DESC LIMIT 100"),
         "alert_retention": _detected(f"SELECT {ALERT_COLUMNS} FROM alerts WHERE ts >= (SELECT max(ts) FROM alerts) - INTERVAL 60 SECOND"),
         "alert_json": _detected(f"SELECT ts, seq, detector_ord, {JSON} AS json FROM alerts"),
-        "alert_json_array": _chained(LIMITED_JSON),
+        "alert_json_array": _detected(JSON_PARTS),
         "alert_statistics": _chained("SELECT * FROM statistics"),
         "alert_severity_counts": _detected("""SELECT CAST(l.severity AS INT) AS severity, l.severity_name, count(a.seq) AS alerts
             FROM (VALUES (1, 'LOW'), (2, 'MEDIUM'), (3, 'HIGH'), (4, 'CRITICAL')) l(severity, severity_name)
@@ -343,6 +344,10 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT window_start, source_ip, syn_packets, CAST(5 AS DOUBLE) AS threshold, syn_packets >= 5 AS over FROM ({SYN_WINDOWS})"
         ),
         "end_to_end": f"{END_TO_END} SELECT ts, seq, detector_ord, {JSON} AS json FROM processed",
+        "stream_connection_rate_windows": _with(
+            f"SELECT {_window(1)} AS window_start, source_ip, count(*) AS tcp_packets FROM packets "
+            "WHERE protocol = 'TCP' GROUP BY ALL HAVING count(*) >= 6"
+        ),
         "stream_syn_rate_windows": _with(f"{SYN_WINDOWS} HAVING count(*) >= 5"),
         "stream_port_scan_windows": _with(
             f"SELECT {_window(60)} AS window_start, source_ip, count(DISTINCT destination_port) AS ports FROM packets "

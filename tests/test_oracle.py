@@ -9,7 +9,6 @@ from tests.compare import differences, duckdb_over
 THEIRS = {*entry.llm.queries(), "pipeline"} if entry.llm else set()
 QUERIES = {k: v for k, v in entry.queries().items() if k not in THEIRS}
 SQL = {k: v for k, v in entry.oracle_sql().items() if k not in THEIRS}
-WITHOUT_SQL = {"throughput_statistics"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -26,11 +25,6 @@ def test_query(spark, sf_dir, con, name):
     assert differences(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
 
-def test_throughput(spark, sf_dir):
-    rows = QUERIES["throughput_statistics"](spark, sf_dir).collect()
-    assert rows and all(r.packets_processed > 0 and r.processing_rate_pps > 0 for r in rows)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

@@ -84,3 +84,50 @@ def test_one_file_per_trigger(spark, sf_dir, tmp_path):
     )
     query.awaitTermination()
     assert len(seen) == 3 and sum(seen) == frames.count()
+
+
+def test_families_off_and_on(spark, tmp_path):
+    """A family or the duplicates off for some micro-batches: the state is carried over and the stream goes on."""
+    on, off = DetectionConfig(syn_flood_threshold=15, statistical_enabled=True), DetectionConfig(rule_based_enabled=False, statistical_enabled=False)
+    detection, alerting = iter([on, off, on, on]), iter([AlertConfig(enable_deduplication=d) for d in (True, False, False, True)])
+    detector = StreamDetector(spark, str(tmp_path), lambda: next(detection), lambda: next(alerting))
+    df = full(frame(spark, [packet(i, i * 0.01) for i in range(40)]))
+    counts = []
+    for number in range(4):
+        found = detector.detect(df.where(f"seq div 10 = {number}"), number)
+        counts.append(found.where("type = 'SYN_FLOOD'").count())
+        detector.process(found, number).count()
+    # 10 packets are seen before the pause; the fifth after it is the fifteenth.
+    assert counts == [0, 0, 6, 10]
+
+
+def test_state_of_another_micro_batch_is_refused(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "n long")
+    table.write(0, spark.range(3).withColumnRenamed("id", "n"))
+    table.write(1, table.before(1))
+    with pytest.raises(RuntimeError):
+        table.before(3)
+
+
+def test_wrong_clock_of_one_source(spark, tmp_path):
+    """One packet from the far future does not end the trackers of other sources."""
+    config = DetectionConfig(syn_flood_threshold=15, syn_flood_window=30, statistical_enabled=False)
+    packets = [packet(i, i * 0.1) for i in range(10)] + [packet(10, 50_000, source="9.9.9.9")] + [packet(i, i * 0.1) for i in range(11, 21)]
+    df = full(frame(spark, packets))
+    detector = StreamDetector(spark, str(tmp_path), config, lateness=600)
+    got = [r.seq for n in range(2) for r in detector.detect(df.where(f"seq div 11 = {n}"), n).collect()]
+    want = [r.seq for r in detect_all(df, config).collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_late_alerts_meet_old_limits_and_duplicates(spark, tmp_path):
+    from tests.test_alerts import alert, table
+
+    def batches(detector, parts):
+        return [sum(1 for _ in detector.process(table(spark, rows), n).collect()) for n, rows in enumerate(parts)]
+
+    limit = AlertConfig(max_alerts_per_second=2, enable_deduplication=False)
+    late = [[alert(i) for i in range(3)], [alert(9, 700)], [alert(i + 20) for i in range(3)]]
+    assert batches(StreamDetector(spark, str(tmp_path / "a"), alerting=limit), late) == [2, 1, 0]
+    same = [[alert(1)], [alert(2, 1300)], [alert(3), alert(4)]]
+    assert batches(StreamDetector(spark, str(tmp_path / "b")), same) == [1, 1, 0]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelark.config import AlertConfig
-from wirelark.operators.ordered import first_rows
+from wirelark.operators.ordered import first_rows, running_totals
 from wirelark.schema import (
     ALERT_ORDER,
     ALERTS,
@@ -160,17 +160,19 @@ def alert_json(alerts: DataFrame) -> DataFrame:
     return alerts.select(*ALERT_ORDER, json_text().alias("json"))
 
 
-def alert_json_array(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """One JSON array per second of alerts, in order.
+def alert_json_array(alerts: DataFrame, chunk: int = 1000) -> DataFrame:
+    """All alerts as JSON arrays, in order: ``second``, ``part``, ``alerts`` and ``json``.
 
-    The rate limit comes first, so an array never holds more than ``max_alerts_per_second`` documents.
+    An array holds at most ``chunk`` alerts of one second of event time; a second with more has several parts, numbered
+    from 0. The place of an alert in its second is a running total, which a flood does not put into one task.
     """
-    limited = alert_json(limit_rate(alerts, config))
-    gathered = limited.groupBy(F.date_trunc("second", "ts").alias("second")).agg(
-        F.array_sort(F.collect_list(F.struct(*ALERT_ORDER, "json"))).alias("_rows")
+    placed = alert_json(alerts).withColumns({"second": F.date_trunc("second", "ts"), "_place": F.lit(1).cast("long")})
+    numbered = running_totals(placed, ["second"], [*ALERT_ORDER], ["_place"])
+    gathered = numbered.groupBy("second", F.expr(f"(_place - 1) div {chunk}").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("_place", "json"))).alias("_rows")
     )
     text = F.concat(F.lit("["), F.array_join(F.col("_rows.json"), ","), F.lit("]"))
-    return gathered.select("second", F.size("_rows").cast("long").alias("alerts"), text.alias("json"))
+    return gathered.select("second", "part", F.size("_rows").cast("long").alias("alerts"), text.alias("json"))
 
 
 def tag_outcomes(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:

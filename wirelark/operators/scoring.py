@@ -57,6 +57,15 @@ def logistic(weights: tuple[float, ...] = EXAMPLE_WEIGHTS, bias: float = EXAMPLE
     return score
 
 
+def _open_session(model_path: str):
+    import onnxruntime
+
+    try:
+        return onnxruntime.InferenceSession(model_path)
+    except Exception:  # not a path here: a file sent with addFile
+        return onnxruntime.InferenceSession(SparkFiles.get(model_path))
+
+
 def onnx(model_path: str) -> Model:
     """The first output of an ONNX model, run on whole Arrow batches with one session per worker.
 
@@ -64,32 +73,23 @@ def onnx(model_path: str) -> Model:
     ``SparkContext.addFile``.
     """
 
-    def open_session():
-        import onnxruntime
-
-        try:
-            return onnxruntime.InferenceSession(model_path)
-        except Exception:
-            return onnxruntime.InferenceSession(SparkFiles.get(model_path))
-
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        session = open_session()
+        session = _open_session(model_path)
         name = session.get_inputs()[0].name
         for batch in batches:
             rows = np.stack(batch.to_numpy()).astype(np.float32) if len(batch) else np.zeros((0, 8), np.float32)
             output = np.asarray(session.run(None, {name: rows})[0], dtype=np.float64)
             yield pd.Series(output.reshape(len(batch), -1)[:, 0])
 
-    return run
+    # Called so, the optimizer will not run it once for a filter and again for a column.
+    return run.asNondeterministic()
 
 
 def load_model(model_path: str) -> Model | None:
     """The ONNX model at ``model_path``, or None, with a message in the log, if it cannot be loaded."""
     try:
-        import onnxruntime
-
-        onnxruntime.InferenceSession(model_path)
+        _open_session(model_path)
     except Exception as error:  # noqa: BLE001 - a missing model must not stop detection
         log.error("cannot load model %s: %s", model_path, error)
         return None

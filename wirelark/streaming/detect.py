@@ -6,7 +6,11 @@ kept in versioned tables instead of per-key state: a source that floods makes up
 a per-key state operator would handle it in one task.
 
 Packets that arrive after later ones of the same source were handled in an earlier micro-batch are counted
-when they arrive, as the start of an older tracker; the sizes and limits take them as they come.
+when they arrive, as the start of an older tracker; the sizes take them as they come.
+
+State is kept back to ``lateness`` seconds before the median time of the micro-batch, so a source with a wrong clock does not
+make it forget the others. What arrives within that time meets the same limits, duplicates and trackers as if it had
+come in order; what is older is treated as the first of its time.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from wirelark.operators.rules import suspicious_payload
 from wirelark.operators.scoring import Model, ml_anomaly_alerts
 from wirelark.streaming.state import StateTable, keep_for_batch
 
-# Seconds of event time for which the rate limiter remembers what it let through.
-LIMIT_MEMORY = 600
+
+def _clock(rows: DataFrame) -> DataFrame:
+    """One row: the median time of ``rows`` in microseconds, null without rows."""
+    return rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("now"))
 
 
 class StreamDetector:
@@ -36,13 +42,15 @@ class StreamDetector:
         spark: SparkSession,
         folder: str,
         detection: DetectionConfig | Callable[[], DetectionConfig] = DetectionConfig(),
-        alerting: AlertConfig = AlertConfig(),
+        alerting: AlertConfig | Callable[[], AlertConfig] = AlertConfig(),
         model: Model | None = None,
+        lateness: int = 86400,
     ) -> None:
-        """``detection`` may be a function; it is asked anew for every micro-batch, so thresholds can change
-        while the stream runs (see ``config_from_table``)."""
+        """``detection`` and ``alerting`` may be functions; they are asked anew for every micro-batch, so settings
+        can change while the stream runs (see ``config_from_table``)."""
         self._detection = detection if callable(detection) else lambda: detection
-        self._alerting, self._model, self._folder = alerting, model, folder
+        self._alerting = alerting if callable(alerting) else lambda: alerting
+        self._model, self._folder, self._lateness = model, folder, lateness
 
         def table(name: str, schema: str) -> StateTable:
             return StateTable(spark, f"{folder}/{name}", schema)
@@ -69,7 +77,8 @@ class StreamDetector:
     def detect(self, packets: DataFrame, batch_id: int) -> DataFrame:
         """Alerts of one micro-batch. ``packets`` must be a stored table: it is scanned several times."""
         config = self._detection()
-        now = packets.agg(F.unix_micros(F.max("ts")).alias("now"))
+        # A tracker ends when a later packet of its own source finds it expired; this only bounds what is kept.
+        now = _clock(packets).select((F.col("now") - self._lateness * 1_000_000).alias("now"))
         found = []
         if config.rule_based_enabled:
             tcp, carried = anchored.tcp_times(packets), self._connections.before(batch_id)
@@ -82,11 +91,16 @@ class StreamDetector:
             found.append(anchored.scan_alerts_in(carrying, trackers, config, ports))
             self._ports.write(batch_id, anchored.carry_ports(carrying, trackers, now, config, ports))
             found.append(suspicious_payload(packets, config))
+        else:
+            self._connections.carry(batch_id)
+            self._ports.carry(batch_id)
         if config.statistical_enabled:
             before = self._sizes.before(batch_id)
             found.append(sizes.size_zscore_alerts(packets, config, before))
             both = sizes.size_rows(packets).unionByName(before)
             self._sizes.write(batch_id, sizes.carry_sizes(both, config))
+        else:
+            self._sizes.carry(batch_id)
         if config.enable_ml_inference and self._model is not None:
             found.append(ml_anomaly_alerts(packets, self._model, config))
         alerts = found[0] if found else suspicious_payload(packets, config).where(F.lit(False))
@@ -96,20 +110,22 @@ class StreamDetector:
 
     def process(self, alerts: DataFrame, batch_id: int) -> DataFrame:
         """The alert chain over one micro-batch, with limits and duplicates counted across micro-batches."""
+        config = self._alerting()
         used, seen = self._used.before(batch_id), self._seen.before(batch_id)
-        kept = self._keep(limit_rate(alerts, self._alerting, used), "kept", batch_id)
+        forget = _clock(alerts).select(F.timestamp_micros(F.col("now") - self._lateness * 1_000_000)).scalar()
+        kept = self._keep(limit_rate(alerts, config, used), "kept", batch_id)
         per_second = kept.groupBy(F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("used"))
         total = used.unionByName(per_second).groupBy("second").agg(F.sum("used").alias("used"))
-        oldest = total.agg(F.max("second") - F.expr(f"interval {LIMIT_MEMORY} seconds"))
-        self._used.write(batch_id, total.where(F.col("second") >= oldest.scalar()))
-        if not self._alerting.enable_deduplication:
+        self._used.write(batch_id, total.where(F.coalesce(F.col("second") >= forget, F.lit(True))))
+        if not config.enable_deduplication:
+            self._seen.carry(batch_id)
             return with_severity(kept)
-        bucket = dedup_bucket(self._alerting).start
-        first = dedupe(kept, self._alerting).withColumn("bucket", bucket)
+        bucket = dedup_bucket(config).start
+        first = dedupe(kept, config).withColumn("bucket", bucket)
         fresh = self._keep(first.join(seen, [*SIGNATURE, "bucket"], "left_anti"), "fresh", batch_id)
         signatures = seen.unionByName(fresh.select(*SIGNATURE, "bucket"))
-        oldest = signatures.agg(F.max("bucket") - F.expr(f"interval {self._alerting.dedup_window} seconds"))
-        self._seen.write(batch_id, signatures.where(F.col("bucket") >= oldest.scalar()))
+        end = F.col("bucket") + F.expr(f"interval {config.dedup_window} seconds")
+        self._seen.write(batch_id, signatures.where(F.coalesce(end >= forget, F.lit(True))))
         return with_severity(fresh.select(*alerts.columns))
 
     def run(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -18,13 +19,15 @@ class StateTable:
     """A table in the shared folder that micro-batch ``n`` reads as ``n - 1`` left it and writes anew.
 
     Two versions take turns. A micro-batch that is repeated after a failure reads the same version again and
-    overwrites its own, so the outcome is the same. Being an ordinary table, the state of one source may be spread over many
-    tasks, which per-key state operators cannot do.
+    overwrites its own, so the outcome is the same. Every micro-batch must write every table; a row of its own tells
+    the version, and a table that is not the last micro-batch's is refused. Being an ordinary table, the state of one
+    source may be spread over many tasks, which per-key state operators cannot do.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str | T.StructType) -> None:
         self._spark, self._folder = spark, folder
         self._schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self._stored = T.StructType([*self._schema, T.StructField("_version", T.LongType())])
 
     def _path(self, batch_id: int) -> str:
         return f"{self._folder}/slot={batch_id % 2}"
@@ -33,8 +36,20 @@ class StateTable:
         """What the micro-batches before ``batch_id`` left."""
         if batch_id == 0:
             return self._spark.createDataFrame([], self._schema)
-        return self._spark.read.schema(self._schema).parquet(self._path(batch_id - 1))
+        stored = self._spark.read.schema(self._stored).parquet(self._path(batch_id - 1))
+        versions = [r[0] for r in stored.where("_version is not null").select("_version").limit(2).collect()]
+        if versions != [batch_id - 1]:
+            raise RuntimeError(f"{self._folder} holds the state after micro-batch {versions}, not {batch_id - 1}")
+        return stored.where("_version is null").drop("_version")
 
     def write(self, batch_id: int, rows: DataFrame) -> None:
         columns = [rows[f.name].cast(f.dataType).alias(f.name) for f in self._schema]
-        rows.select(columns).write.mode("overwrite").parquet(self._path(batch_id))
+        nothing = F.lit(None).cast("long").alias("_version")
+        version = self._spark.createDataFrame([(*[None] * len(self._schema), batch_id)], self._stored)
+        rows.select(*columns, nothing).unionByName(version).write.mode("overwrite").parquet(self._path(batch_id))
+
+    def carry(self, batch_id: int) -> DataFrame:
+        """Leave what was there as it is."""
+        before = self.before(batch_id)
+        self.write(batch_id, before)
+        return before
