@@ -154,11 +154,11 @@ DAMAGED = f"""{PACKETS},
 damaged AS (
   SELECT *, seq % 16 AS kind, CASE seq % 16
     WHEN 1 THEN 13 WHEN 3 THEN least(caplen, 33) WHEN 6 THEN least(caplen, 54) WHEN 8 THEN least(caplen, 41)
-    WHEN 9 THEN 34 ELSE caplen END AS cap
+    WHEN 9 THEN 34 WHEN 14 THEN 0 ELSE caplen END AS cap
   FROM packets),
 judged AS (
   SELECT *, CASE
-    WHEN kind = 1 THEN 'short ethernet header'
+    WHEN kind IN (1, 14) THEN 'short ethernet header'
     WHEN kind = 3 THEN 'short ip header'
     WHEN kind = 4 THEN 'ip version'
     WHEN kind = 5 THEN 'ip header length'
@@ -247,11 +247,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tcp_flag_counts": _with(FLAGS),
         "packet_summary": _with(f"SELECT seq, ts, {SUMMARY} AS summary FROM packets"),
-        "validate_packets": f"""WITH {DAMAGED} SELECT 'eth0' AS interface_name, seen AS protocol, count(*) AS packets,
-            count(*) FILTER (kind NOT IN (12, 13)) AS valid_packets, count(*) FILTER (kind = 13) AS no_length,
-            CAST(0 AS BIGINT) AS no_capture, count(*) FILTER (cap > wire) AS capture_over_length,
-            CAST(0 AS BIGINT) AS bad_ip_version, CAST(0 AS BIGINT) AS bad_ip_header, CAST(0 AS BIGINT) AS bad_tcp_offset
-            FROM judged WHERE reason IS NULL GROUP BY ALL""",
+        "validate_packets": f"""WITH {DAMAGED} SELECT 'eth0' AS interface_name, CASE WHEN reason IS NULL THEN seen ELSE 'INVALID' END AS protocol,
+            count(*) AS packets, count(*) FILTER (reason IS NULL AND kind NOT IN (12, 13)) AS valid_packets,
+            count(*) FILTER (kind = 13) AS no_length, count(*) FILTER (kind = 14) AS no_capture,
+            count(*) FILTER (cap > wire) AS capture_over_length, count(*) FILTER (kind = 4) AS bad_ip_version,
+            count(*) FILTER (kind = 5) AS bad_ip_header, count(*) FILTER (kind = 10 AND protocol = 'TCP') AS bad_tcp_offset
+            FROM judged GROUP BY ALL""",
         "ip_checksum_audit": _with(
             "SELECT source_ip, count(*) AS audited, count(*) FILTER (seq % 7 = 0) AS mismatches FROM packets GROUP BY 1"
         ),

@@ -240,33 +240,32 @@ def decode_failures(frames: DataFrame) -> DataFrame:
 
 
 def checks(frames: DataFrame) -> DataFrame:
-    """Frames that can be decoded, with ``protocol``, one boolean per validation rule, and ``valid``: all hold."""
+    """All frames with ``protocol`` (INVALID if it cannot be decoded), one boolean per validation rule, and ``valid``:
+    it can be decoded and all rules hold. A rule about bytes that were not captured holds."""
     is_ip, is_tcp, _ = _kinds()
+    has_ip = is_ip & (F.col("_n") >= ETHERNET_HEADER + IP_HEADER)
+    has_tcp = has_ip & is_tcp & (F.col("_version") == 4) & (F.col("_ihl") * 4 >= IP_HEADER) & (F.col("_n") - F.col("_at") >= TCP_HEADER)
     rules = {
         "has_length": F.col("length") > 0,
         "has_capture": F.col("caplen") > 0,
         "capture_within_length": F.col("caplen") <= F.col("length"),
-        "ip_version_ok": ~is_ip | (F.col("_version") == 4),
-        "ip_header_ok": ~is_ip | (F.col("_ihl") * 4 >= IP_HEADER),
-        "tcp_offset_ok": ~is_tcp | (_tcp()["data_offset"] >= 5),
+        "ip_version_ok": F.when(has_ip, F.col("_version") == 4),
+        "ip_header_ok": F.when(has_ip, F.col("_ihl") * 4 >= IP_HEADER),
+        "tcp_offset_ok": F.when(has_tcp, _tcp()["data_offset"] >= 5),
     }
-    every = F.lit(True)
+    every = F.col("reject").isNull()
     for name in rules:
         every = every & F.col(name)
-    return (
-        _judged(frames)
-        .where(F.col("reject").isNull())
-        .select(
-            *frames.columns,
-            _protocol_and_payload()["protocol"].alias("protocol"),
-            *[rule.alias(name) for name, rule in rules.items()],
-        )
-        .withColumn("valid", every)
+    judged = _judged(frames)
+    protocol = F.when(F.col("reject").isNull(), _protocol_and_payload()["protocol"]).otherwise(F.lit("INVALID"))
+    told = judged.select(
+        *frames.columns, "reject", protocol.alias("protocol"), *[F.coalesce(r, F.lit(True)).alias(n) for n, r in rules.items()]
     )
+    return told.withColumn("valid", every).drop("reject")
 
 
 def validate_packets(frames: DataFrame) -> DataFrame:
-    """Per interface and protocol: decoded frames, valid frames, and the frames that break each rule."""
+    """Per interface and protocol: frames, valid frames, and the frames that break each rule."""
     return checks(frames).groupBy("interface_name", "protocol").agg(
         F.count("*").alias("packets"),
         F.count_if("valid").alias("valid_packets"),

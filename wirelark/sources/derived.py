@@ -104,7 +104,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frames, most of them damaged in one of thirteen ways chosen by ``seq``, to exercise the checks."""
+    """All frames, most of them damaged in one of fourteen ways chosen by ``seq``, to exercise the checks."""
     kind = F.col("seq") % 16
     tcp = F.hex(F.substring("frame", 24, 1)) == "06"
     byte = lambda at, value: F.concat(
@@ -123,6 +123,7 @@ def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 9, cut_to(34))
         .when((kind == 10) & tcp, byte(46, "40"))
         .when((kind == 11) & tcp, byte(46, "F0"))
+        .when(kind == 14, cut_to(0))
         .otherwise(F.col("frame"))
     )
     base = frames(spark, sf_dir)
