@@ -102,9 +102,16 @@ def _over(source: Query, operator: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: _plain(operator(source(spark, sf_dir), *args))
 
 
+def _digested(frames: DataFrame) -> DataFrame:
+    """Frames with a digest of their bytes, without the two checksums, which have audits of their own."""
+    tcp = F.hex(F.substring("frame", 24, 1)) == "06"
+    rest = F.when(tcp, F.expr("substring(frame, 27, 24) || substring(frame, 53)")).otherwise(F.expr("substring(frame, 27)"))
+    return frames.withColumn("frame", F.md5(F.concat(F.substring("frame", 1, 24), rest)))
+
+
 def _read_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _frames(spark, sf_dir).inputFiles()[0].rsplit("/", 1)[0]
-    return _plain(read_frames(spark, path).drop("frame"))
+    return _plain(_digested(read_frames(spark, path)))
 
 
 def _snap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +124,32 @@ def _filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("protocol").agg(F.count("*").alias("packets"))
 
 
+HEADERS = {
+    "ethernet": ["dst_mac", "src_mac", "ether_type"],
+    "ip": [
+        "version", "ihl", "tos", "total_length", "identification", "flags", "fragment_offset", "ttl", "protocol", "checksum",
+        "source_ip", "destination_ip",
+    ],
+    "tcp": [
+        "source_port", "destination_port", "sequence_number", "acknowledgment_number", "data_offset", "flags", "window_size",
+        "urgent_pointer",
+    ],
+    "udp": ["source_port", "destination_port", "length", "checksum"],
+}
+
+
+def _headers(frames: DataFrame) -> DataFrame:
+    fields = [F.col(f"{header}.{name}").alias(f"{header}_{name}") for header, names in HEADERS.items() for name in names]
+    return decode.with_headers(frames).select("seq", *fields)
+
+
+def _tcp_to_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own capture condition over the packet columns."""
+    condition = "protocol = 'TCP' AND destination_port < 1024 AND tcp_flags & 2 <> 0"
+    kept = capture_filter(decode.decode_frames(_frames(spark, sf_dir)), CaptureConfig(filter_expression=condition))
+    return kept.groupBy("source_ip", "destination_port").agg(F.count("*").alias("packets"))
+
+
 def _json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "alert-json")
     write_alert_json(_alerts(spark, sf_dir), path)
@@ -253,7 +286,7 @@ def _stream(
 
 
 def _stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, _frames(spark, sf_dir), "frames", lambda df: df).drop("frame")
+    return _stream(spark, _frames(spark, sf_dir), "frames", _digested)
 
 
 def _stream_windows(operator: Callable[..., DataFrame], name: str) -> Query:
@@ -292,10 +325,12 @@ def queries() -> dict[str, Query]:
         "read_frames": _read_frames,
         "snap_truncate": _snap,
         "capture_filter": _filter,
+        "capture_predicate": _tcp_to_web,
         "alert_json_sink": _json_sink,
         "alert_fanout": _fanout,
         # decode
         "decode_frames": _over(_frames, packets_of),
+        "decode_headers": _over(_frames, _headers),
         "decode_failures": _over(_damaged, decode.decode_failures),
         "protocol_mix": _over(_packets, traffic.protocol_mix),
         "tcp_flag_counts": _over(_packets, traffic.tcp_flag_counts),

@@ -217,6 +217,30 @@ END_TO_END = f"WITH RECURSIVE {DECODED}, {SIZES}, {TRACKERS}, {ALERTS}, {CHAIN}"
 JSON_PARTS = f"""SELECT second, part, count(*) AS alerts, '[' || string_agg({JSON}, ',' ORDER BY ts, seq, detector_ord) || ']' AS json
   FROM (SELECT *, date_trunc('second', ts) AS second, (row_number() OVER (
         PARTITION BY date_trunc('second', ts) ORDER BY ts, seq, detector_ord) - 1) // 40 AS part FROM alerts) GROUP BY 1, 2"""
+# The bytes of a frame by the rule that made them, without the two checksums.
+_SOURCE, _TARGET = "CAST(split_part(source_ip, '.', 4) AS INT)", "CAST(split_part(destination_ip, '.', 4) AS INT)"
+_WORD = lambda x, n: f"lpad(lower(hex(CAST({x} AS BIGINT))), {n}, '0')"
+_PORTS = f"{_WORD('source_port', 4)} || {_WORD('destination_port', 4)}"
+FRAME_DIGEST = f"""md5(unhex(
+    '001122334455aabbccddeeff0800' || '4500' || {_WORD('caplen - 14', 4)} || '1234400040' || {_WORD('ip_protocol', 2)}
+    || '0a0000' || {_WORD(_SOURCE, 2)} || 'c0a801' || {_WORD(_TARGET, 2)}
+    || CASE ip_protocol
+       WHEN 6 THEN {_PORTS} || {_WORD('seq', 8)} || '0000000050' || {_WORD('tcp_flags', 2)} || '2000' || '0000' || repeat('00', CAST(caplen - 54 AS INT))
+       WHEN 17 THEN {_PORTS} || {_WORD('caplen - 34', 4)} || '0000' || repeat('00', CAST(caplen - 42 AS INT))
+       ELSE repeat('00', CAST(caplen - 34 AS INT)) END))"""
+_IP_SUM = f"(17664 + caplen - 14 + 4660 + 16384 + 16384 + ip_protocol + 2560 + {_SOURCE} + 49320 + 256 + {_TARGET})"
+HEADERS = f"""SELECT seq, '00:11:22:33:44:55' AS ethernet_dst_mac, 'aa:bb:cc:dd:ee:ff' AS ethernet_src_mac, CAST(2048 AS INT) AS ethernet_ether_type,
+  CAST(4 AS INT) AS ip_version, CAST(5 AS INT) AS ip_ihl, CAST(0 AS INT) AS ip_tos, CAST(caplen - 14 AS INT) AS ip_total_length,
+  CAST(4660 AS INT) AS ip_identification, CAST(2 AS INT) AS ip_flags, CAST(0 AS INT) AS ip_fragment_offset, CAST(64 AS INT) AS ip_ttl,
+  CAST(ip_protocol AS INT) AS ip_protocol,
+  CAST(xor(65535 - ({_IP_SUM} % 65536 + {_IP_SUM} // 65536), CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END) AS INT) AS ip_checksum,
+  source_ip AS ip_source_ip, destination_ip AS ip_destination_ip,
+  CAST(CASE ip_protocol WHEN 6 THEN source_port END AS INT) AS tcp_source_port, CAST(CASE ip_protocol WHEN 6 THEN destination_port END AS INT) AS tcp_destination_port,
+  CAST(CASE ip_protocol WHEN 6 THEN seq END AS BIGINT) AS tcp_sequence_number, CAST(CASE ip_protocol WHEN 6 THEN 0 END AS BIGINT) AS tcp_acknowledgment_number,
+  CAST(CASE ip_protocol WHEN 6 THEN 5 END AS INT) AS tcp_data_offset, CAST(CASE ip_protocol WHEN 6 THEN tcp_flags END AS INT) AS tcp_flags,
+  CAST(CASE ip_protocol WHEN 6 THEN 8192 END AS INT) AS tcp_window_size, CAST(CASE ip_protocol WHEN 6 THEN 0 END AS INT) AS tcp_urgent_pointer,
+  CAST(CASE ip_protocol WHEN 17 THEN source_port END AS INT) AS udp_source_port, CAST(CASE ip_protocol WHEN 17 THEN destination_port END AS INT) AS udp_destination_port,
+  CAST(CASE ip_protocol WHEN 17 THEN caplen - 34 END AS INT) AS udp_length, CAST(CASE ip_protocol WHEN 17 THEN 0 END AS INT) AS udp_checksum FROM packets"""
 SYN_WINDOWS = f"SELECT {_window(1)} AS window_start, source_ip, count(*) AS syn_packets FROM packets WHERE tcp_flags & 2 <> 0 GROUP BY ALL"
 EXTERNAL = "external AS (SELECT * REPLACE (CAST(5 + seq % 6 AS DOUBLE) / 10 AS confidence_score, CAST(1 AS INT) AS severity) FROM alerts)"
 RATED = """CAST(CASE WHEN type IN ('SYN_FLOOD', 'ML_ANOMALY') THEN 3 WHEN type IN ('PORT_SCAN', 'RATE_LIMIT_EXCEEDED') THEN 2
@@ -225,8 +249,13 @@ RATED = """CAST(CASE WHEN type IN ('SYN_FLOOD', 'ML_ANOMALY') THEN 3 WHEN type I
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "read_frames": _with(f"SELECT {FRAME_COLUMNS} FROM packets"),
-        "stream_frames": _with(f"SELECT {FRAME_COLUMNS} FROM packets"),
+        "read_frames": _with(f"SELECT {FRAME_COLUMNS}, {FRAME_DIGEST} AS frame FROM packets"),
+        "stream_frames": _with(f"SELECT {FRAME_COLUMNS}, {FRAME_DIGEST} AS frame FROM packets"),
+        "decode_headers": _with(HEADERS),
+        "capture_predicate": _with(
+            "SELECT source_ip, destination_port, count(*) AS packets FROM packets "
+            "WHERE protocol = 'TCP' AND destination_port < 1024 AND tcp_flags & 2 <> 0 GROUP BY ALL"
+        ),
         "snap_truncate": _with(
             "SELECT seq, ts, CAST(least(caplen, 60) AS INT) AS caplen, CAST(length AS INT) AS length, "
             "CAST(least(caplen, 60) AS INT) AS frame_bytes FROM packets"
