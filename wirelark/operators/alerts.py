@@ -176,48 +176,41 @@ def alert_json_array(alerts: DataFrame, chunk: int = 1000) -> DataFrame:
 
 
 def tag_outcomes(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """Alerts per second and outcome: processed, dropped by the rate limit, or left out as duplicates."""
-    kept = limit_rate(alerts, config)
-
-    def per_second(rows: DataFrame, received: int, kept_: int, processed: int) -> DataFrame:
-        return rows.groupBy(F.date_trunc("second", "ts").alias("second")).agg(
-            F.sum(F.lit(received)).alias("received"),
-            F.sum(F.lit(kept_)).alias("kept"),
-            F.sum(F.lit(processed)).alias("processed"),
-        )
-
-    counts = (
-        per_second(alerts, 1, 0, 0)
-        .unionByName(per_second(kept, 0, 1, 0))
-        .unionByName(per_second(dedupe(kept, config), 0, 0, 1))
-        .groupBy("second")
-        .agg(*[F.sum(c).alias(c) for c in ("received", "kept", "processed")])
-    )
-    return counts.select(
-        "second",
-        "received",
-        "processed",
-        (F.col("received") - F.col("kept")).alias("dropped"),
-        (F.col("kept") - F.col("processed")).alias("deduplicated"),
+    """Alerts per second and outcome: processed, dropped by the rate limit, or left out as duplicates; also the first and
+    last time of the second, and how many were processed of each severity (``level_n``).
+
+    What the limit drops follows from the number received, so the alerts are ranked once, for the duplicates.
+    """
+    second = F.date_trunc("second", "ts").alias("second")
+    received = alerts.groupBy(second).agg(
+        F.count("*").alias("received"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
+    levels = [F.count_if(F.col("severity") == level).alias(f"level_{level}") for level in SEVERITIES]
+    processed = process(alerts, config).groupBy(second).agg(F.count("*").alias("processed"), *levels)
+    counts = received.join(processed, "second", "left").na.fill(0, ["processed", *[f"level_{n}" for n in SEVERITIES]])
+    kept = F.least(F.col("received"), F.lit(config.max_alerts_per_second).cast("long"))
+    return counts.withColumns({"dropped": F.col("received") - kept, "deduplicated": kept - F.col("processed")})
 
 
-def alert_statistics(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
-    """One row: alerts received, processed, dropped, deduplicated, and processed per second of the whole
-    seconds between the first and the last alert (0 if under one)."""
+def _totals(alerts: DataFrame, config: AlertConfig) -> DataFrame:
     span = F.expr("(unix_micros(max(last_ts)) - unix_micros(min(first_ts))) div 1000000")
-    ends = alerts.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
-    merged = tag_outcomes(alerts, config).unionByName(ends, allowMissingColumns=True)
-    return merged.agg(
+    return tag_outcomes(alerts, config).agg(
         total("received").alias("total_alerts_received"),
         total("processed").alias("alerts_processed"),
         total("dropped").alias("alerts_dropped"),
         total("deduplicated").alias("alerts_deduplicated"),
         F.when(span > 0, total("processed") / span).otherwise(F.lit(0.0)).alias("processing_rate_aps"),
+        *[total(f"level_{n}").alias(f"level_{n}") for n in SEVERITIES],
     )
 
 
+def alert_statistics(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
+    """One row: alerts received, processed, dropped, deduplicated, and processed per second of the whole
+    seconds between the first and the last alert (0 if under one)."""
+    return _totals(alerts, config).drop(*[f"level_{n}" for n in SEVERITIES])
+
+
 def _levels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SEVERITIES.items()), "severity int, severity_name string")
 
@@ -233,12 +226,10 @@ def alert_severity_counts(alerts: DataFrame) -> DataFrame:
 
 def alert_statistics_json(alerts: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
     """The statistics of the alert chain as one JSON document."""
-    processed = process(alerts, config)
-    one_per_level = [F.count_if(F.col("severity") == level).cast("string") for level in (LOW, MEDIUM, HIGH, CRITICAL)]
-    levels = processed.agg(F.concat_ws(",", *one_per_level).alias("levels"))
     names = ["total_alerts_received", "alerts_processed", "alerts_dropped", "alerts_deduplicated"]
+    levels = F.concat_ws(",", *[F.col(f"level_{n}").cast("string") for n in (LOW, MEDIUM, HIGH, CRITICAL)])
     text = F.format_string(
         "{" + "".join(f'"{n}":%d,' for n in names) + '"processing_rate_aps":%.2f,"severity_counts":[%s]}',
-        *names, "processing_rate_aps", "levels",
+        *names, "processing_rate_aps", levels,
     )
-    return alert_statistics(alerts, config).withColumn("levels", levels.scalar()).select(text.alias("json"))
+    return _totals(alerts, config).select(text.alias("json"))
