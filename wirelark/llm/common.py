@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +17,34 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 BROADCAST_ROWS = 20_000
-BATCH_ROWS = 500
-CACHE_WORDS = 400_000
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+CACHE_WORDS = 600_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of a local session find this package, whatever folder the session was started in.
+
+    On a cluster the package is installed or submitted with the application.
+    """
+    sc, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
+    if sc.applicationId in _shipped or not sc.master.startswith("local"):
+        return
+    _shipped.add(sc.applicationId)
+    if root not in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='wirelark-')}/wirelark", "zip", root, "wirelark"))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: few rows each, as one text can be long."""
+    """Arrow batches of whole texts: few rows and bytes each, as one text can be long."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

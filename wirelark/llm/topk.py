@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirelark.llm.common import ship
 from wirelark.session import store
 
 BLOCK = 1024
@@ -56,6 +57,7 @@ def packed(vectors: DataFrame, kind: str) -> DataFrame:
                     names=["ids", "data", "width"],
                 )
 
+    ship(vectors.sparkSession)
     blocks = vectors.mapInArrow(pack, "ids binary, data binary, width int")
     return store(blocks.withColumn("block", F.monotonically_increasing_id()), f"top-{kind}")
 
