@@ -31,7 +31,7 @@ MEASURES = {
     "dup_lines": "n_dup_lines * 1000 div n_words",
     "repeats": "n_repeat_words * 1000 div n_words",
 }
-SPREAD = {"word_length": 100, "symbols": 40, "dup_lines": 10, "repeats": 60}
+SPREAD = {"word_length": 100, "symbols": 40, "dup_lines": 12, "repeats": 110}
 
 
 def measured(docs: DataFrame) -> DataFrame:
