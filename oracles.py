@@ -172,14 +172,14 @@ judged AS (
 
 FRAME_COLUMNS = "seq, ts, CAST(caplen AS INT) AS caplen, CAST(length AS INT) AS length, CAST(0 AS INT) AS interface_index, 'eth0' AS interface_name"
 PACKET_COLUMNS = """seq, ts, CAST(length AS BIGINT) AS length, CAST(caplen AS BIGINT) AS captured_length,
-  'eth0' AS interface_name, 'aa:bb:cc:dd:ee:ff' AS src_mac, '00:11:22:33:44:55' AS dst_mac, CAST(2048 AS INT) AS ether_type,
+  'eth0' AS interface_name, '02:5a:10:7e:88:06' AS src_mac, '02:5a:10:7e:c4:31' AS dst_mac, CAST(2048 AS INT) AS ether_type,
   source_ip, destination_ip, ttl, ip_protocol, protocol, source_port, destination_port, tcp_flags, tcp_window,
   CAST(payload_length AS BIGINT) AS payload_length"""
 FLAGS = " UNION ALL ".join(
     f"SELECT CAST({i} AS INT) AS shown, '{name}' AS flag, count(*) AS packets FROM packets WHERE tcp_flags & {bit} <> 0 HAVING count(*) > 0"
     for i, (name, bit) in enumerate([("SYN", 2), ("ACK", 16), ("FIN", 1), ("RST", 4), ("PSH", 8), ("URG", 32)], start=1)
 )
-SUMMARY = """'Packet: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '  Ethernet: aa:bb:cc:dd:ee:ff -> 00:11:22:33:44:55  IP: '
+SUMMARY = """'Packet: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '  Ethernet: 02:5a:10:7e:88:06 -> 02:5a:10:7e:c4:31  IP: '
   || source_ip || ' -> ' || destination_ip || ' (TTL: 64)  ' || CASE protocol
     WHEN 'TCP' THEN 'TCP: ' || source_port || ' -> ' || destination_port
       || CASE WHEN tcp_flags & 2 <> 0 THEN ' [SYN]' ELSE '' END || CASE WHEN tcp_flags & 16 <> 0 THEN ' [ACK]' ELSE '' END
@@ -222,16 +222,16 @@ _SOURCE, _TARGET = "CAST(split_part(source_ip, '.', 4) AS INT)", "CAST(split_par
 _WORD = lambda x, n: f"lpad(lower(hex(CAST({x} AS BIGINT))), {n}, '0')"
 _PORTS = f"{_WORD('source_port', 4)} || {_WORD('destination_port', 4)}"
 FRAME_DIGEST = f"""md5(unhex(
-    '001122334455aabbccddeeff0800' || '4500' || {_WORD('caplen - 14', 4)} || '1234400040' || {_WORD('ip_protocol', 2)}
+    '025a107ec431025a107e88060800' || '4500' || {_WORD('caplen - 14', 4)} || '7a2c400040' || {_WORD('ip_protocol', 2)}
     || '0a0000' || {_WORD(_SOURCE, 2)} || 'c0a801' || {_WORD(_TARGET, 2)}
     || CASE ip_protocol
        WHEN 6 THEN {_PORTS} || {_WORD('seq', 8)} || '0000000050' || {_WORD('tcp_flags', 2)} || '2000' || '0000' || repeat('00', CAST(caplen - 54 AS INT))
        WHEN 17 THEN {_PORTS} || {_WORD('caplen - 34', 4)} || '0000' || repeat('00', CAST(caplen - 42 AS INT))
        ELSE repeat('00', CAST(caplen - 34 AS INT)) END))"""
-_IP_SUM = f"(17664 + caplen - 14 + 4660 + 16384 + 16384 + ip_protocol + 2560 + {_SOURCE} + 49320 + 256 + {_TARGET})"
-HEADERS = f"""SELECT seq, '00:11:22:33:44:55' AS ethernet_dst_mac, 'aa:bb:cc:dd:ee:ff' AS ethernet_src_mac, CAST(2048 AS INT) AS ethernet_ether_type,
+_IP_SUM = f"(17664 + caplen - 14 + 31276 + 16384 + 16384 + ip_protocol + 2560 + {_SOURCE} + 49320 + 256 + {_TARGET})"
+HEADERS = f"""SELECT seq, '02:5a:10:7e:c4:31' AS ethernet_dst_mac, '02:5a:10:7e:88:06' AS ethernet_src_mac, CAST(2048 AS INT) AS ethernet_ether_type,
   CAST(4 AS INT) AS ip_version, CAST(5 AS INT) AS ip_ihl, CAST(0 AS INT) AS ip_tos, CAST(caplen - 14 AS INT) AS ip_total_length,
-  CAST(4660 AS INT) AS ip_identification, CAST(2 AS INT) AS ip_flags, CAST(0 AS INT) AS ip_fragment_offset, CAST(64 AS INT) AS ip_ttl,
+  CAST(31276 AS INT) AS ip_identification, CAST(2 AS INT) AS ip_flags, CAST(0 AS INT) AS ip_fragment_offset, CAST(64 AS INT) AS ip_ttl,
   CAST(ip_protocol AS INT) AS ip_protocol,
   CAST(xor(65535 - ({_IP_SUM} % 65536 + {_IP_SUM} // 65536), CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END) AS INT) AS ip_checksum,
   source_ip AS ip_source_ip, destination_ip AS ip_destination_ip,

@@ -7,21 +7,20 @@ import pytest
 from wirelark.operators import audit, decode
 from wirelark.schema import FRAMES, PACKETS
 
-MACS = "001122334455" + "66778899aabb"
-IP = "4500002812344000400600" + "00c0a80101c0a80102"
-SYN = MACS + "0800" + "45000028123440004006" + "0000" + "c0a80101" + "c0a80102" + "1234567800000001000000005002200000000000"
+MACS = "025a107ec431" + "025a107e8806"
+SYN = MACS + "0800" + "450000287a2c40004006" + "0000" + "0a141e29" + "0a141e2a" + "9c4501bb0000002a000000005002200000000000"
 
 
 def ip(proto: int, first: str = "45", length: int = 40) -> str:
-    return f"{MACS}0800{first}00{length:04x}1234400040{proto:02x}0000c0a80101c0a80102"
+    return f"{MACS}0800{first}00{length:04x}7a2c400040{proto:02x}00000a141e290a141e2a"
 
 
-TCP = "12345678000000010000000050022000" + "00000000"
+TCP = "9c4501bb0000002a0000000050022000" + "00000000"
 CASES = {
     # name: (hex, reject reason or None, expected packet fields)
-    "syn": (SYN, None, dict(protocol="TCP", source_ip="192.168.1.1", destination_ip="192.168.1.2", source_port=4660,
-                            destination_port=22136, ttl=64, tcp_flags=2, tcp_window=8192, payload_length=0,
-                            dst_mac="00:11:22:33:44:55", src_mac="66:77:88:99:aa:bb", ether_type=0x0800)),
+    "syn": (SYN, None, dict(protocol="TCP", source_ip="10.20.30.41", destination_ip="10.20.30.42", source_port=40005,
+                            destination_port=443, ttl=64, tcp_flags=2, tcp_window=8192, payload_length=0,
+                            dst_mac="02:5a:10:7e:c4:31", src_mac="02:5a:10:7e:88:06", ether_type=0x0800)),
     "ten bytes": (SYN[:20], "short ethernet header", None),
     "thirteen bytes": (SYN[:26], "short ethernet header", None),
     "empty": ("", "short ethernet header", None),
@@ -33,14 +32,14 @@ CASES = {
     "ihl 4": (ip(6, "44") + TCP, "ip header length", None),
     "ihl 15 with 20 bytes": (ip(6, "4f"), "ip header beyond capture", None),
     "icmp ihl 15 with 20 bytes": (ip(1, "4f"), "ip header beyond capture", None),
-    "gre": (ip(47) + "00" * 10, None, dict(protocol="UNKNOWN", ip_protocol=47, source_ip="192.168.1.1", payload_length=0,
+    "gre": (ip(47) + "00" * 10, None, dict(protocol="UNKNOWN", ip_protocol=47, source_ip="10.20.30.41", payload_length=0,
                                           source_port=0, destination_port=0)),
     "tcp 19 bytes": (ip(6) + TCP[:38], "short tcp header", None),
     "tcp offset 4": (ip(6) + TCP.replace("5002", "4002"), "tcp data offset", None),
     "tcp offset 15": (ip(6) + TCP.replace("5002", "f002"), None, dict(protocol="TCP", payload_length=0)),
     "tcp flags": (ip(6) + TCP.replace("5002", "53ff"), None, dict(tcp_flags=0x3FF)),
     "tcp after options": (ip(6, "46") + "01010101" + TCP + "aabb", None,
-                          dict(protocol="TCP", source_port=4660, payload_length=2, tcp_flags=2)),
+                          dict(protocol="TCP", source_port=40005, payload_length=2, tcp_flags=2)),
     "udp 7 bytes": (ip(17) + "d431003500080", "short udp header", None),
     "udp": (ip(17) + "d431003500080000", None, dict(protocol="UDP", source_port=54321, destination_port=53,
                                                     payload_length=0, tcp_flags=None, tcp_window=None)),
@@ -78,28 +77,28 @@ def test_packets(frames):
 
 def test_headers(frames):
     row = decode.with_headers(frames).where(f"seq = {NAMES.index('syn')}").first()
-    assert row.ip.asDict() == dict(version=4, ihl=5, tos=0, total_length=40, identification=0x1234, flags=2,
-                                   fragment_offset=0, ttl=64, protocol=6, checksum=0, source_ip="192.168.1.1",
-                                   destination_ip="192.168.1.2")
-    assert (row.tcp.sequence_number, row.tcp.data_offset, row.tcp.flags, row.tcp.urgent_pointer) == (1, 5, 2, 0)
+    assert row.ip.asDict() == dict(version=4, ihl=5, tos=0, total_length=40, identification=0x7A2C, flags=2,
+                                   fragment_offset=0, ttl=64, protocol=6, checksum=0, source_ip="10.20.30.41",
+                                   destination_ip="10.20.30.42")
+    assert (row.tcp.sequence_number, row.tcp.data_offset, row.tcp.flags, row.tcp.urgent_pointer) == (42, 5, 2, 0)
     assert row.udp is None
     udp = decode.with_headers(frames).where(f"seq = {NAMES.index('udp')}").first()
     assert udp.udp.asDict() == dict(source_port=54321, destination_port=53, length=8, checksum=0) and udp.tcp is None
 
 
 def test_short_mac_bytes_have_two_digits(frames):
-    assert decode.decode_frames(frames).where(f"seq = {NAMES.index('syn')}").first().dst_mac.startswith("00:11")
+    assert decode.decode_frames(frames).where(f"seq = {NAMES.index('syn')}").first().dst_mac.startswith("02:5a")
 
 
 def test_summary(frames):
     lines = {NAMES[r.seq]: r.summary for r in decode.packet_summary(decode.decode_frames(frames)).collect()}
     assert lines["syn"] == (
-        "Packet: 2024-01-01 00:00:00  Ethernet: 66:77:88:99:aa:bb -> 00:11:22:33:44:55"
-        "  IP: 192.168.1.1 -> 192.168.1.2 (TTL: 64)  TCP: 4660 -> 22136 [SYN] (Size: 54 bytes)"
+        "Packet: 2024-01-01 00:00:00  Ethernet: 02:5a:10:7e:88:06 -> 02:5a:10:7e:c4:31"
+        "  IP: 10.20.30.41 -> 10.20.30.42 (TTL: 64)  TCP: 40005 -> 443 [SYN] (Size: 54 bytes)"
     )
     assert lines["tcp flags"].count("[") == 5 and "[SYN] [ACK] [FIN] [RST] [PSH]" in lines["tcp flags"]
     assert "Protocol: 47" in lines["gre"]
-    assert lines["arp"].endswith("00:11:22:33:44:55")
+    assert lines["arp"].endswith("02:5a:10:7e:c4:31")
 
 
 def test_validation(spark, frames):
@@ -120,7 +119,7 @@ def _checksum(data: bytes) -> int:
 def _datagram(payload: bytes, options: bytes) -> bytes:
     first = 0x40 + 5 + len(options) // 4
     total = 20 + len(options) + 20 + len(payload)
-    header = bytes([first, 0]) + total.to_bytes(2) + bytes.fromhex("1234400040060000c0a80101c0a80102") + options
+    header = bytes([first, 0]) + total.to_bytes(2) + bytes.fromhex("7a2c4000400600000a141e290a141e2a") + options
     header = header[:10] + _checksum(header).to_bytes(2) + header[12:]
     segment = bytes.fromhex(TCP) + payload
     pseudo = header[12:20] + b"\0\x06" + len(segment).to_bytes(2)

@@ -41,8 +41,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         length.alias("length"),
         length.alias("captured_length"),
         F.lit("eth0").alias("interface_name"),
-        F.lit("aa:bb:cc:dd:ee:ff").alias("src_mac"),
-        F.lit("00:11:22:33:44:55").alias("dst_mac"),
+        F.lit("02:5a:10:7e:88:06").alias("src_mac"),
+        F.lit("02:5a:10:7e:c4:31").alias("dst_mac"),
         F.lit(0x0800).alias("ether_type"),
         F.concat(F.lit("10.0.0."), F.col("user_id") % 8).alias("source_ip"),
         F.concat(F.lit("192.168.1."), F.col("user_id") % 4).alias("destination_ip"),
@@ -77,7 +77,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = F.shiftright("seq", 16).bitwiseAND(0xFFFF)
 
     addresses = F.lit(0x0A00 + 0xC0A8 + 0x0100) + src + dst
-    ip_words = F.lit(0x4500 + 0x1234 + 0x4000 + 0x4000) + 20 + header + body + F.col("ip_protocol") + addresses
+    ip_words = F.lit(0x4500 + 0x7A2C + 0x4000 + 0x4000) + 20 + header + body + F.col("ip_protocol") + addresses
     tcp_words = (
         addresses + 6 + 20 + body + F.col("source_port") + F.col("destination_port") + low + high
         + 0x5000 + F.coalesce("tcp_flags", F.lit(0)) + 0x2000
@@ -91,8 +91,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     udp_header = F.concat(ports, _hex(body + 8, 4), F.lit("0000"))
     text = F.concat(
-        F.lit("001122334455aabbccddeeff0800"),
-        F.lit("4500"), _hex(F.lit(20) + header + body, 4), F.lit("1234400040"), _hex(F.col("ip_protocol"), 2),
+        F.lit("025a107ec431025a107e88060800"),
+        F.lit("4500"), _hex(F.lit(20) + header + body, 4), F.lit("7a2c400040"), _hex(F.col("ip_protocol"), 2),
         _hex(ip_check, 4), F.lit("0a0000"), _hex(src, 2), F.lit("c0a801"), _hex(dst, 2),
         F.when(tcp, tcp_header).when(udp, udp_header).otherwise(""),
         F.repeat(F.lit("00"), body.cast("int")),
