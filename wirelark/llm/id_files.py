@@ -15,7 +15,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from wirelark.llm.common import CACHE_WORDS, broadcast_if_small, byte_column, small_batches
+from wirelark.llm.common import broadcast_if_small, byte_column, ship, small_batches
 from wirelark.llm.vocabulary import byte_symbols, opened, send
 from wirelark.session import shared_folder, store
 
@@ -37,6 +39,9 @@ END_ID = 2
 BLOCK_IDS = 1 << 14
 SEGMENT_IDS = 1 << 18
 FILE_BYTES = 12 << 20
+KEPT_PIECES = 900_000
+# Up to this character letters are the same in every version of Unicode.
+LAST_PLAIN = "ʯ"
 _PAYLOAD = (1 << 60) - 1
 
 
@@ -133,14 +138,21 @@ class ByteCodec:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.chunks: dict[str, bytes] = _Chunks(self)
+        self.marks: dict[str, bytes] = {}
 
     def ids_of(self, chunk: str) -> bytes:
         if not self.PLAIN.fullmatch(chunk) or any(s in chunk for s in self.specials):
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        else:
-            words = ("".join(map(self.symbols.__getitem__, w.encode())) for w in self.SPLIT.findall(chunk))
-            ids = [token.id for word in words for token in self.model.tokenize(word)]
-        return np.array(ids, dtype="<u4").tobytes()
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.ids_of_word, self.SPLIT.findall(chunk)))
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.ids_of(mark)
+        return self.marks[mark]
+
+    def ids_of_word(self, word: str) -> bytes:
+        symbols = "".join(map(self.symbols.__getitem__, word.encode()))
+        return array("I", [token.id for token in self.model.tokenize(symbols)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian 32-bit integers."""
@@ -168,8 +180,16 @@ class _Chunks(dict):
     def __missing__(self, rest: str) -> bytes:
         if not rest or rest[0].isspace() or rest[-1].isspace():
             raise _BesideSpace
-        ids = self.codec.ids_of(" " + rest)
-        if len(self) < CACHE_WORDS:
+        body = rest[:-1]
+        if max(rest) > LAST_PLAIN:
+            ids = self.codec.ids_of(" " + rest)
+        elif rest.isalpha():
+            ids = self.codec.ids_of_word(" " + rest)
+        elif body.isalpha() and not rest[-1].isdigit():  # a word and the mark behind it
+            ids = self[body] + self.codec.mark(rest[-1])
+        else:
+            ids = self.codec.ids_of(" " + rest)
+        if len(self) < KEPT_PIECES:
             self[rest] = ids
         return ids
 
@@ -257,9 +277,11 @@ def _read(spark: SparkSession, path: str, column: str, value, arrow: pa.DataType
                     names=names,
                 )
 
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     read = segments.mapInArrow(documents, f"doc_id {kind.simpleString()}, file int, before long, n_tokens long, {column}")
     read = store(read, "id-documents")
+    small_batches(spark)
     files = read.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     along = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     begins = files.select(F.col("file"), F.coalesce(F.sum("total").over(along), F.lit(0)).alias("begin"))
@@ -269,8 +291,6 @@ def _read(spark: SparkSession, path: str, column: str, value, arrow: pa.DataType
 
 def id_file_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write the ids of ``docs`` under the shared folder, and read their digests back."""
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/ids/{uuid.uuid4().hex}"
     write_ids(docs, tokenizer_path, path)
