@@ -2,8 +2,8 @@
 
 A template is any function from a list of (role, text) to a string. The turns of a conversation are rendered as
 successively longer prefixes; where an output continues the one before, what it adds is the span of the new turn. The
-place of the text in its span is found by rendering the turn with two one-letter texts: what the outputs share in front
-and behind is the template's own. If an output does not start with the one before, the template rewrites
+place of the text in its span is found by rendering the turn with a letter for its text that the output does not hold:
+what both outputs share in front and behind is the template's own. If an output does not start with the one before, the template rewrites
 history: the turn is reported in ``rewritten``, and spans that the final output no longer holds are null.
 
 Rows are dealt by conversation, sorted, and streamed. A conversation of more than ``PART_TURNS`` turns is
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,8 @@ from wirelark.llm.common import small_batches
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-PART_TURNS = 128
+PART_TURNS = 64
+LOSS_ROLES = ("assistant",)
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # Control strings of this template and of common chat formats. None may appear within a text.
 CONTROL = (
@@ -40,6 +42,7 @@ _BACK = re.compile(r"\\(\\?)")
 _READ = re.compile(f"{re.escape(TURN)}(.*?){re.escape(TEXT)}(.*?){re.escape(END)}\n", re.DOTALL)
 
 
+@lru_cache(4 * PART_TURNS)  # prefixes repeat the same turns
 def escape(text: str) -> str:
     """``text`` with every backslash doubled and one backslash put after the first character of a control string."""
     return _ESCAPED.sub(lambda m: m[0] * 2 or "\\", text)
@@ -68,24 +71,33 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def render(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int, int, int] | None], list[int]]:
+def _text_place(turns: Turns, output: str, template: Template) -> tuple[int, int]:
+    """Where in ``output``, the rendered ``turns``, the text of the last turn stands."""
+    letter = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in output)
+    probe = template([*turns[:-1], (turns[-1][0], letter)])
+    return _shared(output, probe), len(output) - _shared(output[::-1], probe[::-1])
+
+
+def render(
+    turns: Turns, template: Template, roles: Collection[str] | None = None
+) -> tuple[str, list[tuple[int, int, int | None, int | None] | None], list[int]]:
     """The whole output; for each turn its span and the span of its text, or None; the turns that rewrite history.
 
-    A turn that rewrites history has the span of its text only.
+    Texts are located for turns of the given ``roles`` (all by default). A turn that rewrites history has the span
+    of its text only.
     """
     output, spans, rewritten = template([]), [], []
     for i, (role, _) in enumerate(turns):
         before, output = output, template(turns[: i + 1])
-        one, two = (template([*turns[:i], (role, letter)]) for letter in "AB")
-        inner = (_shared(one, two), len(output) - _shared(one[::-1], two[::-1]))
+        place = (None, None) if roles is not None and role not in roles else _text_place(turns[: i + 1], output, template)
         if output.startswith(before):
-            spans.append((len(before), len(output), *inner) if len(before) <= inner[0] <= inner[1] else None)
+            spans.append((len(before), len(output), *place) if place[0] is None or len(before) <= place[0] <= place[1] else None)
         else:
             rewritten.append(i)
             kept = _shared(before, output)
             spans = [s if s and s[1] <= kept else None for s in spans]
             # What lies before the text may be history: only the text's own place is certain.
-            spans.append((*inner, *inner) if inner[0] <= inner[1] else None)
+            spans.append((*place, *place) if place[0] is not None and place[0] <= place[1] else None)
     return output, spans, rewritten
 
 
@@ -115,15 +127,17 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, Tur
         yield now, part, held
 
 
-def format_conversations(conversations: DataFrame, template: Template = turn_template) -> DataFrame:
+def format_conversations(
+    conversations: DataFrame, template: Template = turn_template, roles: Collection[str] | None = LOSS_ROLES
+) -> DataFrame:
     """``conv_id``, ``part``, ``formatted``, ``spans`` (role, span of the turn and of its text) and ``rewritten``.
 
-    The loss mask of a part is the text spans of its assistant turns. ``conversations`` has ``conv_id``, ``turn``, ``role`` and ``text``.
+    The loss mask of a part is the text spans of its turns of the given ``roles``. ``conversations`` has ``conv_id``, ``turn``, ``role`` and ``text``.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, part, turns in _parts(batches):
-            output, spans, rewritten = render(turns, template)
+            output, spans, rewritten = render(turns, template, roles)
             named = [s and dict(zip(_SPAN.names, (role, *s), strict=True)) for (role, _), s in zip(turns, spans, strict=True)]
             values = [
                 pa.array([conv], arrow), pa.array([part], pa.int32()), pa.array([output]), pa.array([named], pa.list_(_SPAN)),
@@ -161,7 +175,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
                 for span in spans:
-                    if span and span["role"] == "assistant":
+                    if span and span["role"] in LOSS_ROLES and span["text_start"] is not None:
                         text = unescape(output[span["text_start"] : span["text_stop"]])
                         state[2] += len(text)
                         state[3].update(text.encode())
