@@ -7,8 +7,8 @@ state ``u`` (and, if u = v, so does the arc for ``uv``). After all merges its pa
 sequences that BPE makes, one for each word. Copies are not written out: a gadget keeps whom it copied and when, and an arc
 is read back through the gadgets on first use and then kept in the transition table.
 
-A word is encoded from left to right over the table: every prefix has one path, so for each end one token is kept.
-Decoding emits the labels of the arcs.
+A word is encoded from left to right over the table, with a step back where a token leads nowhere. Decoding emits the
+labels of the arcs.
 
 Nulls and edge cases: a null or empty text has no tokens and decodes to the empty string; texts of any length are
 handled in blocks cut at white space, which never joins tokens; repeated rows give equal rows; an empty table an empty result.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from wirelark.llm.common import CACHE_WORDS, byte_column, small_batches, word_blocks
+from wirelark.llm.common import CACHE_WORDS, byte_column, ship, small_batches, word_blocks
 from wirelark.llm.vocabulary import byte_symbols, opened, send
 
 KEPT_ARCS = 400_000
@@ -38,14 +38,17 @@ class MergeAutomaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         size = max(vocab.values(), default=-1) + 1
-        self.vocab, self.suffix = vocab, suffix
         self.born, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[tuple[int, int], int] = {}
         self.table: dict[tuple[int, int], bool] = {}
         self.reached = [True] * size
         for number, (u, v) in enumerate(merges):
             self._gadget(number, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max((len(t) for t in vocab), default=1)
+        # The tokens that can be reached, without the suffix: those that end a word, and those that do not.
+        live = [(t, i) for t, i in vocab.items() if self.reached[i]]
+        self.inner = {t: i for t, i in live if not suffix or not t.endswith(suffix)}
+        self.ending = {t[: -len(suffix)]: i for t, i in live if t.endswith(suffix)} if suffix else self.inner
+        self.longest = max(map(len, [*self.inner, *self.ending]), default=1)
 
     def _gadget(self, number: int, u: int, v: int, whole: int) -> None:
         if self.born[whole] >= 0:
@@ -79,24 +82,35 @@ class MergeAutomaton:
         return known
 
     def encode(self, word: str) -> list[int]:
-        """The tokens of ``word``, a not empty string of base symbols."""
-        n, vocab, reached, suffix = len(word), self.vocab, self.reached, self.suffix
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            tail = suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                token = vocab.get(word[start:end] + tail)
-                if token is None or not reached[token] or (start and (last[start] < 0 or not self.arc(last[start], token))):
+        """The tokens of ``word``, a not empty string of base symbols.
+
+        From each place the longest token that the arcs allow is tried first. A prefix has one path only, so a place that
+        leads nowhere is never tried again.
+        """
+        n, table, longest = len(word), self.table, self.longest
+        path, places, dead = [], [], set()
+        before, place, limit = -1, 0, longest
+        while place < n:
+            for end in range(min(n, place + limit), place, -1):
+                token = (self.ending if end == n else self.inner).get(word[place:end])
+                if token is None or end in dead:
                     continue
-                last[end], begin[end] = token, start
+                if before >= 0:
+                    known = table.get((before, token))
+                    if not (self.arc(before, token) if known is None else known):
+                        continue
+                path.append(token)
+                places.append(place)
+                before, place, limit = token, end, longest
                 break
-        if last[n] < 0:
-            raise ValueError(f"{word!r} has a symbol that is not in the vocabulary")
-        out = []
-        while n:
-            out.append(last[n])
-            n = begin[n]
-        return out[::-1]
+            else:
+                if not path:
+                    raise ValueError(f"{word!r} has a symbol that is not in the vocabulary")
+                dead.add(place)
+                path.pop()
+                limit = place - places[-1] - 1
+                before, place = path[-1] if path else -1, places.pop()
+        return path
 
 
 class WordCodec:
@@ -115,26 +129,34 @@ class WordCodec:
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.labels = {i: t for t, i in (model["vocab"] | self.specials).items()}
         self.symbols = byte_symbols()
-        self.codes: dict[bytes, bytes] = _Kept(lambda chunk: b" ".join(b"%d" % i for i in self.encode(chunk.decode())))
+        # Kept in decimal: ids of a word of base symbols, ids of a piece of text between blanks, labels of such ids.
+        self.words: dict[str, bytes] = _Kept(lambda word: b" ".join(b"%d" % i for i in self.automaton.encode(word)))
+        self.codes: dict[bytes, bytes] = _Kept(lambda chunk: b" ".join(self.word_codes(chunk.decode())))
         self.texts: dict[bytes, bytes] = _Kept(lambda ids: self.decode(map(int, ids.split())).encode())
 
     def pieces(self, part: str) -> list[str]:
         """The words of ``part`` as strings of base symbols."""
         if self.PLAIN.fullmatch(part):
-            found = self.split.findall(part.lower())
+            low = part.lower()
+            if low.isalpha():
+                found = [low]
+            elif low[:-1].isalpha():  # a word and the mark behind it
+                found = [low[:-1], low[-1]]
+            else:
+                found = self.split.findall(low)
             return [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in found]
         normal = self.tokenizer.normalizer.normalize_str(part)
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def encode(self, text: str) -> list[int]:
-        ids = []
+    def word_codes(self, text: str) -> Iterator[bytes]:
         for part in self.special.split(text) if self.special and "<" in text else [text]:
             if part in self.specials:
-                ids.append(self.specials[part])
+                yield b"%d" % self.specials[part]
             elif part:
-                for word in self.pieces(part):
-                    ids += self.automaton.encode(word)
-        return ids
+                yield from map(self.words.__getitem__, self.pieces(part))
+
+    def encode(self, text: str) -> list[int]:
+        return [int(i) for code in self.word_codes(text) for i in code.split()]
 
     def decode(self, ids: Iterator[int]) -> str:
         """The labels of the ids; the file names no decoder, so they are joined by a space."""
@@ -191,6 +213,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``text`` of every row of ids; a null array gives the empty string."""
+    ship(ids.sparkSession)
     sent = send(ids.sparkSession, path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
