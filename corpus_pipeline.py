@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages, each of which writes what the next one reads.
 
 1. quality classifier: documents that the byte network rejects go;
-2. SimHash near-duplicates: of each component the document with the smallest id stays;
+2. SimHash near-duplicates: of each component (fingerprints within two bits, or sets of five-word shingles with a similarity of
+   0.8 or more) the document with the smallest id stays;
 3. substring dedup: repeated passages go from the texts; a text that changes is its words left, joined by one space;
 4. mixing: a row for each pass of the mix through a document, with the words that it takes;
 5. BPE: the number and digest of the ids of every row, and the digest of what they decode to.
@@ -37,9 +38,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with one document of each component: the one with its smallest id."""
-    found = store(simhash.near_duplicates(docs), "pipeline-components")
-    others = found.where("doc_id != component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    plain = own_names(docs, COLUMNS)
+    rows = store(plain.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = store(simhash.row_components(rows), "pipeline-components")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    others = found.join(least, "root").where("doc_id != component_id").select("doc_id")
+    return rows.join(others, "doc_id", "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
