@@ -121,6 +121,19 @@ def test_similar_texts_are_near_duplicates(spark, documents):
     assert got == set(root)
 
 
+def test_one_row_of_each_component_keeps_its_text(spark, edge):
+    """Repeated rows, null ids and an id that two texts share: one copy is left, and passage removal does not erase it."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    made = [(8, a), (8, a), (None, b), (None, b), (3, c), (5, c), (5, d), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert rows(once.select("doc_id", "text")) == Counter([(8, a), (None, b), (3, c), (5, d)])
+    left = corpus_pipeline.passages(spark, spark.createDataFrame(once.collect(), once.schema), "")
+    assert Counter(r["text"] for r in left.collect()) == Counter([a, b, c, d])
+    long = corpus_pipeline.near_duplicates(spark, edge, "").where("n_chars > 100000").collect()
+    assert [r["doc_id"] for r in long] == [7]
+
+
 # Passages
 
 
