@@ -64,3 +64,22 @@ def test_rewritten_history_is_found():
     output, spans, rewritten = chat.render(turns, last_thought_only)
     assert rewritten == [2]
     assert spans[1] is None and output[spans[0][2] : spans[0][3]] == "a" and output[spans[3][2] : spans[3][3]] == "more"
+
+
+def test_long_conversation_of_any_template_is_whole(spark):
+    """200 turns: a preamble once, rules for the last turn only, history rewritten beyond the size of a part."""
+    turns = [("assistant" if i % 2 else "user", f"turn {i}") for i in range(200)]
+    rows = [(5, i, *t) for i, t in enumerate(turns)]
+
+    def preamble(turns):
+        return "<s>" + "".join(f"[{role}]{text}\n" for role, text in turns)
+
+    def last_thought_only(turns):
+        return "".join(f"<{role}>{text if i == len(turns) - 1 or role == 'user' else ''}</>" for i, (role, text) in enumerate(turns))
+
+    for template in (preamble, last_thought_only):
+        (made,) = chat.format_conversations(frame(spark, rows), template, None).collect()
+        output, spans, rewritten = chat.render(turns, template)
+        assert made["part"] == 0 and made["formatted"] == output == template(turns) and made["rewritten"] == rewritten
+        assert [s and tuple(s)[1:] for s in made["spans"]] == spans
+    assert rewritten == list(range(2, 200, 2)) and spans[197] is None and output[spans[196][2] : spans[196][3]] == "turn 196"

@@ -6,9 +6,10 @@ place of the text in its span is found by rendering the turn with a letter for i
 what both outputs share in front and behind is the template's own. If an output does not start with the one before, the template rewrites
 history: the turn is reported in ``rewritten``, and spans that the final output no longer holds are null.
 
-Rows are dealt by conversation, sorted, and streamed. A conversation of more than ``PART_TURNS`` turns is
-rendered in parts of so many, each as a conversation of its own whose output follows the one before: rendering prefixes takes time with
-the square of the turns, and a conversation of any length then needs the memory of one part.
+Rows are dealt by conversation, sorted, and streamed. Rendering prefixes takes time with the square of the turns. A template
+that declares ``by_turn`` (its output is the outputs of the single turns, one after the other) may be given parts of a
+conversation: more than ``PART_TURNS`` turns are rendered in parts of so many, whose outputs follow each other as the whole would, in
+the memory of one part. Any other template is given every prefix of the whole conversation, whatever its length, and makes one part.
 
 Nulls and edge cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own; turns are ordered by
 ``turn`` (nulls first), then role and text, and repeated rows are turns each; extra columns are ignored; an empty table gives an empty result.
@@ -57,6 +58,8 @@ def turn_template(turns: Turns) -> str:
     return "".join(f"{TURN}{escape(role)}{TEXT}{escape(text)}{END}\n" for role, text in turns)
 
 
+turn_template.by_turn = True
+
 def read_turns(formatted: str) -> Turns:
     """The turns that ``turn_template`` was given."""
     return [(unescape(role), unescape(text)) for role, text in _READ.findall(formatted)]
@@ -114,15 +117,16 @@ def _sorted(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, Turns]]:
-    """Conversation, number of the part and turns, from sorted rows."""
+def _parts(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[object, int, Turns]]:
+    """Conversation, number of the part and turns (``most`` at a time, all if None), from sorted rows."""
     now, part, held = None, 0, None
     for batch in batches:
         for conv, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if held is not None and (conv != now or len(held) == PART_TURNS):
+            if held is not None and (conv != now or len(held) == most):
                 yield now, part, held
                 part, held = (part + 1 if conv == now else 0), None
-            now, held = conv, [*(held or []), (role, text)]
+            now, held = conv, held or []
+            held.append((role, text))
     if held:
         yield now, part, held
 
@@ -136,7 +140,7 @@ def format_conversations(
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, part, turns in _parts(batches):
+        for conv, part, turns in _parts(batches, most):
             output, spans, rewritten = render(turns, template, roles)
             named = [s and dict(zip(_SPAN.names, (role, *s), strict=True)) for (role, _), s in zip(turns, spans, strict=True)]
             values = [
@@ -147,6 +151,7 @@ def format_conversations(
 
     from pyspark.sql.pandas.types import to_arrow_type
 
+    most = PART_TURNS if getattr(template, "by_turn", False) else None
     kind = conversations.schema["conv_id"].dataType
     arrow = to_arrow_type(kind)
     return _sorted(conversations).mapInArrow(of, _PARTS.format(kind=kind.simpleString()))
