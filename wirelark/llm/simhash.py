@@ -202,14 +202,15 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array([similarity(x or b"", y or b"") >= SIMILAR for x, y in both], pa.bool_()))
 
     first, second = (texts.select(F.col("key").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
+    # b is the text that many meet: joined last, it is not copied through a shuffle.
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
 
 
 def row_components(rows: DataFrame) -> DataFrame:
     """``row``, ``doc_id`` and ``root`` for every row of ``rows``, a stored table with a unique ``row``.
 
     Rows share a root if they are connected by fingerprints (of three words) at most two bits apart or by similar texts. Pairs
-    of a band are first formed with its smallest and largest text only; what that connects need not be compared again, so
+    of a band are first formed with its smallest text only; what that connects need not be compared again, so
     a large group of near copies never meets as all its pairs. All other pairs of a band are then compared.
     """
     small_batches(rows.sparkSession)
@@ -228,7 +229,7 @@ def row_components(rows: DataFrame) -> DataFrame:
     marked = store(own.mapInArrow(of, schema), "marked")
     met = marked.select(F.explode("bands").alias("band"), "key", "print").distinct()
     shared = met.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    met = store(met.join(shared, "band"), "met")
+    met = store(met.join(shared.drop("high"), "band"), "met")
     first = met.groupBy("key").agg(F.first("print").alias("print"))
     of_row = marked.join(first.select("key"), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
     texts = store(own.join(of_row, "row").select("key", "text"), "met-texts")
@@ -239,8 +240,7 @@ def row_components(rows: DataFrame) -> DataFrame:
         a, b = (prints.select(F.col("key").alias(n), F.col("print").alias(f"print_{n}")) for n in "ab")
         return found.join(a, "a").join(b, "b").select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
 
-    ends = met.select("key", F.explode(F.array("low", "high")).alias("end")).where("key != end")
-    tested = store(ends.select(F.greatest("key", "end").alias("a"), F.least("key", "end").alias("b")).distinct(), "pairs")
+    tested = store(met.where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     near = store(ball_links(marked.select("print").distinct()).unionByName(links(tested)), "near")
     roots = store(connected(near), "roots").withColumnRenamed("node", "print")
     apart = met.join(roots, "print", "left").select("band", "key", F.coalesce("root", "print").alias("root"))
