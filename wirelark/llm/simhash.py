@@ -9,30 +9,24 @@ Nulls and edge cases: a null, empty or blank text has no words and the fingerpri
 other; a text of fewer words than a shingle is one shingle; repeated rows share a fingerprint; a null ``doc_id``
 is never the smallest unless its component has no other. An empty table gives an empty result.
 
-``row_components`` also links texts whose sets of ``SIMILAR_WORDS``-word shingles have a Jaccard similarity of ``SIMILAR``
-or more. Such texts are some ten bits apart, too far for balls, so ``BANDS`` bands of ``BAND_ROWS`` min-hashes each name the
-candidates (one pair in 300,000 at 0.8 shares no band, fewer above) and the shingles themselves decide.
+``first_rows`` leaves one row of each component, whatever ids rows share or lack.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wirelark.llm.common import byte_column, small_batches, word_blocks
 from wirelark.session import store
 
 HASH_SEED = 42
-SIMILAR_WORDS, SIMILAR = 5, 0.8
-BANDS, BAND_ROWS = 24, 4
-_XOR, _ODD = np.random.default_rng(HASH_SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], dtype=np.uint64)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -63,17 +57,17 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int(np.packbits(2 * votes > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id`` and ``print``, the fingerprint of ``text``, for every row."""
+def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``print``, the fingerprint of ``text``, for every row."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t, size) for t in byte_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(prints, pa.int64())], names=[*keep, "print"])
 
-    schema = StructType([docs.select("doc_id").schema[0], StructField("print", LongType())])
-    return docs.select("doc_id", "text").mapInArrow(of, schema)
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("print", LongType())])
+    return docs.select(*keep, "text").mapInArrow(of, schema)
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
@@ -133,15 +127,18 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def with_roots(classes: DataFrame) -> DataFrame:
+    """``classes``, a stored table with distinct ``print``, with the ``root`` of the component of each."""
+    roots = connected(ball_links(classes)).withColumnRenamed("node", "print")
+    return classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest ``doc_id`` that a document
     is connected to by fingerprints at most two bits apart. One row per row of ``docs``."""
     prints = store(fingerprints(docs, size), "prints")
     classes = store(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = connected(ball_links(classes))
-    rooted = classes.join(roots, classes["print"] == roots["node"], "left").select(
-        "print", "first_id", F.coalesce("root", "print").alias("root")
-    )
+    rooted = with_roots(classes)
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = store(rooted.join(lowest, "root").select("print", "component_id"), "components")
     return prints.join(known, "print").select(
@@ -149,105 +146,12 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     )
 
 
-def shingle_blocks(text: bytes | None, size: int) -> Iterator[np.ndarray]:
-    """The hashes of the shingles of ``text``, in blocks."""
-    carry, seen = [], False
-    for words in word_blocks((text or b"").translate(_LOWER)):
-        words = carry + words
-        if len(words) >= size:
-            yield shingle_hashes(words, size)
-            seen = True
-        carry = words[-(size - 1) :] if size > 1 else []
-    if not seen and carry:
-        yield shingle_hashes(carry, len(carry))
-
-
-def text_key(text: bytes | None) -> int:
-    """A hash of the words of ``text`` as a signed integer."""
-    digest = xxhash.xxh64(seed=1)
-    for words in word_blocks((text or b"").translate(_LOWER)):
-        digest.update(b" ".join(words) + b" ")
-    return int(np.uint64(digest.intdigest()).view(np.int64))
-
-
-def band_keys(text: bytes | None) -> list[int]:
-    """A key for each band of min-hashes of ``text``."""
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype=np.uint64)
-    for hashes in shingle_blocks(text, SIMILAR_WORDS):
-        for i in range(0, len(hashes), 1024):
-            np.minimum(least, ((hashes[i : i + 1024] ^ _XOR) * _ODD).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
-
+def first_rows(rows: DataFrame, size: int = 3) -> DataFrame:
+    """The ``row`` of one row of each component: the one with the smallest ``doc_id`` (nulls last), of those the least ``row``.
 
-@lru_cache(32)  # many texts meet the same one
-def _shingle_set(text: bytes) -> np.ndarray:
-    blocks = list(shingle_blocks(text, SIMILAR_WORDS))
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint64)
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the shingle sets of two texts; 1 if neither has words."""
-    x, y = _shingle_set(a), _shingle_set(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``a`` and ``b`` of ``pairs`` whose ``text`` in ``texts`` (by ``key``) are similar enough."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(byte_column(batch, "text_a"), byte_column(batch, "text_b"), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([similarity(x or b"", y or b"") >= SIMILAR for x, y in both], pa.bool_()))
-
-    first, second = (texts.select(F.col("key").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    # b is the text that many meet: joined last, it is not copied through a shuffle.
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
-
-
-def row_components(rows: DataFrame) -> DataFrame:
-    """``row``, ``doc_id`` and ``root`` for every row of ``rows``, a stored table with a unique ``row``.
-
-    Rows share a root if they are connected by fingerprints (of three words) at most two bits apart or by similar texts. Pairs
-    of a band are first formed with its smallest text only; what that connects need not be compared again, so
-    a large group of near copies never meets as all its pairs. All other pairs of a band are then compared.
+    ``rows`` has a unique ``row``. Copies combine on the map side, by fingerprint and then by component, so that no task sees a group of them.
     """
-    small_batches(rows.sparkSession)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_column(batch, "text")
-            made = ([fingerprint(t) for t in texts], [text_key(t) for t in texts])
-            bands = pa.array([band_keys(t) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(m, pa.int64()) for m in made), bands], names=["row", "doc_id", "print", "key", "bands"]
-            )
-
-    own = rows.select("row", "doc_id", "text")
-    schema = StructType([*own.schema.fields[:2], StructField("print", LongType()), StructField("key", LongType()), StructField("bands", ArrayType(LongType()))])
-    marked = store(own.mapInArrow(of, schema), "marked")
-    met = marked.select(F.explode("bands").alias("band"), "key", "print").distinct()
-    shared = met.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    met = store(met.join(shared.drop("high"), "band"), "met")
-    first = met.groupBy("key").agg(F.first("print").alias("print"))
-    of_row = marked.join(first.select("key"), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    texts = store(own.join(of_row, "row").select("key", "text"), "met-texts")
-    prints = store(first, "met-prints")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        found = _similar(pairs, texts)
-        a, b = (prints.select(F.col("key").alias(n), F.col("print").alias(f"print_{n}")) for n in "ab")
-        return found.join(a, "a").join(b, "b").select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
-
-    tested = store(met.where("key != low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    near = store(ball_links(marked.select("print").distinct()).unionByName(links(tested)), "near")
-    roots = store(connected(near), "roots").withColumnRenamed("node", "print")
-    apart = met.join(roots, "print", "left").select("band", "key", F.coalesce("root", "print").alias("root"))
-    several = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    apart = store(apart.join(several, "band", "left_semi"), "apart")
-    other = apart.select("band", F.col("key").alias("b"), F.col("root").alias("other"))
-    left = apart.withColumnRenamed("key", "a").join(other, "band").where("a > b and root != other").select("a", "b").distinct()
-    left = store(left.join(tested, ["a", "b"], "left_anti"), "pairs")
-    roots = connected(near.unionByName(links(left))).withColumnRenamed("node", "print")
-    return marked.join(roots, "print", "left").select("row", "doc_id", F.coalesce("root", "print").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    prints = fingerprints(rows, size, ("row", "doc_id"))
+    classes = store(prints.groupBy("print").agg(F.min(order).alias("first")), "classes")
+    return with_roots(classes).groupBy("root").agg(F.min("first").alias("first")).select("first.row")

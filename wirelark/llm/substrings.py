@@ -347,17 +347,19 @@ def _pairs_among(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np
 ORACLE = """
 WITH docs AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-windows AS (
-  SELECT row, unnest(range(1, len(ws) - 33)) AS i, unnest([array_to_string(ws[j:j + 34], ' ') FOR j IN range(1, len(ws) - 33)]) AS w
-  FROM docs WHERE len(ws) >= 35),
-again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
-covered AS (SELECT row, list(DISTINCT i + k) AS gone FROM again CROSS JOIN (SELECT unnest(range(35)) AS k) GROUP BY row),
-words AS (SELECT d.row, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM docs d JOIN covered USING (row)),
-gone AS (SELECT row, unnest(gone) AS i FROM covered),
+w1 AS (SELECT row, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM docs),
+w2 AS (SELECT *, word || ' ' || lead(word) OVER (PARTITION BY row ORDER BY i) AS two FROM w1),
+w4 AS (SELECT *, two || ' ' || lead(two, 2) OVER (PARTITION BY row ORDER BY i) AS four FROM w2),
+w8 AS (SELECT *, four || ' ' || lead(four, 4) OVER (PARTITION BY row ORDER BY i) AS eight FROM w4),
+w16 AS (SELECT *, eight || ' ' || lead(eight, 8) OVER (PARTITION BY row ORDER BY i) AS sixteen FROM w8),
+w35 AS (
+  SELECT row, i, word, sixteen || ' ' || lead(sixteen, 16) OVER o || ' ' || lead(two, 32) OVER o || ' ' || lead(word, 34) OVER o AS passage
+  FROM w16 WINDOW o AS (PARTITION BY row ORDER BY i)),
+counted AS (SELECT row, i, word, passage IS NOT NULL AND count(*) OVER (PARTITION BY passage) > 1 AS again FROM w35),
+covered AS (
+  SELECT row, i, word, max(CAST(again AS INTEGER)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
 kept AS (
-  SELECT w.row, coalesce(string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL), '') AS text
-  FROM words w LEFT JOIN gone g ON w.row = g.row AND w.i = g.i GROUP BY w.row)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(k.text, array_to_string(ws, ' '))) AS kept_sha256
-FROM docs d LEFT JOIN covered c ON d.row = c.row LEFT JOIN kept k ON d.row = k.row
+  SELECT row, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS text FROM covered GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.row = k.row
 """
