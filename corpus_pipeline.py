@@ -1,16 +1,18 @@
 """The training-data pipeline: five stages, each of which writes what the next one reads.
 
 1. quality classifier: documents that the byte network rejects go;
-2. SimHash near-duplicates: of each component (fingerprints within two bits, or sets of five-word shingles with a similarity of
-   0.8 or more) the row with the smallest id (nulls last) stays;
+2. SimHash near-duplicates: of each component (fingerprints of three-word shingles at most two bits apart, in steps) the row
+   with the smallest id (nulls last) stays;
 3. substring dedup: repeated passages go from the texts; a text that changes is its words left, joined by one space;
 4. mixing: a row for each pass of the mix through a document, with the words that it takes;
 5. BPE: the number and digest of the ids of every row, and the digest of what they decode to.
 
 All but the last return the columns of ``documents``. Rows whose text is null or empty pass through: the first stage
 judges them by score like any other, later ones find nothing in them, and the mix takes no word of them, so they end there.
-The second stage judges rows, whatever ids they share or lack: exactly one of each component stays. Columns that ``documents`` does not have are
-carried along under their names.
+The second stage judges rows, whatever ids they share or lack: exactly one of each component stays; of rows that tie, the first
+in the order of reading. Equal texts always share a component. Very long texts are read whole by every stage, in
+blocks where a stage needs more than the words. Without documents every stage returns an empty table; without labels the
+first one keeps everything. Columns that ``documents`` does not have are carried along under their names.
 """
 
 from __future__ import annotations
@@ -40,10 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """``docs`` with one row of each component: the one with its smallest id (nulls last), of those the first row."""
     plain = own_names(docs, COLUMNS)
     rows = store(plain.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = store(simhash.row_components(rows), "pipeline-components")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"]
-    kept = found.groupBy("root").agg(first.alias("row")).select("row")
-    return rows.join(kept, "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
+    return rows.join(simhash.first_rows(rows), "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
