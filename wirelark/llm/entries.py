@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelark.llm import bpe, chat, codebooks, id_files, mixing, quality_model, quality_rules, runs, simhash, substrings, topk, toxicity
+from wirelark.llm import bpe, chat, codebooks, html_text, id_files, mixing, quality_model, quality_rules, runs, simhash, substrings, topk, toxicity
 from wirelark.llm.common import read_table
 from wirelark.llm.vocabulary import BYTE_TOKENIZER, WORD_TOKENIZER
 
@@ -65,10 +65,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     made = [
         op1_mixing, op2_bpe, op3_chat_format, op4_top_k, op5_quality_rules, op6_simhash, op7_substring_dedup,
         op8_quality_model, op9_id_files, op10_toxicity, op11_vector_codes, op12_periodic_runs,
+        op13_page_text,
     ]
     return {f.__name__: f for f in made}
 
@@ -81,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.ORACLE,
         "op7_substring_dedup": substrings.ORACLE,
         "op11_vector_codes": codebooks.ORACLE,
+        "op13_page_text": html_text.ORACLE,
     }
