@@ -229,6 +229,11 @@ def _in_trackers(packets: DataFrame, trackers: DataFrame, until: Column, width:
     return met.where("t >= start and t < _until").drop("_cell", "_until")
 
 
+def _before_stop(trackers: DataFrame, until: Column) -> Column:
+    """``until``, or the tracker's ``stop`` if it is known and earlier."""
+    return F.least(until, F.col("stop")) if "stop" in trackers.columns else until
+
+
 def _elapsed_within(since: Column, seconds: int) -> Column:
     """Whole seconds elapsed are at most ``seconds``: less than ``seconds + 1`` in exact time."""
     return F.col("t") - since < (seconds + 1) * SECOND
@@ -274,7 +279,7 @@ def flood_alerts_in(
             F.lit(False).alias("is_packet"),
         )
         rows = rows.unionByName(ahead, allowMissingColumns=True)
-    rows = _in_trackers(rows, trackers, F.col("anchor") + min(widest, keep), keep)
+    rows = _in_trackers(rows, trackers, _before_stop(trackers, F.col("anchor") + min(widest, keep)), keep)
     counted = running_totals(rows, ["source_ip", "start"], ["ts", "seq"], ["syns", "packets"])
     # The anchor moves to the first SYN when that SYN is counted.
     since = F.when(F.col("syns") > 0, F.col("anchor")).otherwise(F.col("start"))
@@ -324,12 +329,14 @@ def scan_alerts_in(
     seen = carrying.select("source_ip", "t", "seq", "destination_port")
     if carried is not None:
         seen = seen.unionByName(carried.withColumn("seq", F.lit(BEFORE_ALL)))
-    rows = _in_trackers(seen, trackers, F.col("t") + hop, hop)
-    firsts = rows.groupBy("source_ip", "start", "destination_port").agg(F.min(F.struct("t", "seq")).alias("first"))
+    rows = _in_trackers(seen, trackers, _before_stop(trackers, F.col("t") + hop), hop)
+    stop = ["stop"] if "stop" in trackers.columns else []
+    firsts = rows.groupBy("source_ip", "start", *stop, "destination_port").agg(F.min(F.struct("t", "seq")).alias("first"))
     in_tracker = Window.partitionBy("source_ip", "start").orderBy("first", "destination_port")
     steps = cut(firsts.withColumn("k", F.row_number().over(in_tracker)).where(F.col("k") >= threshold))
-    reached = steps.where(F.col("k") == threshold).select("source_ip", F.col("start").alias("t"), "first")
-    scanning = _in_trackers(carrying, reached, F.col("t") + hop, hop).where(F.struct("t", "seq") >= F.col("first"))
+    reached = steps.where(F.col("k") == threshold).select("source_ip", F.col("start").alias("t"), "first", *stop)
+    reaching = _in_trackers(carrying, reached, _before_stop(reached, F.col("t") + hop), hop)
+    scanning = reaching.where(F.struct("t", "seq") >= F.col("first")).drop("stop")
     # New ports add to the count just before the packet that brought them.
     events = scanning.drop("first").withColumns({"ports": F.lit(0).cast("long"), "position": F.lit(threshold + MANY_PORTS)})
     news = steps.select(

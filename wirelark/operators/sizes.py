@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from wirelark.config import DetectionConfig
 from wirelark.operators.alerts import alert
-from wirelark.operators.ordered import first_rows, rolling_totals
+from wirelark.operators.ordered import rolling_totals
 from wirelark.operators.traffic import with_moments
 from wirelark.schema import ALERT_SUBJECT, ANOMALOUS_TRAFFIC, MEDIUM
 
+# The first microsecond of the year 1: before any packet.
+BEFORE_ALL_TIMES = -62_135_596_800_000_000
+
 
 def size_rows(packets: DataFrame) -> DataFrame:
     return packets.where(F.col("source_ip").isNotNull()).select(*ALERT_SUBJECT, "length")
 
 
-def carry_sizes(lengths: DataFrame, config: DetectionConfig) -> DataFrame:
-    """The last rows per source that later packets' statistics still need."""
-    newest = [F.col("ts").desc(), F.col("seq").desc()]
-    last = first_rows(lengths, {"_source": F.col("source_ip")}, newest, config.moving_average_window - 1)
-    return last.drop("_source", "_n")
+def carried_sizes(before: DataFrame) -> DataFrame:
+    """The rows that stand for ``lengths_before``, the lengths of the source that came before the packets, oldest first."""
+    listed = before.select("source_ip", F.posexplode("lengths_before").alias("seq", "length"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("destination_ip", "string"), ("source_port", "int"), ("destination_port", "int"))]
+    return listed.select("source_ip", F.col("seq").cast("long"), F.timestamp_micros(F.lit(BEFORE_ALL_TIMES)).alias("ts"), "length", *nothing)
 
 
 def rolling_size_stats(
@@ -29,7 +32,7 @@ def rolling_size_stats(
     """Per packet: mean, population variance and standard deviation of the last packet lengths of its source,
     its own included, and its z-score (0 where the deviation is 0).
 
-    ``carried`` are rows from before the packets (see ``carry_sizes``); they count but are not returned.
+    ``carried`` are rows from before the packets (see ``carried_sizes``); they count but are not returned.
     """
     lengths = size_rows(packets)
     if carried is not None:

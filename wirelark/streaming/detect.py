@@ -1,16 +1,12 @@
 """Detection and the alert chain over a stream of packets.
 
-Every micro-batch runs the batch operators on its packets together with the state that earlier ones left,
-so a stream that arrives in time order gives the same alerts as one batch over the whole. The state is
-kept in versioned tables instead of per-key state: a source that floods makes up most of a micro-batch, and
-a per-key state operator would handle it in one task.
+Each micro-batch runs the batch operators on its packets together with what its sources' state tells (see
+``wirelark.streaming.keyed``), so a stream that arrives in time order gives the same alerts as one batch over the whole. The
+state lives in Spark's state store and is read and written only for sources that have sent something. What the
+alert chain has to remember, how many alerts of a second were let through and which signatures were seen, is in ledgers.
 
-Packets that arrive after later ones of the same source were handled in an earlier micro-batch are counted
-when they arrive, as the start of an older tracker; the sizes take them as they come.
-
-State is kept back to ``lateness`` seconds before the median time of the micro-batch, so a source with a wrong clock does not
-make it forget the others. What arrives within that time meets the same limits, duplicates and trackers as if it had
-come in order; what is older is treated as the first of its time.
+Packets that arrive after later ones of the same source form older trackers of their own; their sizes are judged
+after those that arrived before. What one source's clock says concerns that source only.
 """
 
 from __future__ import annotations
@@ -20,22 +16,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from wirelark.config import AlertConfig, DetectionConfig
 from wirelark.operators import anchored, sizes
 from wirelark.operators.alerts import SIGNATURE, dedup_bucket, dedupe, limit_rate, with_severity
 from wirelark.operators.rules import suspicious_payload
 from wirelark.operators.scoring import Model, ml_anomaly_alerts
-from wirelark.streaming.state import StateTable, keep_for_batch
-
+from wirelark.schema import PACKETS
+from wirelark.streaming.keyed import REPLY, announce, source_states
+from wirelark.streaming.ledger import Ledger, hour
 
-def _clock(rows: DataFrame) -> DataFrame:
-    """One row: the median time of ``rows`` in microseconds, null without rows."""
-    return rows.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("now"))
+# What Spark's keyed state needs: a store that holds several state variables, and no micro-batches without data, which
+# its processing-time time to live would ask for without end.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 class StreamDetector:
-    """Turns micro-batches of packets into processed alerts and keeps the state in ``folder``."""
+    """Turns a stream of packets into processed alerts; tables of the alert chain are in ``folder``."""
 
     def __init__(
         self,
@@ -47,60 +48,37 @@ class StreamDetector:
         lateness: int = 86400,
     ) -> None:
         """``detection`` and ``alerting`` may be functions; they are asked anew for every micro-batch, so settings
-        can change while the stream runs (see ``config_from_table``)."""
+        can change while the stream runs (see ``config_from_table``). A family that is switched off leaves its state as it is.
+        A source from which nothing has come for ``lateness`` seconds (of the clock of the machines) is forgotten."""
         self._detection = detection if callable(detection) else lambda: detection
         self._alerting = alerting if callable(alerting) else lambda: alerting
-        self._model, self._folder, self._lateness = model, folder, lateness
-
-        def table(name: str, schema: str) -> StateTable:
-            return StateTable(spark, f"{folder}/{name}", schema)
-
-        self._connections = table(
-            "connections", "source_ip string, t long, anchor long, syn_count long, connection_count long"
-        )
-        self._ports = table("ports", "source_ip string, t long, destination_port int")
-        self._sizes = table(
-            "sizes",
-            "seq long, ts timestamp, source_ip string, destination_ip string, source_port int, "
-            "destination_port int, length long",
-        )
-        self._used = table("used", "second timestamp, used long")
-        self._seen = table(
-            "seen",
-            "type string, source_ip string, destination_ip string, source_port int, destination_port int, "
-            "bucket timestamp",
+        self._spark, self._model, self._folder, self._lateness = spark, model, folder, lateness
+        self._used = Ledger(spark, f"{folder}/used", "second timestamp, used long")
+        self._seen = Ledger(
+            spark, f"{folder}/seen",
+            "type string, source_ip string, destination_ip string, source_port int, destination_port int, bucket timestamp",
         )
 
     def _keep(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        return keep_for_batch(df, f"{self._folder}/{name}", batch_id)
-
-    def detect(self, packets: DataFrame, batch_id: int) -> DataFrame:
-        """Alerts of one micro-batch. ``packets`` must be a stored table: it is scanned several times."""
-        config = self._detection()
-        # A tracker ends when a later packet of its own source finds it expired; this only bounds what is kept.
-        now = _clock(packets).select((F.col("now") - self._lateness * 1_000_000).alias("now"))
+        """``df`` written and read back, for use within one micro-batch. Two places take turns, so that a stream that runs for
+        long does not fill the folder."""
+        path = f"{self._folder}/{name}/slot={batch_id % 2}"
+        df.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def detect(self, packets: DataFrame, states: DataFrame, config: DetectionConfig) -> DataFrame:
+        """Alerts of one micro-batch. ``packets`` and ``states`` (see ``keyed.REPLY``) are stored tables: they are scanned several times."""
         found = []
         if config.rule_based_enabled:
-            tcp, carried = anchored.tcp_times(packets), self._connections.before(batch_id)
-            trackers = self._keep(anchored.connection_trackers(tcp, config, carried=carried), "tcp_trackers", batch_id)
-            found.append(anchored.flood_alerts_in(tcp, trackers, config, carried))
-            self._connections.write(batch_id, anchored.carry_connections(tcp, trackers, now, config, carried))
-
-            carrying, ports = anchored.port_times(packets), self._ports.before(batch_id)
-            trackers = self._keep(anchored.port_trackers(carrying, config, carried=ports), "port_trackers", batch_id)
-            found.append(anchored.scan_alerts_in(carrying, trackers, config, ports))
-            self._ports.write(batch_id, anchored.carry_ports(carrying, trackers, now, config, ports))
+            trackers = states.select("source_ip", F.inline("connections"))
+            before = states.where(F.col("connection_before").isNotNull()).select("source_ip", "connection_before.*")
+            found.append(anchored.flood_alerts_in(anchored.tcp_times(packets), trackers, config, before))
+            trackers = states.select("source_ip", F.inline("scans"))
+            before = states.select("source_ip", F.col("scan_before").alias("t"), F.explode("ports_before").alias("destination_port"))
+            found.append(anchored.scan_alerts_in(anchored.port_times(packets), trackers, config, before))
             found.append(suspicious_payload(packets, config))
-        else:
-            self._connections.carry(batch_id)
-            self._ports.carry(batch_id)
         if config.statistical_enabled:
-            before = self._sizes.before(batch_id)
-            found.append(sizes.size_zscore_alerts(packets, config, before))
-            both = sizes.size_rows(packets).unionByName(before)
-            self._sizes.write(batch_id, sizes.carry_sizes(both, config))
-        else:
-            self._sizes.carry(batch_id)
+            found.append(sizes.size_zscore_alerts(packets, config, sizes.carried_sizes(states)))
         if config.enable_ml_inference and self._model is not None:
             found.append(ml_anomaly_alerts(packets, self._model, config))
         alerts = found[0] if found else suspicious_payload(packets, config).where(F.lit(False))
@@ -111,21 +89,20 @@ class StreamDetector:
     def process(self, alerts: DataFrame, batch_id: int) -> DataFrame:
         """The alert chain over one micro-batch, with limits and duplicates counted across micro-batches."""
         config = self._alerting()
-        used, seen = self._used.before(batch_id), self._seen.before(batch_id)
-        forget = _clock(alerts).select(F.timestamp_micros(F.col("now") - self._lateness * 1_000_000)).scalar()
+        alerts = self._keep(alerts, "alerts", batch_id)
+        in_hour = alerts.select(hour(F.col("ts")).alias("hour")).distinct()
+        used = self._used.before(batch_id, in_hour).groupBy("second").agg(F.sum("used").alias("used"))
         kept = self._keep(limit_rate(alerts, config, used), "kept", batch_id)
-        per_second = kept.groupBy(F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("used"))
-        total = used.unionByName(per_second).groupBy("second").agg(F.sum("used").alias("used"))
-        self._used.write(batch_id, total.where(F.coalesce(F.col("second") >= forget, F.lit(True))))
+        second = F.date_trunc("second", "ts").alias("second")
+        per_second = kept.groupBy(second).agg(F.count("*").alias("used")).withColumn("hour", hour(F.col("second")))
+        self._used.add(batch_id, per_second)
         if not config.enable_deduplication:
-            self._seen.carry(batch_id)
             return with_severity(kept)
-        bucket = dedup_bucket(config).start
-        first = dedupe(kept, config).withColumn("bucket", bucket)
-        fresh = self._keep(first.join(seen, [*SIGNATURE, "bucket"], "left_anti"), "fresh", batch_id)
-        signatures = seen.unionByName(fresh.select(*SIGNATURE, "bucket"))
-        end = F.col("bucket") + F.expr(f"interval {config.dedup_window} seconds")
-        self._seen.write(batch_id, signatures.where(F.coalesce(end >= forget, F.lit(True))))
+        first = dedupe(kept, config).withColumn("bucket", dedup_bucket(config).start).withColumn("hour", hour(F.col("bucket")))
+        seen = self._seen.before(batch_id, first.select("hour").distinct())
+        nullsafe = [first[c].eqNullSafe(seen[c]) for c in SIGNATURE]
+        fresh = self._keep(first.join(seen, [*nullsafe, first["bucket"] == seen["bucket"]], "left_anti"), "fresh", batch_id)
+        self._seen.add(batch_id, fresh.select(*SIGNATURE, "bucket", "hour"))
         return with_severity(fresh.select(*alerts.columns))
 
     def run(
@@ -136,12 +113,33 @@ class StreamDetector:
         to_packets: Callable[[DataFrame], DataFrame] = lambda df: df,
         **trigger,
     ) -> StreamingQuery:
-        """Start the stream: ``to_packets`` turns a micro-batch of ``source`` (say, frames) into packets,
-        ``sink`` gets the processed alerts and the batch number."""
+        """Start the stream: ``to_packets`` turns ``source`` (say, frames) into packets row by row, ``sink`` gets the
+        processed alerts and the batch number of every micro-batch."""
+        columns = [f.name for f in PACKETS]
+        packets = to_packets(source).select(*columns)
+        states = source_states(packets, self._lateness)
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in PACKETS]
+        reply = F.struct(*states.columns).alias("state")
+        both = packets.withColumn("state", F.lit(None).cast(StructType.fromDDL(REPLY))).unionByName(states.select(*nothing, reply))
 
         def each(batch: DataFrame, batch_id: int) -> None:
-            packets = self._keep(to_packets(batch), "packets", batch_id)
-            sink(self.process(self.detect(packets, batch_id), batch_id), batch_id)
+            config = self._detection()
+            announce(self._spark, config)
+            rows = self._keep(batch, "rows", batch_id)
+            packets, states = rows.where("state is null").drop("state"), rows.where("state is not null").select("state.*")
+            sink(self.process(self.detect(packets, states, config), batch_id), batch_id)
+
+        writer = both.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        former = {name: self._spark.conf.get(name, None) for name in STREAM_SETTINGS}
+        try:
+            for name, value in STREAM_SETTINGS.items():
+                self._spark.conf.set(name, value)
+            # The query keeps the settings that it was started with.
+            return writer.trigger(**(trigger or {"availableNow": True})).start()
+        finally:
+            for name, value in former.items():
+                if value is None:
+                    self._spark.conf.unset(name)
+                else:
+                    self._spark.conf.set(name, value)
 
-        writer = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
