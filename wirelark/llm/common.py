@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 BROADCAST_ROWS = 20_000
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
