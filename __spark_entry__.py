@@ -19,22 +19,24 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql.streaming import StreamingQuery  # noqa: E402
 
 import oracles  # noqa: E402
-from wirelark.config import AlertConfig, CaptureConfig, DetectionConfig  # noqa: E402
+from wirelark.config import AlertConfig, CaptureConfig, DetectionConfig, versions_from_table  # noqa: E402
 from wirelark.operators import alerts as al  # noqa: E402
-from wirelark.operators import anchored, audit, decode, rules, scoring, sizes, traffic  # noqa: E402
+from wirelark.operators import anchored, audit, decode, rules, scoring, sizes, sketches, traffic  # noqa: E402
 from wirelark.plans.detect import detect_all, detection_statistics  # noqa: E402
 from wirelark.plans.pipeline import Pipeline, end_to_end, packets_of  # noqa: E402
 from wirelark.session import shared_folder, store  # noqa: E402
 from wirelark.sources import derived  # noqa: E402
 from wirelark.sources.frames import capture_filter, read_frames, snap_truncate, stream_frames  # noqa: E402
 from wirelark.sources.sinks import fan_out, write_alert_json  # noqa: E402
+from wirelark.streaming.chain import AlertChain  # noqa: E402
 from wirelark.streaming.detect import StreamDetector  # noqa: E402
+from wirelark.streaming.scans import StreamedScans  # noqa: E402
 
-try:  # the training-data operators are a part that can be taken away
+try:  # the training-data operators are a part that can be taken away, and so can the packages that they need
     import corpus_pipeline
     from wirelark.llm import entries as llm
 except ModuleNotFoundError as missing:
-    if missing.name not in ("wirelark.llm", "corpus_pipeline"):
+    if (missing.name or "").startswith("wirelark") and missing.name != "wirelark.llm":
         raise
     corpus_pipeline = llm = None
 
@@ -236,6 +238,26 @@ def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(traffic.judge_rates(_packets(spark, sf_dir), table))
 
 
+# Settings that change while packets come: seconds after the first packet, name, value.
+CHANGES = [
+    (60, "syn_flood_threshold", 10.0), (60, "port_scan_threshold", 40.0), (60, "connection_rate_threshold", 60.0), (100, "rule_based_enabled", 0.0),
+    (130, "rule_based_enabled", 1.0), (130, "connection_rate_threshold", 30.0), (130, "z_score_threshold", 2.5), (130, "payload_size_threshold", 4000.0),
+    (170, "enable_ml_inference", 0.0), (180, "statistical_enabled", 0.0), (200, "statistical_enabled", 1.0), (200, "z_score_min_samples", 200.0),
+    (210, "syn_flood_threshold", 25.0), (210, "enable_ml_inference", 1.0), (210, "anomaly_confidence_threshold", 0.9),
+]
+
+
+def _versions(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(CHANGES, "after int, name string, value double")
+    return rows.select(F.timestamp_micros(F.col("after") * 1_000_000 + F.lit(derived.EPOCH_US)).alias("valid_from"), "name", "value")
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = versions_from_table(_versions(spark), DETECTION)
+    found = detect_all(_packets(spark, sf_dir), config, MODEL)
+    return _plain(found.withColumn("confidence_score", F.round("confidence_score", 9)))
+
+
 def _capture_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.capture_statistics(_frames(spark, sf_dir), derived.capture_counters(spark, sf_dir))
 
@@ -295,8 +317,45 @@ def _stream_windows(operator: Callable[..., DataFrame], name: str) -> Query:
     )
 
 
+def _batches(
+    spark: SparkSession, rows: DataFrame, name: str, start: Callable[[DataFrame, Callable[[DataFrame, int], None], str], StreamingQuery],
+) -> DataFrame:
+    """What ``start(stream, sink, checkpoint)`` has given to its sink when all parts of ``rows`` have arrived."""
+    out, checkpoint = _folder(spark, f"{name}-out"), _folder(spark, f"{name}-checkpoint")
+
+    def sink(found: DataFrame, batch_id: int) -> None:
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _replay(rows, name, lambda inbox: start(stream_frames(spark, inbox, rows.schema), sink, checkpoint))
+    return spark.read.parquet(out).drop("batch")
+
+
 def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, _alerts(spark, sf_dir), "dedup", lambda df: al.dedupe(df, ALERTING)).select(*al.SIGNATURE)
+    """Duplicates across micro-batches, without a limit: all columns of the alerts."""
+    chain = AlertChain(spark, _folder(spark, "dedup-tables"), AlertConfig(max_alerts_per_second=1 << 31))
+    return _plain(_batches(spark, _alerts(spark, sf_dir), "dedup", chain.run))
+
+
+def _stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limit, duplicates and severity across micro-batches."""
+    chain = AlertChain(spark, _folder(spark, "chain-tables"), ALERTING)
+    return _plain(_batches(spark, _alerts(spark, sf_dir), "chain", chain.run))
+
+
+def _stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = StreamedScans(spark, _folder(spark, "scan-tables"), WINDOWED)
+    found = _batches(spark, _packets(spark, sf_dir), "scans", scans.run)
+    return _plain(found.groupBy("window_start", "source_ip").agg(F.max("ports").alias("ports")))
+
+
+def _stream_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection on a stream under settings that change with the time of the packets."""
+    no_chain = AlertConfig(max_alerts_per_second=1 << 31, enable_deduplication=False)
+    detector = StreamDetector(
+        spark, _folder(spark, "versions-state"), lambda: versions_from_table(_versions(spark), DETECTION), no_chain, MODEL
+    )
+    found = _batches(spark, _packets(spark, sf_dir), "versions", detector.run)
+    return _plain(found.withColumn("confidence_score", F.round("confidence_score", 9)))
 
 
 def _stream_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,6 +404,7 @@ def queries() -> dict[str, Query]:
         "capture_statistics": _capture_statistics,
         "syn_rate_windows": _over(_packets, traffic.syn_rate_windows, WINDOWED),
         "port_scan_windows": _over(_packets, traffic.port_scan_windows, WINDOWED),
+        "sketched_port_scans": _over(_packets, sketches.sketched_port_scans, WINDOWED),
         "connection_rate_windows": _over(_packets, traffic.connection_rate_windows, WINDOWED),
         "packet_rate_series": _over(_packets, traffic.packet_rate_series),
         "detection_statistics": _detection_statistics,
@@ -374,13 +434,17 @@ def queries() -> dict[str, Query]:
         "stage_pipeline": _over(_packets, _stages),
         "stage_statistics": _over(_packets, _stage_statistics),
         "threshold_config": _thresholds,
+        "versioned_settings": _versioned,
         "end_to_end": _end_to_end,
         # the same on streams
         "stream_frames": _stream_frames,
         "stream_syn_rate_windows": _stream_windows(traffic.syn_rate_windows, "syn"),
         "stream_connection_rate_windows": _stream_windows(traffic.connection_rate_windows, "connections"),
         "stream_port_scan_windows": _stream_windows(traffic.port_scan_windows, "ports"),
+        "stream_sketched_port_scans": _stream_sketches,
         "stream_alert_dedup": _stream_dedup,
+        "stream_alert_chain": _stream_chain,
+        "stream_versioned_settings": _stream_versioned,
         "stream_end_to_end": _stream_end_to_end,
     } | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 

@@ -241,7 +241,42 @@ HEADERS = f"""SELECT seq, '02:5a:10:7e:c4:31' AS ethernet_dst_mac, '02:5a:10:7e:
   CAST(CASE ip_protocol WHEN 6 THEN 8192 END AS INT) AS tcp_window_size, CAST(CASE ip_protocol WHEN 6 THEN 0 END AS INT) AS tcp_urgent_pointer,
   CAST(CASE ip_protocol WHEN 17 THEN source_port END AS INT) AS udp_source_port, CAST(CASE ip_protocol WHEN 17 THEN destination_port END AS INT) AS udp_destination_port,
   CAST(CASE ip_protocol WHEN 17 THEN caplen - 34 END AS INT) AS udp_length, CAST(CASE ip_protocol WHEN 17 THEN 0 END AS INT) AS udp_checksum FROM packets"""
+SCAN_WINDOWS = f"""SELECT {_window(60)} AS window_start, source_ip, count(DISTINCT destination_port) AS ports FROM packets
+  WHERE protocol IN ('TCP', 'UDP') GROUP BY ALL HAVING count(DISTINCT destination_port) >= 50"""
 SYN_WINDOWS = f"SELECT {_window(1)} AS window_start, source_ip, count(*) AS syn_packets FROM packets WHERE tcp_flags & 2 <> 0 GROUP BY ALL"
+
+
+def _by_time(steps: list[tuple[int, float]], base: float) -> str:
+    """The value of a setting for a packet: each of ``steps`` holds from so many seconds after the first packet on."""
+    cases = " ".join(f"WHEN t >= 1704067200000000 + {after} * 1000000 THEN {value}" for after, value in reversed(steps))
+    return f"CASE {cases} ELSE {base} END"
+
+
+# The settings of the query of this name, which change while packets come.
+_SYN_LIMIT = _by_time([(60, 10), (210, 25)], 20)
+_TCP_LIMIT = _by_time([(60, 60), (130, 30)], 40)
+_PORT_LIMIT = _by_time([(60, 40)], 50)
+_Z_LIMIT = _by_time([(130, 2.5)], 3)
+_SAMPLE_LIMIT = _by_time([(200, 200)], 10)
+_PAYLOAD_LIMIT = _by_time([(130, 4000)], 1500)
+_ML_LIMIT = _by_time([(210, 0.9)], 0.8)
+_OFF = lambda start, stop: f"(t >= 1704067200000000 + {start} * 1000000 AND t < 1704067200000000 + {stop} * 1000000)"
+VERSIONED = f"""WITH RECURSIVE {PACKETS}, ruled AS (SELECT * FROM packets WHERE NOT {_OFF(100, 130)}),
+measured AS (SELECT * FROM packets WHERE NOT {_OFF(180, 200)}), scored AS (SELECT * FROM packets WHERE NOT {_OFF(170, 210)}),
+{SIZES.replace("FROM packets", "FROM measured")}, {TRACKERS.replace("FROM packets", "FROM ruled")}, alerts AS ("""
+VERSIONED += " UNION ALL ".join(
+    [
+        _alert("SYN_FLOOD", 1, 3, "'SYN flood detected from ' || source_ip", "anchored", f"is_syn AND syns >= {_SYN_LIMIT} AND t - since < 31000000"),
+        _alert("PORT_SCAN", 2, 2, "'Port scan detected from ' || source_ip || ' (' || ports || ' ports)'", "scanned", f"ports >= {_PORT_LIMIT}"),
+        _alert("RATE_LIMIT_EXCEEDED", 3, 3, "'Connection flood detected from ' || source_ip", "anchored", f"tcp_packets >= {_TCP_LIMIT} AND t - since < 31000000"),
+        _alert("SUSPICIOUS_PAYLOAD", 4, 2, "'Large payload detected from ' || source_ip || ' (' || payload_length || ' bytes)'", "ruled", f"payload_length > {_PAYLOAD_LIMIT}"),
+        _alert("ANOMALOUS_TRAFFIC", 5, 2, "'Anomalous packet size from ' || source_ip || ' (z-score: ' || printf('%.6f', z_score) || ')'", "sizes",
+               f"n > {_SAMPLE_LIMIT} AND abs(z_score) > {_Z_LIMIT}"),
+        _alert("ML_ANOMALY", 6, 3, f"'ML anomaly detected from ' || source_ip || ' (confidence: ' || printf('%.6f', {SCORE}) || ')'", "scored",
+               f"{SCORE} > {_ML_LIMIT}", f"round({SCORE}, 9)"),
+    ]
+)
+VERSIONED += f") SELECT {ALERT_COLUMNS} FROM alerts"
 EXTERNAL = "external AS (SELECT * REPLACE (CAST(5 + seq % 6 AS DOUBLE) / 10 AS confidence_score, CAST(1 AS INT) AS severity) FROM alerts)"
 RATED = """CAST(CASE WHEN type IN ('SYN_FLOOD', 'ML_ANOMALY') THEN 3 WHEN type IN ('PORT_SCAN', 'RATE_LIMIT_EXCEEDED') THEN 2
   WHEN confidence_score > 0.8 THEN 2 ELSE 1 END AS INT)"""
@@ -384,6 +419,11 @@ def oracle_sql() -> dict[str, str]:
             "WHERE protocol IN ('TCP', 'UDP') GROUP BY ALL HAVING count(DISTINCT destination_port) >= 50"
         ),
         "stream_alert_dedup": f"{DETECTED}, kept AS (SELECT * FROM alerts), " + CHAIN.split("kept AS (SELECT * EXCLUDE (rn) FROM ranked WHERE rn <= 50),")[1]
-        + " SELECT type, source_ip, destination_ip, source_port, destination_port FROM processed",
+        + f" SELECT {ALERT_COLUMNS} FROM processed",
+        "stream_alert_chain": _chained(f"SELECT {ALERT_COLUMNS} FROM processed"),
+        "versioned_settings": VERSIONED,
+        "stream_versioned_settings": VERSIONED,
+        "sketched_port_scans": _with(SCAN_WINDOWS),
+        "stream_sketched_port_scans": _with(SCAN_WINDOWS),
         "stream_end_to_end": f"{END_TO_END} SELECT ts, seq, detector_ord, {JSON} AS json FROM processed",
     }

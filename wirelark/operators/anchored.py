@@ -285,10 +285,10 @@ def flood_alerts_in(
     since = F.when(F.col("syns") > 0, F.col("anchor")).otherwise(F.col("start"))
     syn_hit = (
         F.col("is_syn")
-        & (F.col("syns") >= config.syn_flood_threshold)
+        & (F.col("syns") >= config.limit("syn_flood_threshold"))
         & _elapsed_within(since, config.syn_flood_window)
     )
-    connection_hit = (F.col("packets") >= config.connection_rate_threshold) & _elapsed_within(
+    connection_hit = (F.col("packets") >= config.limit("connection_rate_threshold")) & _elapsed_within(
         since, config.connection_window
     )
     kinds = F.array_compact(F.array(F.when(syn_hit, SYN_FLOOD), F.when(connection_hit, RATE_LIMIT_EXCEEDED)))
@@ -349,7 +349,8 @@ def scan_alerts_in(
         ["source_ip", "start"], ["t", "seq", "position"], ["ports"],
     )
     text = F.format_string("Port scan detected from %s (%d ports)", "source_ip", "ports")
-    return alert(counted.where(F.col("position") == threshold + MANY_PORTS), PORT_SCAN, MEDIUM, text)
+    scans = counted.where((F.col("position") == threshold + MANY_PORTS) & (F.col("ports") >= config.limit("port_scan_threshold")))
+    return alert(scans, PORT_SCAN, MEDIUM, text)
 
 
 def _last(trackers: DataFrame, now: DataFrame, keep: int) -> DataFrame:

@@ -103,6 +103,6 @@ def ml_score(packets: DataFrame, model: Model) -> DataFrame:
 
 def ml_anomaly_alerts(packets: DataFrame, model: Model, config: DetectionConfig = DetectionConfig()) -> DataFrame:
     scored = ml_score(packets.where(F.col("source_ip").isNotNull()), model)
-    unusual = scored.where(F.col("score") > config.anomaly_confidence_threshold)
+    unusual = scored.where(F.col("score") > config.limit("anomaly_confidence_threshold"))
     text = F.format_string("ML anomaly detected from %s (confidence: %.6f)", "source_ip", "score")
     return alert(unusual, ML_ANOMALY, HIGH, text, F.col("score"))

@@ -52,7 +52,7 @@ def size_zscore_alerts(
 ) -> DataFrame:
     stats = rolling_size_stats(packets, config, carried)
     unusual = stats.where(
-        (F.col("samples") > config.z_score_min_samples) & (F.abs("z_score") > config.z_score_threshold)
+        (F.col("samples") > config.limit("z_score_min_samples")) & (F.abs("z_score") > config.limit("z_score_threshold"))
     )
     text = F.format_string("Anomalous packet size from %s (z-score: %.6f)", "source_ip", "z_score")
     return alert(unusual, ANOMALOUS_TRAFFIC, MEDIUM, text)

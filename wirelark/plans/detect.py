@@ -20,15 +20,17 @@ def detect_all(
 ) -> DataFrame:
     """Alerts of every detector family that is switched on; without a model the ML family finds nothing.
 
-    ``packets`` should be a table: each detector scans the few columns it needs.
+    ``packets`` should be a table: each detector scans the few columns it needs. Settings may change with the packets'
+    time (``VersionedConfig``): a packet is judged by those of its time, and a family does not see those of times in which it is off.
     """
     found = []
     if config.rule_based_enabled:
-        found += [flood_alerts(packets, config), detect_port_scan(packets, config), suspicious_payload(packets, config)]
+        seen = config.active(packets, "rule_based_enabled")
+        found += [flood_alerts(seen, config), detect_port_scan(seen, config), suspicious_payload(seen, config)]
     if config.statistical_enabled:
-        found.append(size_zscore_alerts(packets, config))
+        found.append(size_zscore_alerts(config.active(packets, "statistical_enabled"), config))
     if config.enable_ml_inference and model is not None:
-        found.append(ml_anomaly_alerts(packets, model, config))
+        found.append(ml_anomaly_alerts(config.active(packets, "enable_ml_inference"), model, config))
     if not found:
         found = [suspicious_payload(packets, config).where(F.lit(False))]
     return reduce(DataFrame.unionByName, found)

@@ -20,12 +20,11 @@ from pyspark.sql.types import StructType
 
 from wirelark.config import AlertConfig, DetectionConfig
 from wirelark.operators import anchored, sizes
-from wirelark.operators.alerts import SIGNATURE, dedup_bucket, dedupe, limit_rate, with_severity
 from wirelark.operators.rules import suspicious_payload
 from wirelark.operators.scoring import Model, ml_anomaly_alerts
 from wirelark.schema import PACKETS
+from wirelark.streaming.chain import AlertChain
 from wirelark.streaming.keyed import REPLY, announce, source_states
-from wirelark.streaming.ledger import Ledger, hour
 
 # What Spark's keyed state needs: a store that holds several state variables, and no micro-batches without data, which
 # its processing-time time to live would ask for without end.
@@ -48,62 +47,37 @@ class StreamDetector:
         lateness: int = 86400,
     ) -> None:
         """``detection`` and ``alerting`` may be functions; they are asked anew for every micro-batch, so settings
-        can change while the stream runs (see ``config_from_table``). A family that is switched off leaves its state as it is.
+        can change while the stream runs: from the next micro-batch on (``config_from_table``) or from a time of the packets on
+        (``versions_from_table``). A family that is switched off leaves its state as it is.
         A source from which nothing has come for ``lateness`` seconds (of the clock of the machines) is forgotten."""
         self._detection = detection if callable(detection) else lambda: detection
-        self._alerting = alerting if callable(alerting) else lambda: alerting
-        self._spark, self._model, self._folder, self._lateness = spark, model, folder, lateness
-        self._used = Ledger(spark, f"{folder}/used", "second timestamp, used long")
-        self._seen = Ledger(
-            spark, f"{folder}/seen",
-            "type string, source_ip string, destination_ip string, source_port int, destination_port int, bucket timestamp",
-        )
-
-    def _keep(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        """``df`` written and read back, for use within one micro-batch. Two places take turns, so that a stream that runs for
-        long does not fill the folder."""
-        path = f"{self._folder}/{name}/slot={batch_id % 2}"
-        df.write.mode("overwrite").parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        self._spark, self._model, self._lateness = spark, model, lateness
+        self.chain = AlertChain(spark, folder, alerting)
 
     def detect(self, packets: DataFrame, states: DataFrame, config: DetectionConfig) -> DataFrame:
         """Alerts of one micro-batch. ``packets`` and ``states`` (see ``keyed.REPLY``) are stored tables: they are scanned several times."""
         found = []
         if config.rule_based_enabled:
+            seen = config.active(packets, "rule_based_enabled")
             trackers = states.select("source_ip", F.inline("connections"))
             before = states.where(F.col("connection_before").isNotNull()).select("source_ip", "connection_before.*")
-            found.append(anchored.flood_alerts_in(anchored.tcp_times(packets), trackers, config, before))
+            found.append(anchored.flood_alerts_in(anchored.tcp_times(seen), trackers, config, before))
             trackers = states.select("source_ip", F.inline("scans"))
             before = states.select("source_ip", F.col("scan_before").alias("t"), F.explode("ports_before").alias("destination_port"))
-            found.append(anchored.scan_alerts_in(anchored.port_times(packets), trackers, config, before))
-            found.append(suspicious_payload(packets, config))
+            found.append(anchored.scan_alerts_in(anchored.port_times(seen), trackers, config, before))
+            found.append(suspicious_payload(seen, config))
         if config.statistical_enabled:
-            found.append(sizes.size_zscore_alerts(packets, config, sizes.carried_sizes(states)))
+            found.append(sizes.size_zscore_alerts(config.active(packets, "statistical_enabled"), config, sizes.carried_sizes(states)))
         if config.enable_ml_inference and self._model is not None:
-            found.append(ml_anomaly_alerts(packets, self._model, config))
+            found.append(ml_anomaly_alerts(config.active(packets, "enable_ml_inference"), self._model, config))
         alerts = found[0] if found else suspicious_payload(packets, config).where(F.lit(False))
         for more in found[1:]:
             alerts = alerts.unionByName(more)
         return alerts
 
     def process(self, alerts: DataFrame, batch_id: int) -> DataFrame:
-        """The alert chain over one micro-batch, with limits and duplicates counted across micro-batches."""
-        config = self._alerting()
-        alerts = self._keep(alerts, "alerts", batch_id)
-        in_hour = alerts.select(hour(F.col("ts")).alias("hour")).distinct()
-        used = self._used.before(batch_id, in_hour).groupBy("second").agg(F.sum("used").alias("used"))
-        kept = self._keep(limit_rate(alerts, config, used), "kept", batch_id)
-        second = F.date_trunc("second", "ts").alias("second")
-        per_second = kept.groupBy(second).agg(F.count("*").alias("used")).withColumn("hour", hour(F.col("second")))
-        self._used.add(batch_id, per_second)
-        if not config.enable_deduplication:
-            return with_severity(kept)
-        first = dedupe(kept, config).withColumn("bucket", dedup_bucket(config).start).withColumn("hour", hour(F.col("bucket")))
-        seen = self._seen.before(batch_id, first.select("hour").distinct())
-        nullsafe = [first[c].eqNullSafe(seen[c]) for c in SIGNATURE]
-        fresh = self._keep(first.join(seen, [*nullsafe, first["bucket"] == seen["bucket"]], "left_anti"), "fresh", batch_id)
-        self._seen.add(batch_id, fresh.select(*SIGNATURE, "bucket", "hour"))
-        return with_severity(fresh.select(*alerts.columns))
+        """The alert chain over the alerts of one micro-batch."""
+        return self.chain.process(alerts, batch_id)
 
     def run(
         self,
@@ -125,7 +99,7 @@ class StreamDetector:
         def each(batch: DataFrame, batch_id: int) -> None:
             config = self._detection()
             announce(self._spark, config)
-            rows = self._keep(batch, "rows", batch_id)
+            rows = self.chain.keep(batch, "rows", batch_id)
             packets, states = rows.where("state is null").drop("state"), rows.where("state is not null").select("state.*")
             sink(self.process(self.detect(packets, states, config), batch_id), batch_id)
 

@@ -48,7 +48,7 @@ STATE = "connection binary, scan bigint, ports binary, lengths binary"
 def announce(spark, config: DetectionConfig) -> None:
     """Tell the tasks of the jobs started from here on which settings hold."""
     settings = {
-        "trackers": config.rule_based_enabled, "lengths": config.statistical_enabled,
+        "no_trackers": config.pauses("rule_based_enabled"), "no_lengths": config.pauses("statistical_enabled"),
         "connection_hop": (config.statistics_window + 1) * SECOND, "scan_hop": (config.port_scan_window + 1) * SECOND,
         "ring": config.moving_average_window - 1,
     }
@@ -67,11 +67,21 @@ def _table(blobs: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(b) for b in blobs if b), np.int64).reshape(-1, width)
 
 
-def summary_of(packets: pa.Table, ring: int) -> pa.RecordBatch:
-    """One row per source of ``packets`` (``source_ip``, ``t``, ``seq``, ``kind``: 0 other, 1 UDP, 2 TCP, 3 SYN, ``port``, ``length``)."""
+def _at_any(t: np.ndarray, stretches: list[list[int]]) -> np.ndarray:
+    found = np.zeros(len(t), bool)
+    for start, stop in stretches:
+        found |= (t >= start) & (t < stop)
+    return found
+
+
+def summary_of(packets: pa.Table, settings: dict) -> pa.RecordBatch:
+    """One row per source of ``packets`` (``source_ip``, ``t``, ``seq``, ``kind``: 0 other, 1 UDP, 2 TCP, 3 SYN, ``port``, ``length``).
+    Packets of times in which a family is off are not there for it."""
     codes = packets["source_ip"].combine_chunks().dictionary_encode()
     number = codes.indices.to_numpy()
     t, seq, kind, port, length = (packets[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("t", "seq", "kind", "port", "length"))
+    kind = np.where(_at_any(t, settings["no_trackers"]), 0, kind)
+    measured, ring = ~_at_any(t, settings["no_lengths"]), settings["ring"]
     order = np.lexsort((seq, t, number))
     bounds = np.r_[np.flatnonzero(np.diff(number[order], prepend=-1)), len(order)]
     rows = []
@@ -81,7 +91,8 @@ def summary_of(packets: pa.Table, ring: int) -> pa.RecordBatch:
         times, first, counts = np.unique(t[tcp], return_index=True, return_counts=True)
         syns = np.add.reduceat((kind[tcp] == 3).astype(np.int64), first) if len(first) else counts
         ports, last = np.unique(port[carrying][::-1], return_index=True)
-        newest = mine[-ring:] if ring else mine[:0]
+        newest = mine[measured[mine]]
+        newest = newest[len(newest) - min(ring, len(newest)) :]
         rows.append(
             (
                 codes.dictionary[int(number[mine[0]])].as_py(), _blob(times, counts, syns), _blob(np.unique(t[carrying])),
@@ -103,15 +114,15 @@ def summaries(packets: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ring, held, rows = _settings()["ring"], [], 0
+        settings, held, rows = _settings(), [], 0
         for batch in batches:
             held.append(batch)
             rows += len(batch)
             if rows >= FLUSH_ROWS:
-                yield summary_of(pa.Table.from_batches(held), ring)
+                yield summary_of(pa.Table.from_batches(held), settings)
                 held, rows = [], 0
         if rows:
-            yield summary_of(pa.Table.from_batches(held), ring)
+            yield summary_of(pa.Table.from_batches(held), settings)
 
     return narrow.mapInArrow(run, SUMMARY)
 
@@ -175,32 +186,25 @@ class SourceTrackers(StatefulProcessor):
         kept = self._state.get() if self._state.exists() else (None, None, None, None)
         before = tuple(int(x) for x in np.frombuffer(kept[0], np.int64)) if kept[0] else None
         scan, ports, lengths = kept[1], *(np.frombuffer(b, np.int64) if b else np.zeros(0, np.int64) for b in kept[2:])
-        reply = {"connections": [], "connection_before": None, "scans": [], "scan_before": None, "ports_before": None, "lengths_before": None}
-        connection, new_scan, new_ports, new_lengths = before, scan, ports, lengths
-        if settings["trackers"]:
-            events = _table([p["tcp"] for p in parts], 3)
-            times, place = np.unique(events[:, 0], return_inverse=True)
-            merged = np.zeros((len(times), 3), np.int64)
-            np.add.at(merged, place, events)
-            merged[:, 0] = times
-            trackers, connection = connection_chain(merged, before, settings["connection_hop"])
-            reply |= {"connections": [tuple(t) for t in trackers], "connection_before": before}
-            times = np.unique(_table([p["carrying"] for p in parts], 1))
-            trackers, new_scan = scan_chain(times, scan, settings["scan_hop"])
-            reply |= {"scans": [tuple(t) for t in trackers], "scan_before": scan, "ports_before": ports.tolist()}
-            if new_scan is not None:
-                seen = _table([p["ports"] for p in parts], 2)
-                here = seen[seen[:, 1] >= new_scan, 0]
-                new_ports = np.union1d(ports, here) if new_scan == scan else np.unique(here)
-        if settings["lengths"]:
-            newest = _table([p["lengths"] for p in parts], 3)
-            newest = newest[np.lexsort((newest[:, 1], newest[:, 0])), 2]
-            reply["lengths_before"] = lengths.tolist()
-            both = np.concatenate([lengths, newest])
-            new_lengths = both[len(both) - min(len(both), settings["ring"]) :]
+        events = _table([p["tcp"] for p in parts], 3)
+        times, place = np.unique(events[:, 0], return_inverse=True)
+        merged = np.zeros((len(times), 3), np.int64)
+        np.add.at(merged, place, events)
+        merged[:, 0] = times
+        connections, connection = connection_chain(merged, before, settings["connection_hop"])
+        scans, new_scan = scan_chain(np.unique(_table([p["carrying"] for p in parts], 1)), scan, settings["scan_hop"])
+        seen = _table([p["ports"] for p in parts], 2)
+        here = seen[seen[:, 1] >= new_scan, 0] if new_scan is not None else seen[:0, 0]
+        new_ports = np.union1d(ports, here) if new_scan == scan else np.unique(here)
+        newest = _table([p["lengths"] for p in parts], 3)
+        both = np.concatenate([lengths, newest[np.lexsort((newest[:, 1], newest[:, 0])), 2]])
+        new_lengths = both[len(both) - min(len(both), settings["ring"]) :]
         blob = np.array(connection, np.int64).tobytes() if connection else None
         self._state.update((blob, new_scan, new_ports.tobytes(), new_lengths.tobytes()))
-        yield Row(source_ip=key[0], **reply)
+        yield Row(
+            source_ip=key[0], connections=[tuple(t) for t in connections], connection_before=before, scans=[tuple(t) for t in scans],
+            scan_before=scan, ports_before=ports.tolist(), lengths_before=lengths.tolist(),
+        )
 
     def close(self) -> None:
         pass
