@@ -14,7 +14,10 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
+from pyspark.ml import Pipeline as MlPipeline  # noqa: E402
+from pyspark.ml.feature import MinMaxScaler, VectorAssembler  # noqa: E402
+from pyspark.sql import DataFrame, Observation, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql.streaming import StreamingQuery  # noqa: E402
 
@@ -24,12 +27,15 @@ from wirelark.operators import alerts as al  # noqa: E402
 from wirelark.operators import anchored, audit, decode, rules, scoring, sizes, sketches, traffic  # noqa: E402
 from wirelark.plans.detect import detect_all, detection_statistics  # noqa: E402
 from wirelark.plans.pipeline import Pipeline, end_to_end, packets_of  # noqa: E402
+from wirelark.schema import PACKETS, TCP_FLAGS  # noqa: E402
 from wirelark.session import shared_folder, store  # noqa: E402
 from wirelark.sources import derived  # noqa: E402
 from wirelark.sources.frames import capture_filter, read_frames, snap_truncate, stream_frames  # noqa: E402
 from wirelark.sources.sinks import fan_out, write_alert_json  # noqa: E402
+from wirelark.sources.store import AlertStore, write_clustered  # noqa: E402
 from wirelark.streaming.chain import AlertChain  # noqa: E402
 from wirelark.streaming.detect import StreamDetector  # noqa: E402
+from wirelark.streaming.recent import RecentAlerts  # noqa: E402
 from wirelark.streaming.scans import StreamedScans  # noqa: E402
 
 try:  # the training-data operators are a part that can be taken away, and so can the packages that they need
@@ -233,6 +239,100 @@ def _stage_statistics(packets: DataFrame) -> DataFrame:
     return pipeline.statistics(packets.select("seq", "destination_port")).drop("average_processing_time_ms")
 
 
+def _live_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of ``stage_statistics`` by functions of Arrow columns, counted by the job that writes the packets."""
+    packets = _packets(spark, sf_dir).select("seq", "destination_port")
+    pipeline = (
+        Pipeline()
+        .add_batch_function("needs_ports", lambda ports: pc.equal(ports, 0), ["destination_port"])
+        .add_batch_function("any", lambda seq: None, ["seq"])
+    )
+    metrics = Observation()
+    pipeline.observed(packets, metrics).write.parquet(_folder(spark, "observed"))
+    return pipeline.live_statistics(packets, metrics).drop("average_processing_time_ms")
+
+
+@F.udtf(returnType="flag string, bit int")
+class _FlagRows:
+    """A row per TCP flag of a packet."""
+
+    def eval(self, flags: int):
+        for name, bit in TCP_FLAGS.items():
+            if flags and flags & bit:
+                yield name, bit
+
+
+def _emitted(packets: DataFrame) -> DataFrame:
+    pipeline = Pipeline().add_emitter("flags", _FlagRows, ["tcp_flags"])
+    return pipeline.emitted(packets, ["source_ip"])["flags"].groupBy("source_ip", "flag", "bit").agg(F.count("*").alias("packets"))
+
+
+def _pipeline_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a fitted MLlib pipeline: how large a payload is between the smallest and the largest of all packets."""
+    packets = _packets(spark, sf_dir)
+    vector, names = scoring.features(), scoring.feature_columns()
+    seen = packets.select(*[vector[i].cast("double").alias(n) for i, n in enumerate(names)])
+    stages = [VectorAssembler(inputCols=names, outputCol="features"), MinMaxScaler(inputCol="features", outputCol="scaled")]
+    model = scoring.PipelineScore(MlPipeline(stages=stages).fit(seen), "scaled", names.index("feature_payload_length"))
+    return _plain(scoring.ml_score(packets, model).select("seq", "ts", F.round("score", 9).alias("score")))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture condition over packets that are stored for it."""
+    path = _folder(spark, "clustered")
+    write_clustered(_packets(spark, sf_dir), path)
+    condition = "source_ip = '10.0.0.3' AND destination_ip = '192.168.1.3' AND destination_port BETWEEN 1 AND 20"
+    kept = capture_filter(spark.read.schema(PACKETS).parquet(path), CaptureConfig(filter_expression=condition))
+    return kept.groupBy("destination_port", "protocol").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
+def _alert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of a minute, each moved back by a day per eighth of them, from a store that has dropped older days."""
+    moved = _alerts(spark, sf_dir).withColumn("ts", F.col("ts") - F.make_dt_interval(days=(F.col("seq") % 8).cast("int")))
+    alerts = AlertStore(spark, _folder(spark, "alert-store"))
+    alerts.write(moved)
+    kept = AlertConfig(alert_retention=3 * 86400)
+    alerts.drop_old(kept)
+    return _plain(alerts.retained(kept))
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(traffic.capture_rates(_frames(spark, sf_dir), derived.capture_counters(spark, sf_dir)))
+
+
+def _stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams, frames and counters, that meet by interface and time."""
+    frames, counters = _frames(spark, sf_dir), _once(spark, sf_dir, "counters", derived.capture_counters)
+    out, samples, checkpoint = (_folder(spark, f"rates-{n}") for n in ("out", "counters", "checkpoint"))
+    cut_at = F.expr(f"least((unix_micros(ts) - {derived.EPOCH_US}) div 87000000, 2)")
+    arrived = []
+
+    def run(inbox: str) -> StreamingQuery:
+        number, last = len(arrived), F.max("ts") + F.expr("interval 1 hour")
+        arrived.append(inbox)
+        if number < 3:
+            counters.where(cut_at == number).write.mode("append").parquet(samples)
+        else:  # the counters' clock goes on as well
+            beat = counters.agg(last.alias("ts"), F.lit("none").alias("interface_name"), F.lit(0).cast("long").alias("dropped"))
+            beat.withColumn("if_dropped", F.col("dropped")).select(*counters.columns).write.mode("append").parquet(samples)
+        met = traffic.capture_rates(stream_frames(spark, inbox, lateness=None), stream_frames(spark, samples, counters.schema))
+        return met.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+    _replay(frames, "rates", run, LONE_FRAME)
+    return _plain(spark.read.schema(_rates_schema(spark, sf_dir)).parquet(out).where("interface_name <> 'none'"))
+
+
+def _rates_schema(spark: SparkSession, sf_dir: str):
+    return traffic.capture_rates(_frames(spark, sf_dir), derived.capture_counters(spark, sf_dir)).schema
+
+
+def _stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, checkpoint = _alerts(spark, sf_dir), _folder(spark, "recent-checkpoint")
+    recent = RecentAlerts(spark, _folder(spark, "recent"))
+    last = _replay(alerts, "recent", lambda inbox: recent.run(stream_frames(spark, inbox, alerts.schema), checkpoint))
+    return _plain(recent.newest(last.lastProgress["batchId"], alerts))
+
+
 def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame([("syn_flood_threshold", 5.0)], "name string, value double")
     return _plain(traffic.judge_rates(_packets(spark, sf_dir), table))
@@ -269,11 +369,16 @@ def _end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: the table arrives in parts of 87 seconds each, and the query is run on what is new after each part.
 
 
-def _replay(rows: DataFrame, name: str, run: Callable[[str], StreamingQuery], heartbeat: bool = False) -> StreamingQuery:
+# A single SYN packet, which is below every threshold, and a frame that is no IPv4.
+LONE_PACKET = {"protocol": "'TCP'", "tcp_flags": "2", "source_ip": "'0.0.0.0'"}
+LONE_FRAME = {"frame": "unhex('025a107ec431025a107e88060806')", "caplen": "14", "length": "14", "interface_name": "'none'"}
+
+
+def _replay(rows: DataFrame, name: str, run: Callable[[str], StreamingQuery], heartbeat: dict[str, str] | None = None) -> StreamingQuery:
     """Write ``rows`` to a folder part by part, running ``run(folder)`` after each.
 
-    ``heartbeat`` adds two single SYN packets an hour later: the first moves the watermark past all windows,
-    the second, in a run of its own, makes the stream act on it. One packet is below every threshold.
+    ``heartbeat`` is a row (columns as SQL) that is added twice, an hour later: the first time it moves the watermark past all windows,
+    the second, in a run of its own, it makes the stream act on it.
     """
     spark = rows.sparkSession
     inbox = _folder(spark, f"{name}-in")
@@ -284,7 +389,7 @@ def _replay(rows: DataFrame, name: str, run: Callable[[str], StreamingQuery], he
         query.awaitTermination()
     for _ in range(2 if heartbeat else 0):
         last = rows.agg((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
-        beat = {"ts": F.col("ts"), "protocol": F.lit("TCP"), "tcp_flags": F.lit(2), "source_ip": F.lit("0.0.0.0")}
+        beat = {"ts": F.col("ts"), **{name: F.expr(text) for name, text in heartbeat.items()}}
         last.select([beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(inbox)
         query = run(inbox)
         query.awaitTermination()
@@ -292,7 +397,7 @@ def _replay(rows: DataFrame, name: str, run: Callable[[str], StreamingQuery], he
 
 
 def _stream(
-    spark: SparkSession, rows: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame], heartbeat: bool = False
+    spark: SparkSession, rows: DataFrame, name: str, transform: Callable[[DataFrame], DataFrame], heartbeat: dict[str, str] | None = None
 ) -> DataFrame:
     """The rows that the streaming ``transform`` of ``rows`` has written when all parts have arrived."""
     out, checkpoint = _folder(spark, f"{name}-out"), _folder(spark, f"{name}-checkpoint")
@@ -313,7 +418,7 @@ def _stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_windows(operator: Callable[..., DataFrame], name: str) -> Query:
     return lambda spark, sf_dir: _stream(
-        spark, _packets(spark, sf_dir), name, lambda df: operator(df, WINDOWED), heartbeat=True
+        spark, _packets(spark, sf_dir), name, lambda df: operator(df, WINDOWED), LONE_PACKET
     )
 
 
@@ -385,6 +490,7 @@ def queries() -> dict[str, Query]:
         "snap_truncate": _snap,
         "capture_filter": _filter,
         "capture_predicate": _tcp_to_web,
+        "clustered_predicate": _clustered,
         "alert_json_sink": _json_sink,
         "alert_fanout": _fanout,
         # decode
@@ -402,6 +508,7 @@ def queries() -> dict[str, Query]:
         # counts and rates
         "packet_statistics": _over(_packets, traffic.packet_statistics),
         "capture_statistics": _capture_statistics,
+        "capture_rates": _rates,
         "syn_rate_windows": _over(_packets, traffic.syn_rate_windows, WINDOWED),
         "port_scan_windows": _over(_packets, traffic.port_scan_windows, WINDOWED),
         "sketched_port_scans": _over(_packets, sketches.sketched_port_scans, WINDOWED),
@@ -416,6 +523,7 @@ def queries() -> dict[str, Query]:
         "size_zscore_alerts": _over(_packets, sizes.size_zscore_alerts),
         "ml_score": _over(_packets, _score),
         "ml_anomaly_alerts": _over(_packets, _ml_alerts),
+        "ml_pipeline_score": _pipeline_model,
         "state_expiry": _over(_packets, anchored.active_trackers, DETECTION),
         "detect_all": _over(_packets, _all),
         # alert chain
@@ -425,6 +533,7 @@ def queries() -> dict[str, Query]:
         "alert_risk_score": _over(_alerts, lambda a: al.with_risk_score(a).select(*al.ALERT_ORDER, "risk_score")),
         "recent_alerts": _over(_alerts, al.recent_alerts),
         "alert_retention": _over(_alerts, al.retain, AlertConfig(alert_retention=60)),
+        "alert_store": _alert_store,
         "alert_json": _over(_alerts, al.alert_json),
         "alert_json_array": _over(_alerts, al.alert_json_array, 40),
         "alert_statistics": _over(_alerts, al.alert_statistics, ALERTING),
@@ -433,6 +542,8 @@ def queries() -> dict[str, Query]:
         # stages, settings, the whole way
         "stage_pipeline": _over(_packets, _stages),
         "stage_statistics": _over(_packets, _stage_statistics),
+        "stage_live_statistics": _live_statistics,
+        "stage_emitted_rows": _over(_packets, _emitted),
         "threshold_config": _thresholds,
         "versioned_settings": _versioned,
         "end_to_end": _end_to_end,
@@ -442,8 +553,10 @@ def queries() -> dict[str, Query]:
         "stream_connection_rate_windows": _stream_windows(traffic.connection_rate_windows, "connections"),
         "stream_port_scan_windows": _stream_windows(traffic.port_scan_windows, "ports"),
         "stream_sketched_port_scans": _stream_sketches,
+        "stream_capture_rates": _stream_rates,
         "stream_alert_dedup": _stream_dedup,
         "stream_alert_chain": _stream_chain,
+        "stream_recent_alerts": _stream_recent,
         "stream_versioned_settings": _stream_versioned,
         "stream_end_to_end": _stream_end_to_end,
     } | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})

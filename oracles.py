@@ -243,6 +243,15 @@ HEADERS = f"""SELECT seq, '02:5a:10:7e:c4:31' AS ethernet_dst_mac, '02:5a:10:7e:
   CAST(CASE ip_protocol WHEN 17 THEN caplen - 34 END AS INT) AS udp_length, CAST(CASE ip_protocol WHEN 17 THEN 0 END AS INT) AS udp_checksum FROM packets"""
 SCAN_WINDOWS = f"""SELECT {_window(60)} AS window_start, source_ip, count(DISTINCT destination_port) AS ports FROM packets
   WHERE protocol IN ('TCP', 'UDP') GROUP BY ALL HAVING count(DISTINCT destination_port) >= 50"""
+CAPTURE_RATES = """SELECT 'eth0' AS interface_name, make_timestamp(slot * 10000000) AS window_start, make_timestamp((slot + 1) * 10000000) AS sampled_at,
+  count(*) AS packets_captured, CAST(count(*) AS DOUBLE) / 10 AS capture_rate_pps,
+  CAST(sum(count(*) FILTER (tcp_flags = 2)) OVER (ORDER BY slot) AS BIGINT) AS packets_dropped,
+  CAST(sum(count(*) FILTER (protocol = 'ICMP')) OVER (ORDER BY slot) AS BIGINT) AS packets_if_dropped
+  FROM (SELECT *, t // 10000000 AS slot FROM packets) GROUP BY slot"""
+STAGE_STATISTICS = (
+    "SELECT CAST(1 AS INT) AS position, 'needs_ports' AS stage, count(*) FILTER (protocol <> 'ICMP') AS packets_processed, "
+    "count(*) FILTER (protocol = 'ICMP') AS errors FROM packets UNION ALL SELECT CAST(2 AS INT), 'any', count(*), CAST(0 AS BIGINT) FROM packets"
+)
 SYN_WINDOWS = f"SELECT {_window(1)} AS window_start, source_ip, count(*) AS syn_packets FROM packets WHERE tcp_flags & 2 <> 0 GROUP BY ALL"
 
 
@@ -400,11 +409,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'talkers', source_ip, count(*) FROM packets GROUP BY ALL UNION ALL "
             "SELECT 'large', source_ip, count(*) FROM packets WHERE payload_length > 1500 GROUP BY ALL"
         ),
-        "stage_statistics": _with(
-            "SELECT CAST(1 AS INT) AS position, 'needs_ports' AS stage, count(*) FILTER (protocol <> 'ICMP') AS packets_processed, "
-            "count(*) FILTER (protocol = 'ICMP') AS errors FROM packets UNION ALL "
-            "SELECT CAST(2 AS INT), 'any', count(*), CAST(0 AS BIGINT) FROM packets"
-        ),
+        "stage_statistics": _with(STAGE_STATISTICS),
         "threshold_config": _with(
             f"SELECT window_start, source_ip, syn_packets, CAST(5 AS DOUBLE) AS threshold, syn_packets >= 5 AS over FROM ({SYN_WINDOWS})"
         ),
@@ -422,6 +427,27 @@ def oracle_sql() -> dict[str, str]:
         + f" SELECT {ALERT_COLUMNS} FROM processed",
         "stream_alert_chain": _chained(f"SELECT {ALERT_COLUMNS} FROM processed"),
         "versioned_settings": VERSIONED,
+        "stage_live_statistics": _with(STAGE_STATISTICS),
+        "stage_emitted_rows": _with(
+            " UNION ALL ".join(
+                f"SELECT source_ip, '{name}' AS flag, CAST({bit} AS INT) AS bit, count(*) AS packets FROM packets WHERE tcp_flags & {bit} <> 0 GROUP BY source_ip"
+                for name, bit in (("SYN", 2), ("ACK", 16))
+            )
+        ),
+        "ml_pipeline_score": _with(
+            f"SELECT seq, ts, round((x - least_x) * (CAST(1 AS DOUBLE) / (most_x - least_x)), 9) AS score FROM "
+            f"(SELECT seq, ts, {_features('payload_length')[0]} AS x FROM packets), "
+            f"(SELECT min({_features('payload_length')[0]}) AS least_x, max({_features('payload_length')[0]}) AS most_x FROM packets)"
+        ),
+        "capture_rates": _with(CAPTURE_RATES),
+        "stream_capture_rates": _with(CAPTURE_RATES),
+        "clustered_predicate": _with(
+            "SELECT destination_port, protocol, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets "
+            "WHERE source_ip = '10.0.0.3' AND destination_ip = '192.168.1.3' AND destination_port BETWEEN 1 AND 20 GROUP BY ALL"
+        ),
+        "alert_store": f"""{DETECTED}, moved AS (SELECT * REPLACE (ts - to_days(CAST(seq % 8 AS INT)) AS ts) FROM alerts)
+            SELECT {ALERT_COLUMNS} FROM moved WHERE ts >= (SELECT max(ts) FROM moved) - INTERVAL 3 DAY""",
+        "stream_recent_alerts": _detected(f"SELECT {ALERT_COLUMNS} FROM alerts ORDER BY ts DESC, seq DESC, detector_ord DESC LIMIT 100"),
         "stream_versioned_settings": VERSIONED,
         "sketched_port_scans": _with(SCAN_WINDOWS),
         "stream_sketched_port_scans": _with(SCAN_WINDOWS),

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import SparkFiles
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +98,34 @@ def load_model(model_path: str) -> Model | None:
     return onnx(model_path)
 
 
-def ml_score(packets: DataFrame, model: Model) -> DataFrame:
+class PipelineScore:
+    """A fitted MLlib ``PipelineModel`` (or any transformer) as a model: it runs in the JVM.
+
+    It gets the features as columns of doubles named ``feature_<name>`` (see ``FEATURES``, ``feature_columns``), say for a ``VectorAssembler``,
+    and leaves its score in the column ``output``; of a vector, such as a probability, the entry number ``entry`` counts (default: the last).
+    """
+
+    def __init__(self, model, output: str = "score", entry: int = -1) -> None:
+        self._model, self._output, self._entry = model, output, entry
+
+    def scored(self, packets: DataFrame) -> DataFrame:
+        vector = features()
+        named = {f"feature_{name}": vector[i].cast("double") for i, name in enumerate(FEATURES)}
+        found = self._model.transform(packets.withColumns(named))
+        score = F.col(self._output)
+        if isinstance(found.schema[self._output].dataType, VectorUDT):
+            score = F.element_at(vector_to_array(score), self._entry if self._entry < 0 else self._entry + 1)
+        return found.select(*packets.columns, score.cast("double").alias("score"))
+
+
+def feature_columns() -> list[str]:
+    """The names of the feature columns that a pipeline model finds."""
+    return [f"feature_{name}" for name in FEATURES]
+
+
+def ml_score(packets: DataFrame, model: Model | PipelineScore) -> DataFrame:
     """``packets`` with ``score``, the model's output for the packet's features."""
-    return packets.withColumn("score", model(features()))
+    return model.scored(packets) if isinstance(model, PipelineScore) else packets.withColumn("score", model(features()))
 
 
 def ml_anomaly_alerts(packets: DataFrame, model: Model, config: DetectionConfig = DetectionConfig()) -> DataFrame:

@@ -100,6 +100,31 @@ def capture_statistics(frames: DataFrame, counters: DataFrame | None = None) ->
     )
 
 
+def capture_rates(frames: DataFrame, counters: DataFrame, seconds: int = 10, lateness: str = "10 seconds") -> DataFrame:
+    """Per interface and aligned window: frames decoded, and the drop counters at the window's end.
+
+    ``counters(ts, interface_name, dropped, if_dropped)`` holds samples of cumulative counters; a window meets the samples from its end
+    up to one window later, of which there is one if the device reports once per window. Runs on two streams: the counters come with a watermark
+    on ``ts``, the frames without (decoding makes a new column of the time, which gets one of ``lateness``). The windows and the samples of that
+    stretch are all that is kept, and a row is written when both have come.
+    """
+    decoded = decode_frames(frames)
+    if frames.isStreaming:  # decoding makes a new column of the time
+        decoded = decoded.withWatermark("ts", lateness)
+    captured = (
+        decoded.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), F.col("interface_name").alias("interface"))
+        .agg(F.count("*").alias("packets_captured"))
+        .withColumn("until", F.window_time("w"))
+    )
+    same = (F.col("interface") == F.col("interface_name")) & (F.col("ts") > F.col("until"))
+    met = captured.join(counters, same & (F.col("ts") <= F.col("until") + F.expr(f"interval {seconds} seconds")))
+    return met.select(
+        "interface_name", F.col("w.start").alias("window_start"), F.col("ts").alias("sampled_at"), "packets_captured",
+        (F.col("packets_captured") / seconds).alias("capture_rate_pps"), F.col("dropped").alias("packets_dropped"),
+        F.col("if_dropped").alias("packets_if_dropped"),
+    )
+
+
 def _per_window(packets: DataFrame, seconds: int, value: Column, name: str) -> DataFrame:
     grouped = packets.where(F.col("source_ip").isNotNull()).groupBy(
         F.window("ts", f"{seconds} seconds").alias("w"), "source_ip"

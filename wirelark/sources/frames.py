@@ -23,13 +23,14 @@ def stream_frames(
     path: str,
     schema: T.StructType = FRAMES,
     max_files_per_trigger: int | None = None,
-    lateness: str = "10 seconds",
+    lateness: str | None = "10 seconds",
 ) -> DataFrame:
-    """Frames (or, with their schema, packets) from a folder as files arrive, with a watermark on ``ts``."""
+    """Frames (or, with their schema, packets) from a folder as files arrive, with a watermark on ``ts`` unless ``lateness`` is None."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path).withWatermark("ts", lateness)
+    rows = reader.parquet(path)
+    return rows.withWatermark("ts", lateness) if lateness else rows
 
 
 def snap_truncate(frames: DataFrame, config: CaptureConfig = CaptureConfig()) -> DataFrame:
