@@ -99,7 +99,8 @@ def load_model(model_path: str) -> Model | None:
 
 
 class PipelineScore:
-    """A fitted MLlib ``PipelineModel`` (or any transformer) as a model: it runs in the JVM.
+    """A fitted MLlib ``PipelineModel`` (or any transformer) as a model: it runs in the JVM. It should be one that was saved and loaded: a model
+    just fitted may hold a summary of its training with the session in it, which cannot be sent to tasks once that session has observed metrics.
 
     It gets the features as columns of doubles named ``feature_<name>`` (see ``FEATURES``, ``feature_columns``), say for a ``VectorAssembler``,
     and leaves its score in the column ``output``; of a vector, such as a probability, the entry number ``entry`` counts (default: the last).
