@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain versions of themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -228,6 +229,68 @@ def test_bpe_edge(spark, edge):
     assert rows(bpe.decoded(ids, WORD_TOKENIZER)) == want
 
 
+def altered(path, **changes):
+    spec = json.loads(open(path, encoding="utf-8").read())
+    for place, value in changes.items():
+        at = spec
+        *way, last = place.split("__")
+        for name in way:
+            at = at[int(name) if isinstance(at, list) else name]
+        at[last] = value
+    return json.dumps(spec)
+
+
+SEPARATOR = {"id": 1002, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+MIXED = ["A [SEP] b[SEP]C", "Ábc  DEF\nx", " lead and trail ", "don't [S EP] stop"]
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"normalizer": None},
+        {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFKC"}, {"type": "Replace", "pattern": {"String": "a"}, "content": "b"}]}},
+        {"added_tokens": [SEPARATOR]},
+        {"added_tokens": [SEPARATOR | {"content": "S EP", "id": 1003}]},
+        {"normalizer": {"type": "Lowercase"}},
+    ],
+)
+def test_word_codec_obeys_the_file(changes):
+    text = altered(WORD_TOKENIZER, **changes)
+    codec, library = bpe.WordCodec(text), Tokenizer.from_str(text)
+    for t in ODD + MIXED:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t) == ids
+        assert [int(i) for b in codec.id_blocks(t.encode()) for i in b.split()] == ids
+        assert codec.digests(t.encode())[0] == len(ids)
+
+
+@pytest.mark.parametrize(
+    "changes", [{"decoder": {"type": "Fuse"}}, {"pre_tokenizer": None}, {"model__unk_token": "<unk>"}, {"added_tokens": [SEPARATOR | {"lstrip": True}]}]
+)
+def test_word_codec_refuses_what_it_does_not_do(changes):
+    with pytest.raises(ValueError, match="support|themselves"):
+        bpe.WordCodec(altered(WORD_TOKENIZER, **changes))
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"pre_tokenizer__add_prefix_space": True},
+        {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]}},
+        {"added_tokens": [SEPARATOR]},
+        {"added_tokens": [SEPARATOR | {"lstrip": True}]},
+        {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+    ],
+)
+def test_byte_codec_obeys_the_file(changes):
+    text = altered(BYTE_TOKENIZER, **changes)
+    codec, library = id_files.ByteCodec(text), Tokenizer.from_str(text)
+    library.no_truncation()
+    for t in ODD + MIXED + ["12 345 [SEP] x"]:
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 # Id files
 
 
@@ -299,6 +362,15 @@ def test_classifier_edge(spark, edge, labels, documents, module, label):
     assert module.predictions(edge, odd).count() == edge.count()
 
 
+def test_sample_has_one_row_of_an_id(spark):
+    """However many documents and labels share it."""
+    docs = spark.createDataFrame([(i % 7, f"text {i % 3}") for i in range(700)] + [(None, "x"), (9, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i % 7, i % 2) for i in range(50)] + [(9, 1), (9, 1)], "doc_id long, quality int")
+    found = labelled.training_sample(docs, marks, "quality", {0: 100, 1: 100}).collect()
+    held = {i for i in (*range(7), 9) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sorted(r["doc_id"] for r in found) == [i for i in (*range(7), 9) if i not in held]
+
+
 def test_held_out_rows(documents):
     for r in documents.select("doc_id", labelled.held_out(documents["doc_id"]).alias("held")).collect():
         assert r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)

@@ -113,20 +113,46 @@ class MergeAutomaton:
         return path
 
 
+# The normal form that the short cuts below stand for, and the parts of a splitting rule.
+LOWER_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def _refuse(spec: dict) -> None:
+    """Raise ValueError for a file that asks for something that ``WordCodec`` does not do."""
+    rules = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split_first = [r["type"] for r in rules] == ["Split", "ByteLevel"] and rules[0]["behavior"] == "Removed" and rules[0]["invert"] and "Regex" in rules[0]["pattern"]
+    if not split_first or rules[1]["add_prefix_space"] or rules[1]["use_regex"]:
+        raise ValueError("only files that split by a pattern into byte symbols are supported")
+    if spec["model"]["type"] != "BPE" or any(spec["model"].get(k, v) != v for k, v in _MODEL.items()) or spec.get("decoder"):
+        raise ValueError("only plain merges without a decoder are supported")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("special tokens must stand for themselves")
+
+
 class WordCodec:
-    """Texts to ids and back, with a tokenizer file's own normal form, splitting rule and special tokens."""
+    """Texts to ids and back, with a tokenizer file's own normal form, splitting rule and special tokens.
+
+    A file with another normal form than ``LOWER_FORM``, with a pattern that takes white space into words, or with white space in a special
+    token has its texts encoded whole instead of word by word. What is not supported at all is refused.
+    """
 
     # Printable ASCII without white space, and letters that are their own normal form.
     PLAIN = regex.compile(r"[\x21-\x7EÀ-įı-ž]*")
 
     def __init__(self, text: str):
         self.tokenizer, spec = Tokenizer.from_str(text), json.loads(text)
+        _refuse(spec)
         model = spec["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # The library has the last word on their ids.
+        self.specials = {t["content"]: self.tokenizer.token_to_id(t["content"]) for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.marks = sorted({c[0] for c in self.specials})
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        takes_space = any(self.split.fullmatch(s) for s in (" ", " a", "a ", " 1", " .", "a a"))
+        self.whole = spec["normalizer"] != LOWER_FORM or takes_space or any(c.split() != [c] for c in self.specials)
         self.labels = {i: t for t, i in (model["vocab"] | self.specials).items()}
         self.symbols = byte_symbols()
         # Kept in decimal: ids of a word of base symbols, ids of a piece of text between blanks, labels of such ids.
@@ -136,7 +162,7 @@ class WordCodec:
 
     def pieces(self, part: str) -> list[str]:
         """The words of ``part`` as strings of base symbols."""
-        if self.PLAIN.fullmatch(part):
+        if not self.whole and self.PLAIN.fullmatch(part):
             low = part.lower()
             if low.isalpha():
                 found = [low]
@@ -145,11 +171,11 @@ class WordCodec:
             else:
                 found = self.split.findall(low)
             return [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in found]
-        normal = self.tokenizer.normalizer.normalize_str(part)
+        normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
     def word_codes(self, text: str) -> Iterator[bytes]:
-        for part in self.special.split(text) if self.special and "<" in text else [text]:
+        for part in self.special.split(text) if any(m in text for m in self.marks) else [text]:
             if part in self.specials:
                 yield b"%d" % self.specials[part]
             elif part:
@@ -162,17 +188,24 @@ class WordCodec:
         """The labels of the ids; the file names no decoder, so they are joined by a space."""
         return " ".join(self.labels[i] for i in ids)
 
+    def code_blocks(self, text: bytes) -> Iterator[list[bytes]]:
+        """The ids of ``text`` in decimal, in lists of words'."""
+        if self.whole:
+            yield list(filter(None, self.word_codes(text.decode())))
+            return
+        for words in word_blocks(text):
+            yield list(filter(None, map(self.codes.__getitem__, words)))
+
     def id_blocks(self, text: bytes) -> Iterator[bytes]:
         """The ids of ``text`` in decimal, joined by a space, block by block."""
-        for words in word_blocks(text):
-            if ids := b" ".join(filter(None, map(self.codes.__getitem__, words))):
-                yield ids
+        for codes in self.code_blocks(text):
+            if codes:
+                yield b" ".join(codes)
 
     def digests(self, text: bytes) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, digest of what they decode to."""
         count, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
-        for words in word_blocks(text):
-            codes = list(filter(None, map(self.codes.__getitem__, words)))
+        for codes in self.code_blocks(text):
             if not codes:
                 continue
             ids, gap = b" ".join(codes), b" " if count else b""

@@ -255,13 +255,16 @@ def node_labels(tree: Tree, main: list[bool]) -> list[int]:
 def fitted(pages: DataFrame | None, sample: int = SAMPLE, written: int = WRITTEN) -> TreeModel:
     """The model learned from ``written`` pages of ``html_examples`` and from up to ``sample`` of ``pages`` that name their main part themselves.
 
-    The sample is the pages with the least hash of their text, so reruns agree; at most ``sample`` times ``SAMPLE_CHARS`` characters reach the driver.
+    The sample is the pages with the least hashes of their text, equal ones once, so reruns agree. The hashes are ranked first (``sample`` numbers a
+    task), then at most ``sample`` times ``SAMPLE_CHARS`` characters reach the driver.
     """
     found = labelled_pages(written)
     if pages is not None:
         names_itself = F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_CHARS)
-        some = pages.where(names_itself).select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
-        found += [r[0] for r in some.collect()]
+        hashed = pages.where(names_itself).select("html", F.xxhash64("html").alias("hash"))
+        least = [r[0] for r in hashed.groupBy("hash").count().orderBy("hash").limit(sample).collect()]
+        chosen = hashed.where(F.col("hash").isin(least)).groupBy("hash").agg(F.min("html").alias("html"))
+        found += [r[0] for r in chosen.orderBy("hash").select("html").collect()]
     trees, labels = [], []
     for tree in map(parse, found):
         if (main := marked(tree)) is not None:

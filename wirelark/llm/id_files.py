@@ -15,6 +15,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from array import array
@@ -125,7 +126,8 @@ class ByteCodec:
     """Ids of texts by a byte-level tokenizer file; the library's model encodes each distinct piece once per worker.
 
     Texts are cut before a space that follows a character other than white space. No token of this kind of tokenizer
-    reaches over such a place, so the ids of the pieces are the ids of the text.
+    reaches over such a place, so the ids of the pieces are the ids of the text. A file that normalizes, splits by another rule or
+    has special tokens that take in what stands beside them has its texts encoded whole by the library.
     """
 
     CUT = regex.compile(r"(?<=\S)(?= )")
@@ -134,7 +136,15 @@ class ByteCodec:
     PLAIN = regex.compile(r"[\n\x20-\x7Eª-ʯ]*")
 
     def __init__(self, text: str):
-        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer, spec = Tokenizer.from_str(text), json.loads(text)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        rule = spec["pre_tokenizer"] or {}
+        plain = (rule.get("type"), rule.get("add_prefix_space"), rule.get("use_regex")) == ("ByteLevel", False, True)
+        alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+        model = spec["model"]
+        merges = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        self.whole = not (plain and alone and merges and spec["normalizer"] is None)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.chunks: dict[str, bytes] = _Chunks(self)
@@ -156,6 +166,8 @@ class ByteCodec:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian 32-bit integers."""
+        if self.whole:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         try:
             if not first[-1:].isspace():

@@ -17,9 +17,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> DataFrame:
-    """``doc_id``, ``text`` and ``label`` of about ``bounds[value]`` rows of each label value, or all if there are fewer.
+    """``doc_id``, ``text`` and ``label`` of about ``bounds[value]`` documents of each label value, or all if there are fewer.
 
-    Rows are chosen by a hash of their id, so reruns agree, and only from those that are not held out.
+    Documents are chosen by a hash of their id, so reruns agree, and only from those that are not held out. An id has one row, however many
+    documents or labels share it: the text with the least hash, and the least label.
     """
     open_ = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in open_.groupBy(label).count().collect()}
@@ -27,5 +28,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     share = F.lit(0)
     for value, bound in bounds.items():
         share = F.when(F.col(label) == value, F.lit(int((1 << 30) * min(1.0, bound / max(1, counts.get(value, 0)))))).otherwise(share)
-    chosen = store(open_.where(place < share).select("doc_id", F.col(label).cast("int").alias("label")), "sample")
-    return docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+    least = open_.where(place < share).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
+    chosen = store(least, "sample")
+    found = docs.select("doc_id", "text").join(broadcast_if_small(chosen), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return one.select("doc_id", "first.text", "label")

@@ -193,13 +193,13 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.round(F.log((t / (toxic + 1)) / (c / (clean + 1))) - CAUTION * F.sqrt(1 / t + 1 / c), 6)
     kept = counts.where(F.col("t") >= max(LEAST_TOXIC, toxic // 200)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    chosen: dict[str, float] = {}
-    rows = kept.orderBy(F.col("odds").desc(), F.length("unit"), "unit").limit(MOST_UNITS).collect()
-    for row in sorted(rows, key=lambda r: (len(r["unit"]), r["unit"])):
-        shorter = [row["unit"][:n] for n in range(LEAST_BEGIN, len(row["unit"]))]
-        if row["odds"] > max((chosen[u] for u in shorter if u in chosen), default=0.0):
-            chosen[row["unit"]] = row["odds"]
-    return chosen
+    kept = store(kept.select("unit", "odds"), "units")
+    # A unit that a shorter one begins, with odds no worse, says nothing new; how many are left is bounded by the sample alone.
+    cuts = F.explode(F.sequence(F.lit(LEAST_BEGIN), F.length("unit") - 1)).alias("n")
+    begun = kept.where(F.length("unit") > LEAST_BEGIN).select("unit", "odds", cuts).withColumn("shorter", F.expr("substr(unit, 1, n)"))
+    shorter = kept.select(F.col("unit").alias("shorter"), F.col("odds").alias("before"))
+    repeats = begun.join(shorter, "shorter").where(F.col("before") >= F.col("odds")).select("unit").distinct()
+    return {r["unit"]: r["odds"] for r in kept.join(repeats, "unit", "left_anti").collect()}
 
 
 def _logistic(inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
