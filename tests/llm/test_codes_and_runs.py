@@ -3,6 +3,7 @@
 import hashlib
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
@@ -17,7 +18,7 @@ def plain_codes(rows, parts=4, entries=256, rounds=4):
     rows = sorted(((i, v, n) for i, v, n in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     width = max((len(r[1]) for r in rows), default=0)
     size = -(-width // parts)
-    cut = [[[math.floor(1024 * x) for x in (*v, *[0.0] * (size * parts - len(v)))][p * size : (p + 1) * size] for p in range(parts)] for _, v, _ in rows]
+    cut = [[[math.floor(1024 * Fraction(x)) for x in (*v, *[0.0] * (size * parts - len(v)))][p * size : (p + 1) * size] for p in range(parts)] for _, v, _ in rows]
     books = [[r[p] for r in cut[:entries]] for p in range(parts)]
 
     def nearest(x, book):
@@ -37,7 +38,7 @@ def plain_codes(rows, parts=4, entries=256, rounds=4):
 VECTORS = [
     (5, [0.5, -0.25, 3.0, 1.0, 0.0, 0.0, 7.5, 2.0], 1), (1, [0.5, -0.25, 3.0, 1.0, 0.0, 0.0, 7.5, 2.0], 1), (2, None, 1), (3, [1.0, None], 2), (4, [float("nan")], 2),
     (6, [float("inf"), 1.0], None), (7, [1e30, -1e30, 1.0, 2.0], None), (8, [], None), (9, [-0.0001, 0.0001], 2), (None, [0.25] * 8, 2), (9, [3.0, 2.0, 1.0], 2),
-    (10, [-5.5] * 8, 2), (11, [5.25] * 7, 3), (12, [1e30, -1e30, 1.0, 2.0], None),
+    (13, [1.7e308, -1.7e308], 1), (14, [5e-324, -5e-324] * 4, 1), (10, [-5.5] * 8, 2), (11, [5.25] * 7, 3), (12, [1e30, -1e30, 1.0, 2.0], None),
 ]
 
 

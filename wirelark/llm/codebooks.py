@@ -8,7 +8,7 @@ Which entry is nearest is found with pivots: ``PIVOTS`` of the starting entries
 The distance of every part to every pivot is computed once and stored with the part's block. Each round computes
 the distances of the entries to the pivots; by the triangle inequality the distance of a part to an entry is at least
 the largest difference of their distances to a pivot. Entries are evaluated exactly, in integers, in order of this bound, until
-the bound of the next one exceeds the least distance found.
+the bound exceeds the least distance found.
 
 Each round is one scan of the blocks that leaves sums and counts per entry, combined before they are shuffled; the driver sees
 the codebooks only, whose size depends on the width of the vectors, not on their number.
@@ -40,8 +40,7 @@ from wirelark.session import store
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 PIVOTS = 8
 SCALE = 1024
-BLOCK = 512
-STEP = 8
+BLOCK = 4096
 SALTS = 16
 LIMB = 40
 # Distances of up to this many bits per component difference fit in 64 bits (16 million components a part).
@@ -101,36 +100,38 @@ def chosen_pivots(book: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
 def nearest_entries(rows: np.ndarray, to_pivots: np.ndarray, book: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The nearest entry of ``book`` for each of ``rows`` (ties: the first), its squared distance, and how many distances were computed.
 
-    ``to_pivots`` are the distances of the rows to the ``pivots``.
+    ``to_pivots`` are the distances of the rows to the ``pivots``. Each row starts with the entry of its least bound; the others follow in the order
+    of their bounds, each for the rows that it may still be nearest to. Where components do not fit in 64 bits there are no bounds, and every entry
+    is evaluated.
     """
-    of_entries = roots(squared(book[:, None], pivots[None]))
-    bound = np.zeros((len(rows), len(book)))
-    for i in range(len(pivots)):
-        np.maximum(bound, np.abs(to_pivots[:, i : i + 1] - of_entries[None, :, i]), out=bound)
-    # Rounding (stored distances have 24 bits) must never lift a bound above the distance it stands for.
-    slack = 1e-6 * (1 + to_pivots.max(axis=1, initial=0)[:, None] + of_entries.max(initial=0))
-    bound = np.maximum(bound - slack, 0) ** 2 * (1 - 1e-9)
-    order = np.argsort(bound, axis=1, kind="stable")
-    bound = np.take_along_axis(bound, order, axis=1)
-    best = np.zeros(len(rows), np.int64)
-    least = np.full(len(rows), np.iinfo(np.int64).max, dtype=np.int64 if rows.dtype == book.dtype == np.int64 else object)
-    open_, evaluated = np.arange(len(rows)), 0
-    if least.dtype == object:
-        least[:] = math.inf
-    for at in range(0, len(book), STEP):
-        if at:
-            open_ = open_[bound[open_, at] <= least[open_].astype(float) * (1 + 1e-9)]
-        if not len(open_):
-            break
-        asked = order[open_, at : at + STEP]
-        found = squared(rows[open_][:, None], book[asked])
-        evaluated += asked.size
-        # The least distance, and of those that have it the first entry.
-        low = found.min(axis=1)
-        entry = np.where(found == low[:, None], asked, len(book)).min(axis=1)
-        better = (low < least[open_]) | ((low == least[open_]) & (entry < best[open_]))
-        least[open_[better]], best[open_[better]] = low[better], entry[better]
-    return best, least, evaluated
+    small = rows.dtype == book.dtype == pivots.dtype == np.int64
+    # Doubles hold these integers, and the sums of their squares, exactly.
+    x, c = (rows.astype(float), book.astype(float)) if small else (rows.astype(object), book.astype(object))
+
+    def distances(some: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        away = some - entries
+        return np.einsum("ij,ij->i", away, away) if small else (away * away).sum(axis=-1)
+
+    bound = np.zeros((len(book), len(rows)), np.float32)
+    if small and len(rows):
+        of_entries, towards, gap = roots(squared(book[:, None], pivots[None])).astype(np.float32), to_pivots.T.astype(np.float32), np.empty_like(bound)
+        for i in range(len(pivots)):
+            np.subtract(of_entries[:, i : i + 1], towards[i], out=gap)
+            np.maximum(bound, np.abs(gap, out=gap), out=bound)
+    best = bound.argmin(axis=0) if len(rows) else np.zeros(0, np.int64)
+    least = distances(x, c[best])
+    if small and len(rows):
+        # Rounding (these numbers have 24 bits) must never lift a bound above the distance it stands for.
+        bound -= 1e-5 * (1 + towards.max(axis=0) + of_entries.max())
+        np.square(np.maximum(bound, 0, out=bound), out=bound)
+    evaluated = len(rows)
+    for entry in np.argsort(bound.mean(axis=1), kind="stable").tolist() if len(rows) else ():
+        open_ = np.flatnonzero(bound[entry] <= least * (1 + 1e-5)) if small else np.arange(len(rows))
+        found = distances(x[open_], c[entry])
+        evaluated += len(open_)
+        nearer = ((found < least[open_]) | ((found == least[open_]) & (entry < best[open_]))).astype(bool)
+        least[open_[nearer]], best[open_[nearer]] = found[nearer], entry
+    return best, least.astype(np.int64) if small else least, evaluated
 
 
 def _limbs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,9 +142,9 @@ def _limbs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     k = 0
     while not k or any(v for v in values.flat):
         # The sign stays with each limb.
-        limb = np.vectorize(lambda v: int(math.copysign(1, v)) * (abs(v) & ((1 << LIMB) - 1)), otypes=[np.int64])(values)
+        limb = np.vectorize(lambda v: (-1 if v < 0 else 1) * (abs(v) & ((1 << LIMB) - 1)), otypes=[np.int64])(values)
         yield k, limb
-        values = np.vectorize(lambda v: int(math.copysign(1, v)) * (abs(v) >> LIMB), otypes=[object])(values)
+        values = np.vectorize(lambda v: (-1 if v < 0 else 1) * (abs(v) >> LIMB), otypes=[object])(values)
         k += 1
 
 
@@ -157,8 +158,9 @@ class Quantiser:
 
     def pivot_distances(self, rows: np.ndarray) -> np.ndarray:
         """Rows by parts by pivots."""
-        made = [roots(squared(part(rows, i, self.parts)[:, None], p[None])) for i, p in enumerate(self.pivots)]
-        return np.stack(made, axis=1) if len(rows) else np.zeros((0, self.parts, len(self.pivots[0])))
+        if not len(rows) or any(x.dtype != np.int64 for x in (rows, *self.pivots)):
+            return np.zeros((len(rows), self.parts, len(self.pivots[0])))
+        return np.stack([roots(squared(part(rows, i, self.parts)[:, None], p[None])) for i, p in enumerate(self.pivots)], axis=1)
 
     def assigned(self, rows: np.ndarray, to_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and squared distance of each part of each row (parts by rows)."""
