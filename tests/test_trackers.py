@@ -102,12 +102,16 @@ def test_tracker_starts(spark, window):
     assert {(r.source_ip, r.t) for r in got} == scans and len(got) == len(scans)
 
 
-def test_shuffled_join_gives_the_same(spark, monkeypatch):
-    """With lookup tables counted as too large to broadcast."""
+def test_shuffled_join_gives_the_same(spark):
+    """With lookup tables that are too large to broadcast."""
     config = DetectionConfig(syn_flood_threshold=3, connection_rate_threshold=6, port_scan_threshold=4)
     packets = random_packets(9)
-    monkeypatch.setattr(anchored, "BROADCAST_ROWS", 0)
-    assert detected(spark, packets, config) == tracker_alerts(packets, config)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert detected(spark, packets, config) == tracker_alerts(packets, config)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_edges(spark):

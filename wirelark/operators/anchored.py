@@ -29,13 +29,9 @@ from wirelark.schema import (
     RATE_LIMIT_EXCEEDED,
     SYN_FLOOD,
 )
-from wirelark.session import cut
+from wirelark.session import cut, store
 
 SECOND = 1_000_000  # microseconds; times in this module are microseconds since 1970
-# A looked-up table of up to this many rows (a few tens of MB) is broadcast, a larger one is shuffled.
-BROADCAST_ROWS = 200_000
-# Into how many parts the rows of one join key are split when the looked-up table is shuffled.
-JOIN_SALTS = 32
 # Sequence number of rows that stand for what came before the first packet.
 BEFORE_ALL = -(2**63)
 # More than there are ports.
@@ -46,21 +42,13 @@ def _slot(time: Column) -> Column:
     return F.floor(time / SECOND)
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", salts: int = JOIN_SALTS
-) -> DataFrame:
-    """Join many ``rows`` with a smaller ``table`` whose size is checked (it must be cheap to count: cut).
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join many ``rows`` with a smaller ``table``, which must be stored.
 
-    Small tables are broadcast. Larger ones are copied once per salt and joined on key and salt, so that
-    the rows of a hot key go to ``salts`` tasks. Distinct keys need one salt, that is, a plain join.
+    The size of its files tells the planner whether it is small enough to be broadcast (``spark.sql.autoBroadcastJoinThreshold``). If it is
+    not, both sides are shuffled, and adaptive execution splits the partition of a hot key (``spark.sql.adaptive.skewJoin``).
     """
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
-    if salts == 1:
-        return rows.join(table, on, how)
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return rows.join(table, on, how)
 
 
 def _busy_sources(packets: DataFrame, rules: list[tuple[Column, int, int]]) -> DataFrame:
@@ -78,7 +66,7 @@ def _busy_sources(packets: DataFrame, rules: list[tuple[Column, int, int]]) -> D
         in_stretch = F.sum(f"c{i}").over(by_time.rangeBetween(-(span - 1), 0))
         per_second = per_second.withColumn(f"s{i}", in_stretch)
         reached = reached | (F.col(f"s{i}") >= threshold)
-    return cut(per_second.where(reached).select("source_ip").distinct())
+    return store(per_second.where(reached).select("source_ip").distinct(), "busy-sources")
 
 
 def _next_point(rows: DataFrame, at: str, point: Column, points: DataFrame | None = None) -> DataFrame:
@@ -133,10 +121,8 @@ def _chain(starts: DataFrame, hop: int, stretch: int) -> DataFrame:
         # The chain enters a block of cells in one of the block's first ``stretch`` cells, or, after a gap, at
         # some cell's first time (its head). The other times of a block's second half can be left out, once
         # the first half is at least ``stretch`` cells long.
-        heads = cut(
-            starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t", F.lit(True).alias("head"))
-        )
-        table = lookup_join(table, heads, ["source_ip", "t"], "left", salts=1).withColumn("head", F.col("head").isNotNull())
+        heads = starts.groupBy("source_ip", "cell").agg(F.min("t").alias("t")).select("source_ip", "t", F.lit(True).alias("head"))
+        table = table.join(heads, ["source_ip", "t"], "left").withColumn("head", F.col("head").isNotNull())
 
     composed = [table]
     for level in range(levels - 1):
@@ -219,11 +205,8 @@ def _in_trackers(packets: DataFrame, trackers: DataFrame, until: Column, width:
     joined on source and cell.
     """
     spans = trackers.withColumn("_until", until).withColumnRenamed("t", "start")
-    spread = cut(
-        spans.withColumn(
-            "_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("_until") - 1) / width)))
-        )
-    )
+    covered = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("_until") - 1) / width)))
+    spread = store(spans.withColumn("_cell", covered), "tracker-cells")
     cells = packets.withColumn("_cell", F.floor(F.col("t") / width))
     met = lookup_join(cells, spread, ["source_ip", "_cell"])
     return met.where("t >= start and t < _until").drop("_cell", "_until")
@@ -358,7 +341,7 @@ def _last(trackers: DataFrame, now: DataFrame, keep: int) -> DataFrame:
     row per source at most."""
     newest = trackers.groupBy("source_ip").agg(F.max(F.struct("t", "anchor")).alias("m"))
     alive = newest.select("source_ip", F.col("m.t").alias("start"), F.col("m.anchor").alias("anchor"))
-    return cut(alive.where(F.coalesce(now.scalar() - F.col("anchor") < (keep + 1) * SECOND, F.lit(True))))
+    return store(alive.where(F.coalesce(now.scalar() - F.col("anchor") < (keep + 1) * SECOND, F.lit(True))), "last-trackers")
 
 
 def carry_connections(
