@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -188,7 +189,13 @@ class Quantiser:
 
 
 def _rows(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return matrix(batch.column(batch.schema.get_field_index("vector")).to_pylist(), width)
+    vectors = batch.column(batch.schema.get_field_index("vector"))
+    if len(batch) and pc.all(pc.equal(pc.list_value_length(vectors), width)).as_py():
+        # Vectors of one width lie side by side.
+        scaled = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), width) * SCALE)
+        if np.abs(scaled).max(initial=0) < _SMALL:
+            return scaled.astype(np.int64)
+    return matrix(vectors.to_pylist(), width)
 
 
 def _stored_pivots(batch: pa.RecordBatch, shape: tuple[int, ...]) -> np.ndarray:
